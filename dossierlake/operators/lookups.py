@@ -1,0 +1,62 @@
+"""Joins of documents to the trained statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from dossierlake import constants as C
+from dossierlake.functions.risk import feature_value
+
+# A company may own a third of all documents: its rows spread over this many join keys.
+SALTS = 16
+
+
+def with_company_bounds(df: DataFrame, bounds: DataFrame, siret: Column, doc_type: Column, spread: Column) -> DataFrame:
+    """Left-join ``company_low`` and ``company_high`` on (company, type).
+
+    The bounds grow with the number of companies, so no broadcast is forced:
+    Spark broadcasts them below its size threshold and shuffles otherwise. For
+    the shuffle the small side is repeated once per salt and each document
+    takes one salt from the hash of ``spread``.
+    """
+    salted = bounds.select(
+        F.col("siret").alias("bound_siret"),
+        F.col("doc_type").alias("bound_type"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bound_salt"),
+        F.col("p5").alias("company_low"),
+        F.col("p95").alias("company_high"),
+    )
+    match = (
+        (siret == F.col("bound_siret"))
+        & (doc_type == F.col("bound_type"))
+        & (F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") == F.col("bound_salt"))
+    )
+    return df.join(salted, match, "left").drop("bound_siret", "bound_type", "bound_salt")
+
+
+def with_type_stats(df: DataFrame, type_stats: DataFrame) -> DataFrame:
+    """Add the amount limit and the fraud rate of ``doc_type``.
+
+    The table has one row per normalised type, six at most, so it is broadcast.
+    """
+    return df.join(F.broadcast(type_stats), "doc_type", "left").withColumn(
+        "type_rate", F.coalesce("type_rate", F.lit(C.DEFAULT_TYPE_RATE))
+    )
+
+
+def feature_counts(features: dict[str, Column], model: Column) -> dict[str, Column]:
+    """Training count of each feature value under both labels, zero when unseen."""
+    columns = {}
+    for name, value in features.items():
+        seen = F.try_element_at(model[f"weights_{name}"], feature_value(name, value))
+        for label in C.LABELS:
+            columns[f"{name}_{label}"] = F.coalesce(seen[f"n_{label}"], F.lit(0))
+    return columns
+
+
+def required_fields(doc_type: Column) -> Column:
+    """Comma-joined required fields; unknown types require nothing."""
+    pairs = []
+    for name, fields in C.REQUIRED_FIELDS.items():
+        pairs += [F.lit(name), F.lit(",".join(fields))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), doc_type), F.lit(""))
