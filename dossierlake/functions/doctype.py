@@ -7,19 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from dossierlake import constants as C
-from dossierlake.functions.text import strip
 
 
-def _clean(text: Column) -> Column:
-    return F.lower(strip(F.coalesce(text, F.lit(""))))
+def _is_word(text: Column, words: list[str]) -> Column:
+    """Whether the lower-case text is one of the words, whitespace around it aside."""
+    return text.rlike(r"(?U)^[\s\x1c-\x1f]*(?:" + "|".join(words) + r")[\s\x1c-\x1f]*\z")
 
 
 def normalize(doc_type: Column, file_name: Column) -> Column:
     """Scoring type: the declared type decides, then the file name."""
-    raw, name = _clean(doc_type), _clean(file_name)
+    raw, name = F.lower(F.coalesce(doc_type, F.lit(""))), F.lower(F.coalesce(file_name, F.lit("")))
     return (
-        F.when(raw.isin("invoice", "facture"), "facture")
-        .when(raw.isin("quote", "devis"), "devis")
+        F.when(_is_word(raw, ["invoice", "facture"]), "facture")
+        .when(_is_word(raw, ["quote", "devis"]), "devis")
         .when(raw.contains("attestation") | raw.contains("urssaf"), "attestation_urssaf")
         .when(raw.contains("kbis"), "kbis")
         .when(raw.contains("rib"), "rib")

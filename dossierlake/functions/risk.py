@@ -1,4 +1,4 @@
-"""Features, rule score, naive-Bayes posterior, blend and verdict."""
+"""Features, rule score, blend and verdict."""
 
 from __future__ import annotations
 
@@ -77,24 +77,12 @@ def feature_value(name: str, value: Column) -> Column:
     return F.when(value, "True").otherwise("False")
 
 
-def posterior(features: dict[str, Column], model: Column) -> Column:
-    """Fraud probability; logs are added in the fixed feature order."""
-    log_legit, log_fraud = model["log_prior_0"], model["log_prior_1"]
-    for name in C.FEATURES:
-        seen = F.try_element_at(model[f"weights_{name}"], feature_value(name, features[name]))
-        log_legit = log_legit + F.coalesce(seen["log_0"], model[f"unseen_{name}"]["log_0"])
-        log_fraud = log_fraud + F.coalesce(seen["log_1"], model[f"unseen_{name}"]["log_1"])
-    top = F.greatest(log_legit, log_fraud)
-    legit, fraud = F.exp(log_legit - top), F.exp(log_fraud - top)
-    return F.when(model["available"], fraud / (fraud + legit)).otherwise(F.lit(0.0))
-
-
 def rule_score(
     doc_type: Column,
     siret: Column,
     amount: Column,
     expired: Column,
-    engine: Column,
+    degraded: Column,
     type_limit: Column,
     company_low: Column,
     company_high: Column,
@@ -106,7 +94,7 @@ def rule_score(
         (doctype.requires(doc_type, "siret") & ~has_text(siret), C.MISSING_SIRET_WEIGHT),
         (doctype.requires(doc_type, "amount_total") & value.isNull(), C.MISSING_AMOUNT_WEIGHT),
         (doc_type == C.UNKNOWN_TYPE, C.UNKNOWN_TYPE_WEIGHT),
-        (ocr_degraded(engine), C.OCR_DEGRADED_WEIGHT),
+        (degraded, C.OCR_DEGRADED_WEIGHT),
         (value > type_limit, C.ABOVE_TYPE_LIMIT_WEIGHT),
         ((value < company_low) | (value > company_high), C.OUTSIDE_COMPANY_BAND_WEIGHT),
     ]

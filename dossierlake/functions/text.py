@@ -16,8 +16,9 @@ _STAND_IN = "
 
 
 def strip(text: Column) -> Column:
-    """Trim Unicode whitespace at both ends."""
-    return F.btrim(text, F.lit(_SPACE_CHARS))
+    """Trim Unicode whitespace at both ends; text with clean edges is passed on untouched."""
+    edges = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(edges.rlike(_SPACE_RUN), F.btrim(text, F.lit(_SPACE_CHARS))).otherwise(text)
 
 
 def collapse_whitespace(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake import constants as C
-from dossierlake.functions.risk import feature_value
+from dossierlake.functions import risk
+from dossierlake.plans.training import amount_quantiles, feature_column
 
 # A company may own a third of all documents: its rows spread over this many join keys.
 SALTS = 16
@@ -34,24 +35,17 @@ def with_company_bounds(df: DataFrame, bounds: DataFrame, siret: Column, doc_typ
     return df.join(salted, match, "left").drop("bound_siret", "bound_type", "bound_salt")
 
 
-def with_type_stats(df: DataFrame, type_stats: DataFrame) -> DataFrame:
-    """Add the amount limit and the fraud rate of ``doc_type``.
+def with_outlook(df: DataFrame, bounds: DataFrame, outlook: DataFrame) -> DataFrame:
+    """Add the seven features and what the model says of their combination.
 
-    The table has one row per normalised type, six at most, so it is broadcast.
+    The outlook has one row per possible combination, 768 in all, so it is
+    broadcast at any data size. The two amount limits come as constants.
     """
-    return df.join(F.broadcast(type_stats), "doc_type", "left").withColumn(
-        "type_rate", F.coalesce("type_rate", F.lit(C.DEFAULT_TYPE_RATE))
-    )
-
-
-def feature_counts(features: dict[str, Column], model: Column) -> dict[str, Column]:
-    """Training count of each feature value under both labels, zero when unseen."""
-    columns = {}
-    for name, value in features.items():
-        seen = F.try_element_at(model[f"weights_{name}"], feature_value(name, value))
-        for label in C.LABELS:
-            columns[f"{name}_{label}"] = F.coalesce(seen[f"n_{label}"], F.lit(0))
-    return columns
+    limits = amount_quantiles(bounds).select(F.struct("q_low", "q_mid")).scalar()
+    features = risk.scoring_features(F.col("_limits")["q_low"], F.col("_limits")["q_mid"])
+    named = [column.alias(feature_column(name)) for name, column in features.items()]
+    described = df.withColumn("_limits", limits).select(*df.columns, *named)
+    return described.join(F.broadcast(outlook), [feature_column(name) for name in features], "left")
 
 
 def required_fields(doc_type: Column) -> Column:

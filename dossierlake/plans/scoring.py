@@ -6,48 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from dossierlake import constants as C
 from dossierlake.functions import doctype, risk
-from dossierlake.operators.lookups import with_company_bounds
-from dossierlake.plans.training import FraudModel, bundle, company_bounds
+from dossierlake.plans.lookups import with_company_bounds, with_outlook
+from dossierlake.plans.training import FraudModel, company_bounds
 
 
 def score(silver: DataFrame, model: FraudModel) -> DataFrame:
     """Add fraud_score, ml_probability, model_version and risk_level.
 
-    The only possible shuffle is the company lookup, and only while the
-    company table is too large to broadcast. The rest of the model arrives as
-    a scalar subquery: computed once and held as a constant by every task.
+    The model's outlook is a broadcast of fixed size. The only possible
+    shuffle is the company lookup, and only while the company table is too
+    large to broadcast.
     """
+    described = with_outlook(silver, model.bounds, model.outlook)
     siret = risk.resolve_siret(F.col("siret"), F.col("source_file"))
-    doc_type = doctype.normalize(F.col("document_type"), F.col("source_file"))
-    joined = with_company_bounds(silver, company_bounds(model.bounds), siret, doc_type, F.col("source_file"))
-    # The model joins the row after the shuffle, so it is never shuffled with it.
-    rows = joined.withColumn("_model", bundle(model).select(F.struct("*")).scalar())
-    trained = F.col("_model")
-    features = risk.scoring_features(trained["q_low"], trained["q_mid"])
-    expired = features["mentions_expired"]
-    rows = rows.withColumn("_type", features["doc_type"])
-    features["doc_type"] = F.col("_type")
-    rows = rows.withColumn("_ml", risk.posterior(features, trained)).withColumn(
-        "_rule",
-        risk.rule_score(
-            F.col("_type"),
-            F.col("siret"),
-            F.col("amount_total"),
-            expired,
-            F.col("ocr_engine"),
-            F.try_element_at(trained["type_bounds"], F.col("_type")),
-            F.col("company_low"),
-            F.col("company_high"),
-        ),
+    kind, expired = F.col("f_doc_type"), F.col("f_mentions_expired")
+    rows = with_company_bounds(described, company_bounds(model.bounds), siret, kind, F.col("source_file"))
+    rule = risk.rule_score(
+        kind, F.col("siret"), F.col("amount_total"), expired, F.col("f_ocr_degraded"), F.col("type_limit"),
+        F.col("company_low"), F.col("company_high"),
     )
-    rate = F.coalesce(F.try_element_at(trained["type_rates"], F.col("_type")), F.lit(C.DEFAULT_TYPE_RATE))
-    rows = rows.withColumn("_score", risk.blend(F.col("_ml"), F.col("_rule"), rate, expired))
-    return rows.select(
-        *silver.columns,
-        F.round("_score", 4).alias("fraud_score"),
-        F.round("_ml", 4).alias("ml_probability"),
-        trained["version"].alias("model_version"),
-        risk.risk_level(F.col("_score")).alias("risk_level"),
+    return (
+        rows.withColumn("_rule", rule)
+        .withColumn("_score", risk.blend(F.col("ml"), F.col("_rule"), F.col("type_rate"), expired))
+        .select(
+            *silver.columns,
+            F.round("_score", 4).alias("fraud_score"),
+            F.round("ml", 4).alias("ml_probability"),
+            "model_version",
+            risk.risk_level(F.col("_score")).alias("risk_level"),
+        )
     )
 
 

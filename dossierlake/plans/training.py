@@ -22,15 +22,17 @@ QUANTILES = {
 
 @dataclass
 class FraudModel:
-    """The two trained tables; everything else is read off them.
+    """The trained tables.
 
     ``bounds``: level, siret, doc_type, n and the amount quantiles. Level
     ``all`` is one row, ``type`` at most six, ``company`` grows with the data.
     ``vectors``: rows per distinct feature vector and label, at most 1,536.
+    ``outlook``: what the model says of each of the 768 possible vectors.
     """
 
     bounds: DataFrame
     vectors: DataFrame
+    outlook: DataFrame
 
 
 def label(ground_truth: DataFrame) -> Column:
@@ -140,100 +142,122 @@ def train(ground_truth: DataFrame, as_of: str, path: str) -> FraudModel:
     """Train and persist below ``path``; scoring reads the written tables, not the lineage that made them."""
     spark = ground_truth.sparkSession
     amount_bounds(ground_truth).write.mode("overwrite").partitionBy("level").parquet(f"{path}/bounds")
-    bounds = load_bounds(spark, path)
+    bounds = _read(spark, path, "bounds")
     feature_vectors(ground_truth, bounds, as_of).write.mode("overwrite").parquet(f"{path}/vectors")
+    outlook(bounds, _read(spark, path, "vectors")).write.mode("overwrite").parquet(f"{path}/outlook")
     return load(spark, path)
 
 
-def load_bounds(spark: SparkSession, path: str) -> DataFrame:
-    schema = "siret string, doc_type string, n bigint, p05 double, p33 double, p66 double, p95 double, level string"
-    return spark.read.schema(schema).parquet(f"{path}/bounds")
+def load(spark: SparkSession, path: str) -> FraudModel:
+    return FraudModel(*[_read(spark, path, name) for name in ("bounds", "vectors", "outlook")])
 
 
-def load(spark: SparkSession, path: str) -> FraudModel:
-    columns = ", ".join(f"{name} string" for name in C.FEATURES)
-    vectors = spark.read.schema(f"{columns}, label int, n bigint").parquet(f"{path}/vectors")
-    return FraudModel(bounds=load_bounds(spark, path), vectors=vectors)
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(schemas.MODEL[name]).parquet(f"{path}/{name}")
 
 
-def bundle(model: FraudModel) -> DataFrame:
+def bundle(bounds: DataFrame, vectors: DataFrame) -> DataFrame:
     """The whole model but the company bounds, as one row of small maps.
 
     Type and band names are fixed, so the row holds a few dozen values at any
-    data size. Without training rows it is neutral: ``available`` is false,
-    the maps are empty.
+    data size. Each feature has one entry per seen value and one for any
+    unseen value, with its counts and smoothed log-likelihoods. Without
+    training rows the row is neutral: ``available`` is false, the maps are empty.
     """
-
-    def of_label(wanted: int) -> Column:
-        return F.sum(F.when(F.col("label") == wanted, F.col("n")).otherwise(0))
-
-    long = model.vectors.unpivot(["label", "n"], C.FEATURES, "key", "value")
     counted = (
-        long.groupBy("key", "value")
-        .agg(of_label(0).alias("n_0"), of_label(1).alias("n_1"))
-        .select(F.lit("feature").alias("kind"), "key", "value", "n_0", "n_1")
-    )
-    limits = model.bounds.where(F.col("level").isin("all", "type")).select(
-        F.col("level").alias("kind"), F.col("doc_type").alias("key"), "p33", "p66", "p95"
+        vectors.unpivot(["label", "n"], C.FEATURES, "key", "value")
+        .groupBy("key", "value")
+        .agg(F.expr("sum(if(label = 0, n, 0)) AS n_0"), F.expr("sum(if(label = 1, n, 0)) AS n_1"))
+        .selectExpr("'feature' AS kind", "key", "value", "n_0", "n_1")
     )
-    entries = counted.unionByName(limits, allowMissingColumns=True)
-
-    def feature(name: str) -> Column:
-        return (F.col("kind") == "feature") & (F.col("key") == name)
-
-    overall = F.col("kind") == "all"
-    row = entries.agg(
-        F.coalesce(F.sum(F.when(feature("doc_type"), F.col("n_0"))), F.lit(0)).alias("rows_0"),
-        F.coalesce(F.sum(F.when(feature("doc_type"), F.col("n_1"))), F.lit(0)).alias("rows_1"),
-        F.coalesce(F.max(F.when(overall, F.col("p33"))), F.lit(0.0)).alias("q_low"),
-        F.coalesce(F.max(F.when(overall, F.col("p66"))), F.lit(0.0)).alias("q_mid"),
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("kind") == "type", F.struct("key", "p95")))
-        ).alias("type_bounds"),
-        *[
-            F.collect_list(F.when(feature(name), F.struct("value", "n_0", "n_1"))).alias(name)
-            for name in C.FEATURES
-        ],
+    limits = bounds.where("level IN ('all', 'type')").selectExpr(
+        "level AS kind", "doc_type AS key", "p33", "p66", "p95"
     )
+    gathered = [
+        "coalesce(sum(if(kind = 'feature' AND key = 'doc_type', n_0, 0)), 0) AS rows_0",
+        "coalesce(sum(if(kind = 'feature' AND key = 'doc_type', n_1, 0)), 0) AS rows_1",
+        "coalesce(max(if(kind = 'all', p33, NULL)), 0D) AS q_low",
+        "coalesce(max(if(kind = 'all', p66, NULL)), 0D) AS q_mid",
+        "map_from_entries(collect_list(if(kind = 'type', struct(key, p95), NULL))) AS type_bounds",
+    ]
+    gathered += [
+        f"collect_list(if(kind = 'feature' AND key = '{name}', struct(value, n_0, n_1), NULL)) AS {name}"
+        for name in C.FEATURES
+    ]
+    row = counted.unionByName(limits, allowMissingColumns=True).agg(*map(F.expr, gathered))
+
+    def entry(name: str, n_0: str, n_1: str) -> str:
+        return (
+            f"named_struct('n_0', {n_0}, 'n_1', {n_1}, "
+            f"'log_0', ln(({n_0} + 1) / (rows_0 + size({name}) + 1)), "
+            f"'log_1', ln(({n_1} + 1) / (rows_1 + size({name}) + 1)))"
+        )
 
-    total = F.col("rows_0") + F.col("rows_1")
-    rates = F.transform("doc_type", lambda item: F.struct(item["value"], item["n_1"] / (item["n_0"] + item["n_1"])))
     columns = [
-        (total > 0).alias("available"),
-        F.when(total > 0, C.MODEL_VERSION).otherwise(C.NEUTRAL_MODEL_VERSION).alias("version"),
+        "rows_0 + rows_1 > 0 AS available",
+        f"if(rows_0 + rows_1 > 0, '{C.MODEL_VERSION}', '{C.NEUTRAL_MODEL_VERSION}') AS version",
         "rows_0",
         "rows_1",
         "q_low",
         "q_mid",
-        F.ln((F.col("rows_0") + 1) / (total + 2)).alias("log_prior_0"),
-        F.ln((F.col("rows_1") + 1) / (total + 2)).alias("log_prior_1"),
+        "ln((rows_0 + 1) / (rows_0 + rows_1 + 2)) AS log_prior_0",
+        "ln((rows_1 + 1) / (rows_0 + rows_1 + 2)) AS log_prior_1",
         "type_bounds",
-        F.map_from_entries(rates).alias("type_rates"),
+        "map_from_entries(transform(doc_type, i -> struct(i.value, i.n_1 / (i.n_0 + i.n_1)))) AS type_rates",
     ]
     for name in C.FEATURES:
-        columns += _weights(name)
-    return row.select(*columns)
+        seen = entry(name, "i.n_0", "i.n_1")
+        columns.append(f"map_from_entries(transform({name}, i -> struct(i.value, {seen}))) AS weights_{name}")
+        columns.append(f"{entry(name, '0L', '0L')} AS unseen_{name}")
+    return row.selectExpr(*columns)
 
 
-def _weights(name: str) -> list[Column]:
-    """Smoothed log-likelihoods of a feature: one entry per seen value, and one for any unseen value."""
-    domain = F.size(name) + 1
+def outlook(bounds: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Counts, posterior, amount limit and fraud rate for every possible feature vector.
 
-    def entry(n_0: Column, n_1: Column) -> Column:
-        return F.struct(
-            n_0.alias("n_0"),
-            n_1.alias("n_1"),
-            F.ln((n_0 + 1) / (F.col("rows_0") + domain)).alias("log_0"),
-            F.ln((n_1 + 1) / (F.col("rows_1") + domain)).alias("log_1"),
+    Documents differ only in six types, five flags and four bands, so the
+    logarithms are taken once per vector here instead of once per document.
+    They are added in the fixed feature order, label by label.
+    """
+    domains = {name: ["false", "true"] for name in C.FEATURES}
+    domains["doc_type"] = [f"'{name}'" for name in [*C.DOC_TYPES, C.UNKNOWN_TYPE]]
+    domains["amount_band"] = ["'missing'", "'low'", "'mid'", "'high'"]
+    grid = bounds.sparkSession.range(1).select()
+    for name in C.FEATURES:
+        grid = grid.withColumn(feature_column(name), F.expr(f"explode(array({', '.join(domains[name])}))"))
+
+    found = []
+    for name in C.FEATURES:
+        text = f"initcap(cast({feature_column(name)} AS string))" if len(domains[name]) == 2 else feature_column(name)
+        found.append(f"coalesce(try_element_at(model.weights_{name}, {text}), model.unseen_{name}) AS w_{name}")
+    logs = [
+        " + ".join([f"model.log_prior_{wanted}", *[f"w_{name}.log_{wanted}" for name in C.FEATURES]])
+        for wanted in C.LABELS
+    ]
+    return (
+        grid.withColumn("model", bundle(bounds, vectors).select(F.struct("*")).scalar())
+        .selectExpr("*", *found)
+        .selectExpr("*", *[f"{log} AS log_{wanted}" for wanted, log in zip(C.LABELS, logs)])
+        .selectExpr("*", *[f"exp(log_{wanted} - greatest(log_0, log_1)) AS share_{wanted}" for wanted in C.LABELS])
+        .selectExpr(
+            *[feature_column(name) for name in C.FEATURES],
+            *[f"w_{name}.n_{wanted} AS {name}_{wanted}" for name in C.FEATURES for wanted in C.LABELS],
+            "if(model.available, share_1 / (share_1 + share_0), 0D) AS ml",
+            "try_element_at(model.type_bounds, f_doc_type) AS type_limit",
+            f"coalesce(try_element_at(model.type_rates, f_doc_type), {C.DEFAULT_TYPE_RATE}D) AS type_rate",
+            "model.version AS model_version",
         )
+    )
+
 
-    seen = F.transform(name, lambda item: F.struct(item["value"], entry(item["n_0"], item["n_1"])))
-    none = F.lit(0).cast("bigint")
-    return [F.map_from_entries(seen).alias(f"weights_{name}"), entry(none, none).alias(f"unseen_{name}")]
+def feature_column(name: str) -> str:
+    """Column of a feature in the outlook; silver tables use some of the bare names."""
+    return f"f_{name}"
 
 
 def neutral(spark: SparkSession) -> FraudModel:
     """The model of an absent ground truth."""
     empty = spark.createDataFrame([], schemas.GROUND_TRUTH)
     bounds = amount_bounds(empty)
-    return FraudModel(bounds=bounds, vectors=feature_vectors(empty, bounds, "1970-01-01"))
+    vectors = feature_vectors(empty, bounds, "1970-01-01")
+    return FraudModel(bounds, vectors, outlook(bounds, vectors))

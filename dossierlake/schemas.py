@@ -1,5 +1,7 @@
 """Declared schemas. Nothing is inferred: ids stay text, amounts stay double."""
 
+from dossierlake.constants import FEATURES, LABELS
+
 BRONZE = "path string, modificationTime timestamp, length bigint, content binary"
 
 OCR_EXPORT = (
@@ -45,3 +47,17 @@ COMPANY_SEARCH = (
     "code_postal: string, libelle_commune: string>, "
     "dirigeants: array<struct<prenom: string, nom: string>>>>"
 )
+
+_FLAGS = {name: "string" if name in ("doc_type", "amount_band") else "boolean" for name in FEATURES}
+
+MODEL = {
+    "bounds": (
+        "siret string, doc_type string, n bigint, p05 double, p33 double, p66 double, p95 double, level string"
+    ),
+    "vectors": ", ".join(f"{name} string" for name in FEATURES) + ", label int, n bigint",
+    "outlook": ", ".join(
+        [f"f_{name} {kind}" for name, kind in _FLAGS.items()]
+        + [f"{name}_{label} bigint" for name in FEATURES for label in LABELS]
+        + ["ml double, type_limit double, type_rate double, model_version string"]
+    ),
+}

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossierlake import constants as C, schemas
 from dossierlake.functions import display, doctype, evidence, extract, files, risk, text
-from dossierlake.operators import dedup, lookups, paths, pending, setops, summaries
-from dossierlake.plans import bronze_silver, checks, dashboard, ground_truth, maintenance, scoring, training
+from dossierlake.operators import dedup, paths, pending, setops, summaries
+from dossierlake.plans import bronze_silver, checks, dashboard, ground_truth, lookups, maintenance, scoring, training
 from dossierlake.session import scratch_path
 from dossierlake.sources import bronze, companies, sinks, tables
 from dossierlake.streaming import pipelines
@@ -387,33 +387,22 @@ def company_bounds_lookup(spark, sf_dir):
     return rounded(joined.select("doc_id", "company_low", "company_high"), "company_low", "company_high")
 
 
-@query
-def type_bounds_lookup(spark, sf_dir):
-    silver = fixture(spark, sf_dir, "fx_silver").select(
-        "doc_id", doctype.normalize(F.col("document_type"), F.col("source_file")).alias("doc_type")
-    )
-    model = trained(spark, sf_dir)
-    limits = training.type_bounds(model.bounds)
-    stats = training.type_rates(model.vectors).join(limits, "doc_type", "full").select(
-        "doc_type", F.col("p95").alias("type_limit"), F.col("rate").alias("type_rate")
-    )
-    joined = lookups.with_type_stats(silver, stats).select("doc_id", "doc_type", "type_limit", "type_rate")
-    return rounded(joined, "type_limit")
-
+def _described(spark, sf_dir, model: training.FraudModel | None = None) -> DataFrame:
+    """Silver rows with their features and the model's outlook."""
+    model = model or trained(spark, sf_dir)
+    return lookups.with_outlook(fixture(spark, sf_dir, "fx_silver"), model.bounds, model.outlook)
 
-def _with_model(spark, sf_dir, model: training.FraudModel | None = None) -> DataFrame:
-    bundle = training.bundle(model or trained(spark, sf_dir))
-    return fixture(spark, sf_dir, "fx_silver").withColumn("model", bundle.select(F.struct("*")).scalar())
 
-
-def _features() -> dict[str, Column]:
-    return risk.scoring_features(F.col("model.q_low"), F.col("model.q_mid"))
+@query
+def type_bounds_lookup(spark, sf_dir):
+    rows = _described(spark, sf_dir).select("doc_id", F.col("f_doc_type").alias("doc_type"), "type_limit", "type_rate")
+    return rounded(rows, "type_limit")
 
 
 @query
 def model_count_lookup(spark, sf_dir):
-    counted = lookups.feature_counts(_features(), F.col("model"))
-    return _with_model(spark, sf_dir).select("doc_id", *[column.alias(name) for name, column in counted.items()])
+    counts = [f"{name}_{label}" for name in C.FEATURES for label in C.LABELS]
+    return _described(spark, sf_dir).select("doc_id", *counts)
 
 
 @with_fixture("required_fields_lookup", "fx_silver")
@@ -519,12 +508,10 @@ def file_summary(gold):
 @query
 def model_bundle(spark, sf_dir):
     """The bundle of the training rows and the neutral one, flattened to text and numbers."""
-    rows = {
-        "trained": training.bundle(trained(spark, sf_dir)),
-        "neutral": training.bundle(training.neutral(spark)),
-    }
+    models = {"trained": trained(spark, sf_dir), "neutral": training.neutral(spark)}
     flat = []
-    for name, row in rows.items():
+    for name, model in models.items():
+        row = training.bundle(model.bounds, model.vectors)
         sizes = [F.size(f"weights_{feature}").alias(f"n_{feature}") for feature in C.FEATURES]
         flat.append(
             row.select(
@@ -691,46 +678,41 @@ def s_train_features(rows):
 
 @query
 def s_score_features(spark, sf_dir):
-    features = _features()
-    return _with_model(spark, sf_dir).select(
-        "doc_id", *[risk.feature_value(name, features[name]).alias(f"f_{name}") for name in C.FEATURES]
-    )
+    values = [risk.feature_value(name, F.col(f"f_{name}")).alias(f"f_{name}") for name in C.FEATURES]
+    return _described(spark, sf_dir).select("doc_id", *values)
 
 
 @query
 def s_nb_posterior(spark, sf_dir):
-    probability = F.round(risk.posterior(_features(), F.col("model")), 4)
-    return _with_model(spark, sf_dir).select("doc_id", probability.alias("ml_probability"))
+    return _described(spark, sf_dir).select("doc_id", F.round("ml", 4).alias("ml_probability"))
 
 
-def _rule_inputs(spark, sf_dir) -> DataFrame:
-    kind = doctype.normalize(F.col("document_type"), F.col("source_file"))
-    siret = risk.resolve_siret(F.col("siret"), F.col("source_file"))
+def _with_rule(spark, sf_dir) -> DataFrame:
     model = trained(spark, sf_dir)
-    bounds = training.company_bounds(model.bounds)
     rows = lookups.with_company_bounds(
-        _with_model(spark, sf_dir, model).withColumn("kind", kind), bounds, siret, kind, F.col("source_file")
+        _described(spark, sf_dir, model),
+        training.company_bounds(model.bounds),
+        risk.resolve_siret(F.col("siret"), F.col("source_file")),
+        F.col("f_doc_type"),
+        F.col("source_file"),
     )
-    return rows.withColumn(
-        "rule",
-        risk.rule_score(
-            F.col("kind"), F.col("siret"), F.col("amount_total"), F.col("mentions_expired"), F.col("ocr_engine"),
-            F.try_element_at("model.type_bounds", F.col("kind")), F.col("company_low"), F.col("company_high"),
-        ),
+    rule = risk.rule_score(
+        F.col("f_doc_type"), F.col("siret"), F.col("amount_total"), F.col("f_mentions_expired"),
+        F.col("f_ocr_degraded"), F.col("type_limit"), F.col("company_low"), F.col("company_high"),
     )
+    return rows.withColumn("rule", rule)
 
 
 @query
 def s_rule_score(spark, sf_dir):
-    return _rule_inputs(spark, sf_dir).select("doc_id", F.round("rule", 4).alias("rule_score"))
+    return _with_rule(spark, sf_dir).select("doc_id", F.round("rule", 4).alias("rule_score"))
 
 
 @query
 def s_blend(spark, sf_dir):
-    rate = F.coalesce(F.try_element_at("model.type_rates", F.col("kind")), F.lit(C.DEFAULT_TYPE_RATE))
-    rows = _rule_inputs(spark, sf_dir).withColumn("ml", risk.posterior(_features(), F.col("model")))
-    raw = risk.blend(F.col("ml"), F.col("rule"), rate, F.col("mentions_expired"))
-    return rows.select("doc_id", F.round(raw, 4).alias("fraud_score"), risk.risk_level(raw).alias("risk_level"))
+    raw = risk.blend(F.col("ml"), F.col("rule"), F.col("type_rate"), F.col("f_mentions_expired"))
+    rows = _with_rule(spark, sf_dir).withColumn("raw", raw)
+    return rows.select("doc_id", F.round("raw", 4).alias("fraud_score"), risk.risk_level(F.col("raw")).alias("risk_level"))
 
 
 def _gold_kind() -> Column:
