@@ -44,7 +44,7 @@ def _choose(clean: str, fraud: str, hint: Column, is_fraud: Column) -> Column:
 
 
 def resolve_paths(manifest: DataFrame, listing: DataFrame, is_fraud: Column) -> DataFrame:
-    """Add ``pdf_path`` and ``scan_path``; either is null when no file exists.
+    """Add ``document``, ``pdf_path`` and ``scan_path``; a path is null when no file exists.
 
     Both come from one equi-join, because the listing is folded to one row per document first.
     """
@@ -56,6 +56,7 @@ def resolve_paths(manifest: DataFrame, listing: DataFrame, is_fraud: Column) ->
     pdf_folder = F.when(F.col("filename").endswith(".pdf"), pdf_folder)
     return joined.select(
         *[F.col(name) for name in manifest.columns],
+        "document",
         F.concat(pdf_folder, F.lit("/"), F.col("company_siret"), F.lit("/"), F.col("filename")).alias("pdf_path"),
         F.concat(scan_folder, F.lit("/"), F.col("company_siret"), F.lit("/"), F.col("document"), F.lit(".png")).alias(
             "scan_path"

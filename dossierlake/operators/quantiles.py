@@ -14,10 +14,11 @@ def quantiles_from_counts(
     """Linear-interpolation quantiles per group of ``by``.
 
     ``counts`` carries the grouping columns, ``value`` and ``n``, one row per
-    distinct value of a group. Values are first summed into fixed-width bands. A running count over the
-    few bands of a group tells which bands hold the wanted ranks, and only the
-    values of those bands are ordered. Grouping columns must not be null.
-    Returns the grouping columns, ``n`` and one column per probability.
+    distinct value of a group. Values are first summed into fixed-width bands.
+    A running count over the few bands of a group tells which bands hold the
+    wanted ranks, and only the values of those bands are ordered, each band in
+    its own task. Grouping columns must not be null. Returns the grouping
+    columns, ``n`` and one column per probability.
     """
     banded = counts.withColumn("band", F.floor(F.col("value") / BAND_WIDTH))
 

@@ -28,10 +28,14 @@ def foreign_siret(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     ``documents`` carries filename and text, ``manifest`` filename, doc_type and company_siret.
     """
     extracts = manifest.where(F.col("doc_type") == "kbis").select("filename", "company_siret")
-    shown = documents.join(extracts, "filename").withColumn(
-        "siret_doc", evidence.head_office_siret(F.col("text"), F.col("company_siret"))
+    text = F.col("text")
+    ids = documents.drop("text").columns
+    shown = documents.select(
+        *ids, evidence.head_office_shown(text).alias("_office"), evidence.sirets_shown(text).alias("_shown")
     )
-    return shown.where(F.col("siret_doc") != F.col("company_siret"))
+    found = F.coalesce("_office", evidence.pick_siret(F.col("_shown"), F.col("company_siret")))
+    joined = shown.join(extracts, "filename").withColumn("siret_doc", found).drop("_office", "_shown")
+    return joined.where(F.col("siret_doc") != F.col("company_siret"))
 
 
 def compact_iban(iban: Column) -> Column:

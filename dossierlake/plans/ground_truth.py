@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from dossierlake import constants as C
-from dossierlake.functions import evidence
+from dossierlake.functions import evidence, files
 from dossierlake.functions.text import strip
 from dossierlake.operators.paths import resolve_paths, unresolved
 from dossierlake.operators.setops import fan_out_variants
@@ -15,14 +15,26 @@ from dossierlake.operators.summaries import supported_documents
 def build_ground_truth(manifest: DataFrame, listing: DataFrame, texts: DataFrame) -> DataFrame:
     """Eleven text columns, one row per PDF and one per scan.
 
-    ``texts`` carries filename, company_siret and text. Manifest rows whose
-    PDF is missing are left out here; check them with :func:`missing_documents`.
+    ``texts`` carries filename, company_siret and text. Texts are reduced to
+    their findings before any join, so no document text is ever shuffled, and
+    all three tables meet on (company, document). Manifest rows whose PDF is
+    missing are left out here; check them with :func:`missing_documents`.
     """
     fraud = evidence.parse_bool(F.col("is_fraud"))
     documents = resolve_paths(supported_documents(manifest), listing, fraud).where(F.col("pdf_path").isNotNull())
-    read = documents.join(texts.select("company_siret", "filename", "text"), ["company_siret", "filename"], "left")
-    body = F.coalesce("text", F.lit(""))
-    fields = evidence.fields_by_type(F.col("doc_type"), body, F.col("company_siret"))
+    read_texts = texts.select(
+        "company_siret",
+        files.stem(F.col("filename")).alias("document"),
+        F.struct(*[column.alias(name) for name, column in evidence.findings(F.col("text")).items()]).alias("found"),
+    )
+    read = documents.join(read_texts, ["company_siret", "document"], "left")
+    blank = F.lit("")
+    found = {
+        "shown": F.coalesce("found.shown", F.array().cast("array<string>")),
+        "head_office": F.col("found.head_office"),
+        **{name: F.coalesce(f"found.{name}", blank) for name in ("ht", "ttc", "valid_until")},
+    }
+    fields = evidence.fields_by_type(F.col("doc_type"), F.col("company_siret"), found)
     labelled = read.select(
         "filename",
         "doc_type",

@@ -6,33 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake import constants as C
 from dossierlake.functions import risk
+from dossierlake.operators.skew import salted_left_join
 from dossierlake.plans.training import amount_quantiles, feature_column
 
-# A company may own a third of all documents: its rows spread over this many join keys.
-SALTS = 16
-
 
 def with_company_bounds(df: DataFrame, bounds: DataFrame, siret: Column, doc_type: Column, spread: Column) -> DataFrame:
-    """Left-join ``company_low`` and ``company_high`` on (company, type).
-
-    The bounds grow with the number of companies, so no broadcast is forced:
-    Spark broadcasts them below its size threshold and shuffles otherwise. For
-    the shuffle the small side is repeated once per salt and each document
-    takes one salt from the hash of ``spread``.
-    """
-    salted = bounds.select(
-        F.col("siret").alias("bound_siret"),
-        F.col("doc_type").alias("bound_type"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bound_salt"),
-        F.col("p5").alias("company_low"),
-        F.col("p95").alias("company_high"),
-    )
-    match = (
-        (siret == F.col("bound_siret"))
-        & (doc_type == F.col("bound_type"))
-        & (F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") == F.col("bound_salt"))
+    """Add ``company_low`` and ``company_high``. The bounds grow with the number of companies."""
+    named = bounds.select(
+        "siret", "doc_type", F.col("p5").alias("company_low"), F.col("p95").alias("company_high")
     )
-    return df.join(salted, match, "left").drop("bound_siret", "bound_type", "bound_salt")
+    return salted_left_join(df, named, {"siret": siret, "doc_type": doc_type}, spread)
 
 
 def with_outlook(df: DataFrame, bounds: DataFrame, outlook: DataFrame) -> DataFrame:

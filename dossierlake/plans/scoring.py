@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dossierlake import constants as C
 from dossierlake.functions import doctype, risk
+from dossierlake.operators.skew import salted_left_join
 from dossierlake.plans.lookups import with_company_bounds, with_outlook
 from dossierlake.plans.training import FraudModel, company_bounds
 
@@ -68,9 +69,10 @@ def route(validated: DataFrame, imported_at: str, file: str | None = None) -> Da
         validated.groupBy(file)
         .agg(F.max("fraud_score").alias("_top"))
         .where(F.col("_top") >= C.HIGH_RISK)
-        .select(file, F.lit(C.HIGH_RISK_ZONE).alias("zone"))
+        .select(file, F.lit(C.HIGH_RISK_ZONE).alias("_zone"))
     )
-    return stamped.join(high, file, "left").withColumn("zone", F.coalesce("zone", F.lit(C.STANDARD_ZONE)))
+    routed = salted_left_join(stamped, high, {file: F.col(file)}, F.xxhash64("ocr_text"))
+    return routed.withColumn("zone", F.coalesce("_zone", F.lit(C.STANDARD_ZONE))).drop("_zone")
 
 
 def silver_to_gold(silver: DataFrame, model: FraudModel, imported_at: str, file: str | None = None) -> DataFrame:

@@ -814,7 +814,7 @@ column_query("s_gt_rib", "fx_text", "doc_id", lambda: dict(siret_doc=evidence.si
 def s_gt_dispatch(spark, sf_dir):
     texts = fixture(spark, sf_dir, "fx_text").select("doc_id", "text")
     rows = fixture(spark, sf_dir, "fx_manifest").join(texts, "doc_id")
-    fields = evidence.fields_by_type(F.col("doc_type"), F.col("text"), F.col("company_siret"))
+    fields = evidence.fields_by_type(F.col("doc_type"), F.col("company_siret"), evidence.findings(F.col("text")))
     return rows.select("doc_id", *[column.alias(name) for name, column in fields.items()])
 
 
