@@ -38,22 +38,26 @@ def created_at(df: DataFrame) -> Column:
     return first_filled(df, C.CREATED_AT_CANDIDATES)
 
 
-def fraud_summary(fraud_score: Column, doc_type: Column, siret: Column, expired: Column) -> Column:
-    """At most two alerts behind a prefix chosen by the score."""
-    score = F.coalesce(fraud_score, F.lit(0.0))
-    alerts = F.array_compact(
+def alerts(doc_type: Column, siret: Column, expired: Column) -> Column:
+    """What a user should know about the document, in order."""
+    return F.array_compact(
         F.array(
             F.when(expired, C.ALERT_EXPIRED),
             F.when(doc_type == C.UNKNOWN_TYPE, C.ALERT_TYPE),
             F.when(doctype.requires(doc_type, "siret") & ~has_text(siret), C.ALERT_FIELDS),
         )
     )
-    first_two = F.array_join(F.slice(alerts, 1, 2), " ")
+
+
+def fraud_summary(fraud_score: Column, alert_list: Column) -> Column:
+    """At most two alerts behind a prefix chosen by the score."""
+    score = F.coalesce(fraud_score, F.lit(0.0))
+    first_two = F.array_join(F.slice(alert_list, 1, 2), " ")
     return (
-        F.when(F.size(alerts) == 0, C.SUMMARY_NONE)
+        F.when(F.size(alert_list) == 0, C.SUMMARY_NONE)
         .when(score >= C.HIGH_RISK, F.concat(F.lit(C.SUMMARY_HIGH), first_two))
         .when(score >= C.SUSPECT, F.concat(F.lit(C.SUMMARY_MEDIUM), first_two))
-        .otherwise(F.concat(F.lit(C.SUMMARY_LOW), F.get(alerts, F.lit(0))))
+        .otherwise(F.concat(F.lit(C.SUMMARY_LOW), F.get(alert_list, F.lit(0))))
     )
 
 

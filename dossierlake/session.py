@@ -18,6 +18,8 @@ def local_session(cores: str = "8", app: str = "dossierlake") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Methods beyond this size are never compiled by the JVM; Spark then splits them by operator.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Call sites recorded for every Column make large expressions slow to build.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")

@@ -731,7 +731,11 @@ column_query(
 column_query("s_ml_flag", "fx_gold", "doc_id", lambda: dict(flag=risk.ml_flag(F.col("fraud_score"))))
 column_query(
     "s_fraud_summary", "fx_gold", "doc_id",
-    lambda: dict(summary=display.fraud_summary(F.col("fraud_score"), _gold_kind(), F.col("siret"), F.col("mentions_expired"))),
+    lambda: dict(
+        summary=display.fraud_summary(
+            F.col("fraud_score"), display.alerts(_gold_kind(), F.col("siret"), F.col("mentions_expired"))
+        )
+    ),
 )
 column_query(
     "s_api_status", "fx_gold", "doc_id", lambda: dict(status=display.api_status(F.col("statut_fraude"), F.col("fraud_score")))
