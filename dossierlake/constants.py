@@ -16,6 +16,17 @@ REQUIRED_FIELDS = {
     "unknown": [],
 }
 
+# --- words by which scoring recognises a type or a file ----------------------
+TYPE_NAMES = {"facture": ["invoice", "facture"], "devis": ["quote", "devis"]}
+TYPE_WORDS = {"attestation_urssaf": ["attestation", "urssaf"], "kbis": ["kbis"], "rib": ["rib"]}
+FILE_WORDS = {
+    "facture": ["facture"],
+    "devis": ["devis"],
+    "attestation_urssaf": ["attestation", "urssaf"],
+    "kbis": ["kbis"],
+    "rib": ["rib"],
+}
+
 # --- words by which the dashboard recognises a type or a file ----------------
 DASHBOARD_TYPE_WORDS = {
     "FACTURE": ["facture", "invoice"],

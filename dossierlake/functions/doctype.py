@@ -2,51 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
 from dossierlake import constants as C
 
 
-def _is_word(text: Column, words: list[str]) -> Column:
-    """Whether the lower-case text is one of the words, whitespace around it aside."""
-    return text.rlike(r"(?U)^[\s\x1c-\x1f]*(?:" + "|".join(words) + r")[\s\x1c-\x1f]*\z")
+def _first_label(words: dict[str, list[str]], matches: Callable[[str], Column]) -> Column:
+    """First label with a matching word, null when none matches."""
+    hits = [F.when(reduce(or_, map(matches, options)), label) for label, options in words.items()]
+    return F.coalesce(*hits)
+
+
+def _alone_in(text: Column) -> Callable[[str], Column]:
+    """Test for a word that is the whole text, whitespace around it aside."""
+    return lambda word: text.rlike(rf"(?U)^[\s\x1c-\x1f]*{word}[\s\x1c-\x1f]*\z")
 
 
 def normalize(doc_type: Column, file_name: Column) -> Column:
     """Scoring type: the declared type decides, then the file name."""
     raw, name = F.lower(F.coalesce(doc_type, F.lit(""))), F.lower(F.coalesce(file_name, F.lit("")))
-    return (
-        F.when(_is_word(raw, ["invoice", "facture"]), "facture")
-        .when(_is_word(raw, ["quote", "devis"]), "devis")
-        .when(raw.contains("attestation") | raw.contains("urssaf"), "attestation_urssaf")
-        .when(raw.contains("kbis"), "kbis")
-        .when(raw.contains("rib"), "rib")
-        .when(name.contains("facture"), "facture")
-        .when(name.contains("devis"), "devis")
-        .when(name.contains("attestation") | name.contains("urssaf"), "attestation_urssaf")
-        .when(name.contains("kbis"), "kbis")
-        .when(name.contains("rib"), "rib")
-        .otherwise(C.UNKNOWN_TYPE)
+    return F.coalesce(
+        _first_label(C.TYPE_NAMES, _alone_in(raw)),
+        _first_label(C.TYPE_WORDS, raw.contains),
+        _first_label(C.FILE_WORDS, name.contains),
+        F.lit(C.UNKNOWN_TYPE),
     )
 
 
-def _first_label(text: Column, words: dict[str, list[str]]) -> Column:
-    """First label one of whose words occurs in the text."""
-    hits = [
-        F.when(reduce(lambda a, b: a | b, [text.contains(word) for word in options]), label)
-        for label, options in words.items()
-    ]
-    return F.coalesce(*hits)
-
-
 def dashboard_type(doc_type: Column, file_name: Column) -> Column:
     """Dashboard type: every word is a substring test, labels are upper-case."""
-    raw = F.lower(F.coalesce(doc_type, F.lit("")))
-    name = F.lower(F.coalesce(file_name, F.lit("")))
+    raw, name = F.lower(F.coalesce(doc_type, F.lit(""))), F.lower(F.coalesce(file_name, F.lit("")))
     return F.coalesce(
-        _first_label(raw, C.DASHBOARD_TYPE_WORDS), _first_label(name, C.DASHBOARD_FILE_WORDS), F.lit("AUTRE")
+        _first_label(C.DASHBOARD_TYPE_WORDS, raw.contains),
+        _first_label(C.DASHBOARD_FILE_WORDS, name.contains),
+        F.lit("AUTRE"),
     )
 
 

@@ -719,24 +719,30 @@ def _gold_kind() -> Column:
     return doctype.normalize(F.col("document_type"), F.col("source_file"))
 
 
-def _gold_issues() -> Column:
-    return risk.issues(_gold_kind(), F.col("siret"), F.col("amount_total"), F.col("mentions_expired"))
+def _with_issues(gold: DataFrame) -> DataFrame:
+    found = risk.issues(F.col("kind"), F.col("siret"), F.col("amount_total"), F.col("mentions_expired"))
+    return gold.withColumn("kind", _gold_kind()).withColumn("issues", found)
+
+
+@with_fixture("s_issues", "fx_gold")
+def s_issues(gold):
+    return _with_issues(gold).select("doc_id", F.array_join("issues", ", ").alias("motif"))
+
+
+@with_fixture("s_statut", "fx_gold")
+def s_statut(gold):
+    statut = risk.verdict(F.col("fraud_score"), F.col("ml_probability"), F.size("issues"))
+    return _with_issues(gold).select("doc_id", statut.alias("statut"))
 
 
-column_query("s_issues", "fx_gold", "doc_id", lambda: dict(motif=F.array_join(_gold_issues(), ", ")))
-column_query(
-    "s_statut", "fx_gold", "doc_id",
-    lambda: dict(statut=risk.verdict(F.col("fraud_score"), F.col("ml_probability"), F.size(_gold_issues()))),
-)
 column_query("s_ml_flag", "fx_gold", "doc_id", lambda: dict(flag=risk.ml_flag(F.col("fraud_score"))))
-column_query(
-    "s_fraud_summary", "fx_gold", "doc_id",
-    lambda: dict(
-        summary=display.fraud_summary(
-            F.col("fraud_score"), display.alerts(_gold_kind(), F.col("siret"), F.col("mentions_expired"))
-        )
-    ),
-)
+@with_fixture("s_fraud_summary", "fx_gold")
+def s_fraud_summary(gold):
+    found = display.alerts(F.col("kind"), F.col("siret"), F.col("mentions_expired"))
+    rows = gold.withColumn("kind", _gold_kind()).withColumn("alerts", found)
+    return rows.select("doc_id", display.fraud_summary(F.col("fraud_score"), F.col("alerts")).alias("summary"))
+
+
 column_query(
     "s_api_status", "fx_gold", "doc_id", lambda: dict(status=display.api_status(F.col("statut_fraude"), F.col("fraud_score")))
 )

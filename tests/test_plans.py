@@ -4,9 +4,10 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from dossierlake.operators import dedup, summaries
-from dossierlake.plans import bronze_silver, scoring, training
+from dossierlake.plans import bronze_silver, ground_truth, scoring, training
 from dossierlake.sources import bronze, tables
 from dossierlake.workloads import queries
 from dossierlake.workloads.fixtures import fixture
@@ -52,6 +53,16 @@ def test_scoring_shuffles_once_and_salted_when_companies_are_many(spark, sf_dir,
     assert text.count("BroadcastHashJoin LeftOuter") == 1, "the outlook stays broadcast"
 
 
+def test_ground_truth_shuffles_findings_not_texts(spark, sf_dir, small_broadcasts_off):
+    manifest = fixture(spark, sf_dir, "fx_manifest").withColumn("fraud_type", F.lit(""))
+    texts = spark.createDataFrame([], "company_siret string, filename string, text string")
+    listing = fixture(spark, sf_dir, "fx_files")
+    text = plan(ground_truth.build_ground_truth(manifest, listing, texts))
+    shuffles = exchanges(text)
+    assert len(shuffles) == 3, "manifest, listing and findings"
+    assert all("hashpartitioning(company_siret" in line and "document" in line for line in shuffles)
+
+
 def test_extraction_is_one_projection(spark, sf_dir):
     text = plan(bronze_silver.bronze_to_silver(queries._bronze_pages(fixture(spark, sf_dir, "fx_text"))))
     assert "Exchange" not in text and "Python" not in text
