@@ -38,26 +38,27 @@ def created_at(df: DataFrame) -> Column:
     return first_filled(df, C.CREATED_AT_CANDIDATES)
 
 
-def alerts(doc_type: Column, siret: Column, expired: Column) -> Column:
-    """What a user should know about the document, in order."""
-    return F.array_compact(
-        F.array(
-            F.when(expired, C.ALERT_EXPIRED),
-            F.when(doc_type == C.UNKNOWN_TYPE, C.ALERT_TYPE),
-            F.when(doctype.requires(doc_type, "siret") & ~has_text(siret), C.ALERT_FIELDS),
-        )
-    )
+def alerts(doc_type: Column, siret: Column, expired: Column) -> list[Column]:
+    """What a user should know about the document: three texts in order, each null when it does not apply."""
+    return [
+        F.when(expired, C.ALERT_EXPIRED),
+        F.when(doc_type == C.UNKNOWN_TYPE, C.ALERT_TYPE),
+        F.when(doctype.requires(doc_type, "siret") & ~has_text(siret), C.ALERT_FIELDS),
+    ]
 
 
-def fraud_summary(fraud_score: Column, alert_list: Column) -> Column:
+def fraud_summary(fraud_score: Column, found: list[Column]) -> Column:
     """At most two alerts behind a prefix chosen by the score."""
     score = F.coalesce(fraud_score, F.lit(0.0))
-    first_two = F.array_join(F.slice(alert_list, 1, 2), " ")
+    first, second, third = found
+    both_before = first.isNotNull() & second.isNotNull()
+    first_two = F.concat_ws(" ", first, second, F.when(~both_before, third))
+    first_one = F.coalesce(*found)
     return (
-        F.when(F.size(alert_list) == 0, C.SUMMARY_NONE)
+        F.when(first_one.isNull(), C.SUMMARY_NONE)
         .when(score >= C.HIGH_RISK, F.concat(F.lit(C.SUMMARY_HIGH), first_two))
         .when(score >= C.SUSPECT, F.concat(F.lit(C.SUMMARY_MEDIUM), first_two))
-        .otherwise(F.concat(F.lit(C.SUMMARY_LOW), F.get(alert_list, F.lit(0))))
+        .otherwise(F.concat(F.lit(C.SUMMARY_LOW), first_one))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, functions as F
 
@@ -31,7 +32,7 @@ def ocr_degraded(engine: Column) -> Column:
 
 def is_image(file_name: Column) -> Column:
     name = F.lower(F.coalesce(file_name, F.lit("")))
-    return reduce(lambda a, b: a | b, [name.endswith("." + suffix) for suffix in C.IMAGE_SUFFIXES])
+    return reduce(or_, [name.endswith("." + suffix) for suffix in C.IMAGE_SUFFIXES])
 
 
 def has_text(value: Column) -> Column:
@@ -111,20 +112,24 @@ def blend(ml: Column, rule: Column, type_rate: Column, expired: Column) -> Colum
     return F.least(F.when(expired, F.greatest(best, F.lit(C.EXPIRED_FLOOR))).otherwise(best), F.lit(1.0))
 
 
-def issues(doc_type: Column, siret: Column, amount: Column, expired: Column) -> Column:
-    """Ordered list of issue texts."""
+def issues(doc_type: Column, siret: Column, amount: Column, expired: Column) -> list[Column]:
+    """The four possible issue texts in order, each null when it does not apply."""
     value = finite(amount)
-    amount_issue = F.when(
-        doctype.requires(doc_type, "amount_total") & value.isNull(), C.ISSUE_NO_AMOUNT
-    ).when(value > C.HIGH_AMOUNT, C.ISSUE_HIGH_AMOUNT)
-    return F.array_compact(
-        F.array(
-            F.when(doctype.requires(doc_type, "siret") & ~has_text(siret), C.ISSUE_SIRET),
-            F.when(doc_type == C.UNKNOWN_TYPE, C.ISSUE_TYPE),
-            F.when(expired, C.ISSUE_EXPIRED),
-            amount_issue,
-        )
-    )
+    no_amount = doctype.requires(doc_type, "amount_total") & value.isNull()
+    return [
+        F.when(doctype.requires(doc_type, "siret") & ~has_text(siret), C.ISSUE_SIRET),
+        F.when(doc_type == C.UNKNOWN_TYPE, C.ISSUE_TYPE),
+        F.when(expired, C.ISSUE_EXPIRED),
+        F.when(no_amount, C.ISSUE_NO_AMOUNT).when(value > C.HIGH_AMOUNT, C.ISSUE_HIGH_AMOUNT),
+    ]
+
+
+def issue_text(found: list[Column]) -> Column:
+    return F.concat_ws(", ", *found)
+
+
+def issue_count(found: list[Column]) -> Column:
+    return reduce(add, [issue.isNotNull().cast("int") for issue in found])
 
 
 def verdict(fraud_score: Column, ml_probability: Column, issue_count: Column) -> Column:

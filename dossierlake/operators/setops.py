@@ -24,13 +24,11 @@ def fan_out_variants(documents: DataFrame, file_name: Column, pdf_path: Column,
         )
 
     scan_name = F.element_at(F.split(scan_path, "/"), -1)
-    variants = F.array_compact(
-        F.array(
-            variant(file_name, "none", pdf_path),
-            F.when(scan_path.isNotNull(), variant(scan_name, "scan_degraded", scan_path)),
-        )
+    variants = F.array(
+        variant(file_name, "none", pdf_path),
+        F.when(scan_path.isNotNull(), variant(scan_name, "scan_degraded", scan_path)),
     )
-    return documents.withColumn("variant", F.explode(variants)).select(
+    return documents.withColumn("variant", F.explode(variants)).where(F.col("variant").isNotNull()).select(
         *[name for name in documents.columns],
         F.col("variant.filename").alias("variant_filename"),
         F.col("variant.degradation").alias("degradation"),

@@ -20,21 +20,18 @@ def enrich(gold: DataFrame) -> DataFrame:
     """Add filename, fraud_summary, status, preview_url and createdAt."""
     score = F.col("fraud_score")
     fallback = F.col("filename") if "filename" in gold.columns else F.lit(None).cast("string")
-    # Type and alerts are columns of their own, so that each is computed once per row.
-    noted = (
-        clean_numbers(gold)
-        .withColumn("_type", doctype.normalize(F.col("document_type"), F.col("source_file")))
-        .withColumn("_alerts", display.alerts(F.col("_type"), F.col("siret"), F.col("mentions_expired")))
-    )
-    return noted.withColumns(
+    # The type is a column of its own, so that it is computed once per row.
+    typed = clean_numbers(gold).withColumn("_type", doctype.normalize(F.col("document_type"), F.col("source_file")))
+    alerts = display.alerts(F.col("_type"), F.col("siret"), F.col("mentions_expired"))
+    return typed.withColumns(
         {
             "filename": F.coalesce(blank_to_null(F.col("source_file")), fallback, F.lit(C.UNKNOWN_FILENAME)),
-            "fraud_summary": display.fraud_summary(score, F.col("_alerts")),
+            "fraud_summary": display.fraud_summary(score, alerts),
             "status": display.api_status(F.col("statut_fraude"), score),
             "preview_url": files.preview_url(F.col("source_file")),
             "createdAt": display.created_at(gold),
         }
-    ).drop("_type", "_alerts")
+    ).drop("_type")
 
 
 def items(records: DataFrame, fallback_id: str, now: str, base_url: str = "") -> DataFrame:

@@ -41,16 +41,20 @@ def score(silver: DataFrame, model: FraudModel) -> DataFrame:
 
 def validate(scored: DataFrame) -> DataFrame:
     """Add statut_fraude, motif and ml_flag; decisions use the rounded scores."""
-    issues = risk.issues(F.col("_type"), F.col("siret"), F.col("amount_total"), F.col("mentions_expired"))
+    kind = doctype.normalize(F.col("document_type"), F.col("source_file"))
+    found = risk.issues(F.col("_type"), F.col("siret"), F.col("amount_total"), F.col("mentions_expired"))
     return (
-        scored.withColumn("_type", doctype.normalize(F.col("document_type"), F.col("source_file")))
-        .withColumn("_issues", issues)
-        .withColumn(
-            "statut_fraude", risk.verdict(F.col("fraud_score"), F.col("ml_probability"), F.size("_issues"))
+        scored.withColumn("_type", kind)
+        .withColumns(
+            {
+                "statut_fraude": risk.verdict(
+                    F.col("fraud_score"), F.col("ml_probability"), risk.issue_count(found)
+                ),
+                "motif": risk.issue_text(found),
+                "ml_flag": risk.ml_flag(F.col("fraud_score")),
+            }
         )
-        .withColumn("motif", F.array_join("_issues", ", "))
-        .withColumn("ml_flag", risk.ml_flag(F.col("fraud_score")))
-        .drop("_type", "_issues")
+        .drop("_type")
     )
 
 

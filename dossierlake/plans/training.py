@@ -64,9 +64,10 @@ def amount_counts(ground_truth: DataFrame, levels: list[str]) -> DataFrame:
             legit & F.col("siret").isNotNull(), group("company", F.col("siret"), F.col("doc_type"))
         ),
     }
-    member = F.explode(F.array_compact(F.array(*[groups[level] for level in levels])))
+    memberships = F.explode(F.array(*[groups[level] for level in levels]))
     return (
-        rows.select(member.alias("group"), "value")
+        rows.select(memberships.alias("group"), "value")
+        .where(F.col("group").isNotNull())
         .groupBy("group.level", "group.siret", "group.doc_type", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

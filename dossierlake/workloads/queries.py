@@ -719,28 +719,30 @@ def _gold_kind() -> Column:
     return doctype.normalize(F.col("document_type"), F.col("source_file"))
 
 
-def _with_issues(gold: DataFrame) -> DataFrame:
-    found = risk.issues(F.col("kind"), F.col("siret"), F.col("amount_total"), F.col("mentions_expired"))
-    return gold.withColumn("kind", _gold_kind()).withColumn("issues", found)
+def _typed(gold: DataFrame) -> DataFrame:
+    return gold.withColumn("kind", _gold_kind())
+
+
+def _issues() -> list[Column]:
+    return risk.issues(F.col("kind"), F.col("siret"), F.col("amount_total"), F.col("mentions_expired"))
 
 
 @with_fixture("s_issues", "fx_gold")
 def s_issues(gold):
-    return _with_issues(gold).select("doc_id", F.array_join("issues", ", ").alias("motif"))
+    return _typed(gold).select("doc_id", risk.issue_text(_issues()).alias("motif"))
 
 
 @with_fixture("s_statut", "fx_gold")
 def s_statut(gold):
-    statut = risk.verdict(F.col("fraud_score"), F.col("ml_probability"), F.size("issues"))
-    return _with_issues(gold).select("doc_id", statut.alias("statut"))
+    statut = risk.verdict(F.col("fraud_score"), F.col("ml_probability"), risk.issue_count(_issues()))
+    return _typed(gold).select("doc_id", statut.alias("statut"))
 
 
 column_query("s_ml_flag", "fx_gold", "doc_id", lambda: dict(flag=risk.ml_flag(F.col("fraud_score"))))
 @with_fixture("s_fraud_summary", "fx_gold")
 def s_fraud_summary(gold):
     found = display.alerts(F.col("kind"), F.col("siret"), F.col("mentions_expired"))
-    rows = gold.withColumn("kind", _gold_kind()).withColumn("alerts", found)
-    return rows.select("doc_id", display.fraud_summary(F.col("fraud_score"), F.col("alerts")).alias("summary"))
+    return _typed(gold).select("doc_id", display.fraud_summary(F.col("fraud_score"), found).alias("summary"))
 
 
 column_query(

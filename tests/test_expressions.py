@@ -177,13 +177,25 @@ def test_nan_amount_counts_as_missing(spark):
     amount = F.lit(float("nan"))
     assert value(spark, risk.amount_band(amount, F.lit(1.0), F.lit(2.0)), x="") == "missing"
     found = risk.issues(F.lit("facture"), F.lit("1"), amount, F.lit(False))
-    assert value(spark, found, x="") == ["Montant manquant"]
+    assert value(spark, risk.issue_text(found), x="") == "Montant manquant"
 
 
 def test_issue_order(spark):
     found = risk.issues(F.lit("unknown"), F.lit(""), F.lit(100000.01), F.lit(True))
-    assert value(spark, found, x="") == ["Type document inconnu", "Document expire", "Montant suspect eleve"]
-    assert value(spark, risk.issues(F.lit("rib"), F.lit(""), F.lit(100000.0), F.lit(False)), x="") == []
+    assert value(spark, risk.issue_text(found), x="") == "Type document inconnu, Document expire, Montant suspect eleve"
+    assert value(spark, risk.issue_count(found), x="") == 3
+    none = risk.issues(F.lit("rib"), F.lit(""), F.lit(100000.0), F.lit(False))
+    assert value(spark, risk.issue_text(none), x="") == "" and value(spark, risk.issue_count(none), x="") == 0
+
+
+def test_summary_shows_two_alerts_at_most(spark):
+    alerts = display.alerts(F.lit("unknown"), F.lit(""), F.lit(True))
+    assert value(spark, display.fraud_summary(F.lit(0.8), alerts), x="").count(".") == 2
+    assert value(spark, display.fraud_summary(F.lit(0.1), alerts), x="") == "Information utile : Le document semble expire."
+    missing = display.alerts(F.lit("kbis"), F.lit(None).cast("string"), F.lit(None).cast("boolean"))
+    assert value(spark, display.fraud_summary(F.lit(0.45), missing), x="") == (
+        "Points a verifier : Certaines informations obligatoires sont absentes."
+    )
 
 
 def test_blend_floor_for_expired(spark):
