@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 SALTS = 16
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: dict[str, Column], spread: Column) -> DataFrame:
+def salted_left_join(
+    left: DataFrame, right: DataFrame, keys: dict[str, Column], spread: Column, salts: int = SALTS
+) -> DataFrame:
     """Left-join ``right``, which has one row per key, without sending a hot key to one task.
 
     ``keys`` maps a column of ``right`` to an expression over ``left``. No
@@ -17,9 +19,9 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: dict[str, Column],
     each left row takes the salt given by the hash of ``spread``.
     """
     others = [F.col(name) for name in right.columns if name not in keys]
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salted = right.select(*[F.col(name).alias(f"_key_{name}") for name in keys], *others, salts)
-    match = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") == F.col("_salt")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    salted = right.select(*[F.col(name).alias(f"_key_{name}") for name in keys], *others, salt)
+    match = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int") == F.col("_salt")
     for name, column in keys.items():
         match = match & (column == F.col(f"_key_{name}"))
     return left.join(salted, match, "left").drop("_salt", *[f"_key_{name}" for name in keys])

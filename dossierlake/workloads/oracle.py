@@ -651,7 +651,8 @@ sql(
 FROM fx_gold""",
     use=GOLD,
 )
-sql("s_preview_url", f"SELECT path, {url(chr(39) + 'a b+é~(*)' + chr(39) + ' || path')} AS url, '' AS blank FROM fx_files", use=("fx_files",))
+QUOTED = url("concat('a b+é~(*)', path)")
+sql("s_preview_url", f"SELECT path, {QUOTED} AS url, '' AS blank FROM fx_files", use=("fx_files",))
 sql("s_nulls", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN amount_total END AS amount FROM fx_silver", use=("fx_silver",))
 sql(
     "s_media_kind",
@@ -668,11 +669,8 @@ sql(
 FROM (SELECT *, {ui_kind('document_type', 'source_file')} AS t FROM fx_gold) g""",
     use=GOLD,
 )
-sql(
-    "s_parse_bool",
-    f"SELECT doc_id, {truth(chr(108) + 'ower(trim(fraud_status)) IN (' + chr(39) + '1' + chr(39) + ', ' + chr(39) + 'true' + chr(39) + ')')} AS flag FROM fx_records",
-    use=RECORDS,
-)
+IS_TRUE = truth("lower(trim(fraud_status)) IN ('1', 'true', 'yes', 'y')")
+sql("s_parse_bool", f"SELECT doc_id, {IS_TRUE} AS flag FROM fx_records", use=RECORDS)
 sql(
     "s_norm_amount",
     "SELECT doc_id, coalesce(cast(cast(amount_total AS decimal(18,2)) AS varchar), '') AS amount FROM fx_silver",
@@ -697,7 +695,8 @@ def gt_amount(word: str) -> str:
 
 VALID = r"regexp_extract(text, 'Du\s+(\d{2}/\d{2}/\d{4})\s+au\s+(\d{2}/\d{2}/\d{4})', 2)"
 VALID_END = f"CASE WHEN {VALID} = '' THEN '' ELSE concat(substr({VALID}, 7, 4), '-', substr({VALID}, 4, 2), '-', substr({VALID}, 1, 2)) END"
-KBIS = f"coalesce({found('text', chr(40) + '?i)SIRET' + chr(92) + 's*' + chr(92) + '(siège' + chr(92) + ')' + chr(92) + 's*:' + chr(92) + 's*(' + chr(92) + 'd{14})')}, {gt_siret('text')})"
+HEAD_OFFICE = found("text", r"(?i)SIRET\s*\(siège\)\s*:\s*(\d{14})")
+KBIS = f"coalesce({HEAD_OFFICE}, {gt_siret('text')})"
 TEXT = ("fx_text",)
 sql(
     "s_gt_siret",

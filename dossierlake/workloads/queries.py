@@ -626,33 +626,46 @@ def s_hint_prefix(pages):
     )
 
 
-column_query("s_norm_ws", "fx_pages", "doc_id", lambda: dict(text=text.collapse_whitespace(F.col("text"))))
-column_query("s_siret", "fx_pages", "doc_id", lambda: dict(siret=extract.siret(text.collapse_whitespace(F.col("text")))))
-column_query("s_amount", "fx_pages", "doc_id", lambda: dict(amount_total=extract.amount(text.collapse_whitespace(F.col("text")))))
-column_query("s_ocr_type", "fx_pages", "doc_id", lambda: dict(document_type=extract.document_kind(F.col("text"))))
-column_query("s_expired", "fx_pages", "doc_id", lambda: dict(expired=text_of(extract.mentions_expired(F.col("text")))))
-column_query("s_trunc", "fx_pages", "doc_id", lambda: dict(ocr_text=text.stored_text(F.col("text"))))
-column_query("s_silver_key", "fx_files", "path", lambda: dict(silver_key=files.silver_key(F.col("path"))))
+column_query("s_norm_ws", "fx_pages", "doc_id", lambda: {"text": text.collapse_whitespace(F.col("text"))})
+column_query("s_siret", "fx_pages", "doc_id", lambda: {"siret": extract.siret(text.collapse_whitespace(F.col("text")))})
+column_query(
+    "s_amount", "fx_pages", "doc_id",
+    lambda: {
+        "amount_total": extract.amount(text.collapse_whitespace(F.col("text"))),
+    },
+)
+column_query("s_ocr_type", "fx_pages", "doc_id", lambda: {"document_type": extract.document_kind(F.col("text"))})
+column_query("s_expired", "fx_pages", "doc_id", lambda: {"expired": text_of(extract.mentions_expired(F.col("text")))})
+column_query("s_trunc", "fx_pages", "doc_id", lambda: {"ocr_text": text.stored_text(F.col("text"))})
+column_query("s_silver_key", "fx_files", "path", lambda: {"silver_key": files.silver_key(F.col("path"))})
 column_query(
     "s_norm_doc_type", "fx_records", "doc_id",
-    lambda: dict(from_declared=doctype.normalize(F.col("doc_type"), F.col("nom_document")),
-    from_file=doctype.normalize(F.lit(None).cast("string"), F.col("nom_document"))),
+    lambda: {
+        "from_declared": doctype.normalize(F.col("doc_type"), F.col("nom_document")),
+        "from_file": doctype.normalize(F.lit(None).cast("string"), F.col("nom_document")),
+    },
 )
 column_query(
     "s_ui_doc_type", "fx_records", "doc_id",
-    lambda: dict(from_declared=doctype.dashboard_type(F.col("doc_type"), F.col("nom_document")),
-    from_file=doctype.dashboard_type(F.lit(None).cast("string"), F.col("nom_document"))),
+    lambda: {
+        "from_declared": doctype.dashboard_type(F.col("doc_type"), F.col("nom_document")),
+        "from_file": doctype.dashboard_type(F.lit(None).cast("string"), F.col("nom_document")),
+    },
 )
 column_query(
     "s_ui_status", "fx_records", "doc_id",
-    lambda: dict(from_text=display.dashboard_status(F.col("fraud_status")),
-    from_boolean=display.dashboard_status(F.col("is_fraud"), boolean=True)),
+    lambda: {
+        "from_text": display.dashboard_status(F.col("fraud_status")),
+        "from_boolean": display.dashboard_status(F.col("is_fraud"), boolean=True),
+    },
 )
-column_query("s_ui_score", "fx_records", "doc_id", lambda: dict(score=display.dashboard_score(F.col("fraudScore"))))
+column_query("s_ui_score", "fx_records", "doc_id", lambda: {"score": display.dashboard_score(F.col("fraudScore"))})
 column_query(
     "s_resolve_siret", "fx_silver", "doc_id",
-    lambda: dict(resolved=risk.resolve_siret(F.col("siret"), F.col("source_file")),
-    unnamed=risk.resolve_siret(F.col("siret"), F.concat(F.lit("x"), F.col("source_file")))),
+    lambda: {
+        "resolved": risk.resolve_siret(F.col("siret"), F.col("source_file")),
+        "unnamed": risk.resolve_siret(F.col("siret"), F.concat(F.lit("x"), F.col("source_file"))),
+    },
 )
 
 
@@ -664,7 +677,12 @@ def s_amount_band(spark, sf_dir):
     return silver.select("doc_id", risk.amount_band(value, F.col("limits.q_low"), F.col("limits.q_mid")).alias("band"))
 
 
-column_query("s_ocr_degraded", "fx_silver", "doc_id", lambda: dict(degraded=text_of(risk.ocr_degraded(F.col("ocr_engine")))))
+column_query(
+    "s_ocr_degraded", "fx_silver", "doc_id",
+    lambda: {
+        "degraded": text_of(risk.ocr_degraded(F.col("ocr_engine"))),
+    },
+)
 
 
 @with_fixture("s_train_features", "fx_ground_truth")
@@ -738,7 +756,9 @@ def s_statut(gold):
     return _typed(gold).select("doc_id", statut.alias("statut"))
 
 
-column_query("s_ml_flag", "fx_gold", "doc_id", lambda: dict(flag=risk.ml_flag(F.col("fraud_score"))))
+column_query("s_ml_flag", "fx_gold", "doc_id", lambda: {"flag": risk.ml_flag(F.col("fraud_score"))})
+
+
 @with_fixture("s_fraud_summary", "fx_gold")
 def s_fraud_summary(gold):
     found = display.alerts(F.col("kind"), F.col("siret"), F.col("mentions_expired"))
@@ -746,7 +766,10 @@ def s_fraud_summary(gold):
 
 
 column_query(
-    "s_api_status", "fx_gold", "doc_id", lambda: dict(status=display.api_status(F.col("statut_fraude"), F.col("fraud_score")))
+    "s_api_status", "fx_gold", "doc_id",
+    lambda: {
+        "status": display.api_status(F.col("statut_fraude"), F.col("fraud_score")),
+    },
 )
 
 
@@ -761,8 +784,10 @@ def s_created_at(gold):
 
 column_query(
     "s_preview_url", "fx_files", "path",
-    lambda: dict(url=files.preview_url(F.concat(F.lit("a b+é~(*)"), F.col("path"))),
-    blank=files.preview_url(F.lit(""))),
+    lambda: {
+        "url": files.preview_url(F.concat(F.lit("a b+é~(*)"), F.col("path"))),
+        "blank": files.preview_url(F.lit("")),
+    },
 )
 
 
@@ -777,15 +802,26 @@ def s_nulls(silver):
 
 
 column_query(
-    "s_media_kind", "fx_files", "path", lambda: dict(kind=files.media_kind(F.col("path")), media_type=files.media_type(F.col("path")))
+    "s_media_kind", "fx_files", "path",
+    lambda: {
+        "kind": files.media_kind(F.col("path")),
+        "media_type": files.media_type(F.col("path")),
+    },
 )
 column_query(
     "s_labels", "fx_gold", "doc_id",
-    lambda: dict(type_label=display.type_label(doctype.dashboard_type(F.col("document_type"), F.col("source_file"))),
-    status_label=display.status_label(F.upper("statut_fraude")),
-    date_label=display.date_label(F.col("gold_imported_at"))),
+    lambda: {
+        "type_label": display.type_label(doctype.dashboard_type(F.col("document_type"), F.col("source_file"))),
+        "status_label": display.status_label(F.upper("statut_fraude")),
+        "date_label": display.date_label(F.col("gold_imported_at")),
+    },
+)
+column_query(
+    "s_parse_bool", "fx_records", "doc_id",
+    lambda: {
+        "flag": text_of(evidence.parse_bool(F.col("fraud_status"))),
+    },
 )
-column_query("s_parse_bool", "fx_records", "doc_id", lambda: dict(flag=text_of(evidence.parse_bool(F.col("fraud_status")))))
 
 
 @with_fixture("s_norm_amount", "fx_silver")
@@ -813,13 +849,24 @@ def s_gt_siret(texts):
 
 column_query(
     "s_gt_amounts", "fx_text", "doc_id",
-    lambda: dict(montant_ht=evidence.total_ht(F.col("text")), montant_ttc=evidence.total_ttc(F.col("text"))),
+    lambda: {
+        "montant_ht": evidence.total_ht(F.col("text")),
+        "montant_ttc": evidence.total_ttc(F.col("text")),
+    },
+)
+column_query("s_gt_validity", "fx_text", "doc_id", lambda: {"date_expiration": evidence.validity_end(F.col("text"))})
+column_query(
+    "s_gt_kbis", "fx_text", "doc_id",
+    lambda: {
+        "siret_doc": evidence.head_office_siret(F.col("text"), F.col("company_siret")),
+    },
 )
-column_query("s_gt_validity", "fx_text", "doc_id", lambda: dict(date_expiration=evidence.validity_end(F.col("text"))))
 column_query(
-    "s_gt_kbis", "fx_text", "doc_id", lambda: dict(siret_doc=evidence.head_office_siret(F.col("text"), F.col("company_siret")))
+    "s_gt_rib", "fx_text", "doc_id",
+    lambda: {
+        "siret_doc": evidence.siret(F.col("text"), F.col("company_siret")),
+    },
 )
-column_query("s_gt_rib", "fx_text", "doc_id", lambda: dict(siret_doc=evidence.siret(F.col("text"), F.col("company_siret"))))
 
 
 @query
@@ -852,7 +899,12 @@ def s_rcs(rows):
     return rows.select("company_no", display.trade_register(F.col("siren"), given).alias("numero_rcs"))
 
 
-column_query("s_fmt_money", "fx_invoice_lines", "invoice_id", lambda: dict(price=display.money(F.col("prix_unitaire_ht"))))
+column_query(
+    "s_fmt_money", "fx_invoice_lines", "invoice_id",
+    lambda: {
+        "price": display.money(F.col("prix_unitaire_ht")),
+    },
+)
 
 
 @with_fixture("s_fmt_iban", "fx_text")

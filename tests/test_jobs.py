@@ -85,12 +85,36 @@ def test_salted_join_equals_plain_join(spark):
     )
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
     plain = left.join(right, "k", "left").select("id", "w")
-    for threshold in ("-1", "10485760"):
+    for threshold in ("-1", "10485760"):  # the last one is Spark's default
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         joined = salted_left_join(left, right, {"k": F.col("k")}, F.col("id")).select("id", "w")
         assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
+def test_a_hot_key_spreads_over_the_shuffle(spark):
+    """A third of the rows share one key; no partition of the salted join holds more than an eighth of all rows."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, setting in settings.items():
+            spark.conf.set(name, setting)
+        left = spark.range(60000).select(
+            "id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k")
+        )
+        right = left.select("k").distinct().withColumn("w", F.col("k") * 2)
+        joined = salted_left_join(left, right, {"k": F.col("k")}, F.col("id"))
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert joined.where("w <> k * 2 OR w IS NULL").isEmpty() and sum(sizes) == 60000
+        assert max(sizes) < 60000 / 8
+    finally:
+        for name, setting in before.items():
+            spark.conf.set(name, setting)
+
+
 def test_paths_follow_hint_then_label(spark):
     listing = spark.createDataFrame(
         [("raw/s/a.pdf",), ("raw_fraud/s/a.pdf",), ("scans_fraud/s/a.png",), ("raw/s/b.pdf",), ("raw/t/a.pdf",)],
