@@ -22,6 +22,23 @@ EVERY_MINUTE: Trigger = {"processingTime": "1 minute"}
 DRAIN: Trigger = {"availableNow": True}
 
 
+def kept_during(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Keep a batch's rows while it is written and checked, so that it is extracted only once.
+
+    A batch is bounded by the files per trigger. Rows that do not fit go to
+    disk, and rows lost with an executor are computed again.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            write(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def without_ocr(objects: DataFrame) -> DataFrame:
     """Stand-in for a missing OCR model: every document falls back to its bytes."""
     return objects.withColumns(
@@ -56,11 +73,12 @@ def stream_bronze_to_silver(
     silver = bronze_to_silver(recognise(objects))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        one_per_silver_key(batch).select(*silver.columns).write.mode("overwrite").parquet(
-            f"{silver_root}/batch_id={batch_id}"
-        )
+        target = f"{silver_root}/batch_id={batch_id}"
+        kept = one_per_silver_key(batch).select(*silver.columns)
+        kept.write.mode("overwrite").parquet(target)
+        require_outputs(kept, spark.read.schema(schemas.SILVER).parquet(target), "source_file")
 
-    return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**trigger).start()
+    return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(kept_during(write)).trigger(**trigger).start()
 
 
 def stream_silver_to_gold(
@@ -84,8 +102,7 @@ def stream_silver_to_gold(
     def write(batch: DataFrame, batch_id: int) -> None:
         stamp = imported_at or datetime.now(timezone.utc).isoformat()
         target = f"{gold_root}/batch_id={batch_id}"
-        routed = silver_to_gold(batch, model, stamp)
-        routed.write.mode("overwrite").partitionBy("zone").parquet(target)
+        silver_to_gold(batch, model, stamp).write.mode("overwrite").partitionBy("zone").parquet(target)
         require_outputs(batch, spark.read.parquet(target), "source_file")
 
-    return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**trigger).start()
+    return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(kept_during(write)).trigger(**trigger).start()
