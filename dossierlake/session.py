@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", app: str = "dossierlake") -> SparkSession:
-    """A local session for tests and benchmarks."""
+    """A local session for tests and benchmarks, with a scratch folder of its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -23,18 +23,31 @@ def local_session(cores: str = "8", app: str = "dossierlake") -> SparkSession:
         # Call sites recorded for every Column make large expressions slow to build.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="dossierlake-"))
         .getOrCreate()
     )
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the cluster's shared checkpoint folder.
 
-    Only a local session without that setting falls back to a temporary folder.
+    A local session without that setting gets one temporary folder, set once; a cluster must name a shared one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="dossierlake-")
-    return f"{root.rstrip('/')}/dossierlake/{label}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/dossierlake/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder in the scratch space of this application."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove this application's scratch space, when no result that reads from it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
