@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dossierlake.llm import exact_dedup, mixing
+from dossierlake.llm import bpe, exact_dedup, mixing
 
 LLM_QUERIES = {
+    "op1_bpe_codec": bpe.query,
     "op6_source_mix": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
 }
