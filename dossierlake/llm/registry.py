@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dossierlake.llm import bpe, exact_dedup, mixing
+from dossierlake.llm import bpe, exact_dedup, line_dedup, mixing
 
 LLM_QUERIES = {
     "op1_bpe_codec": bpe.query,
+    "op3_line_dedup": line_dedup.query,
     "op6_source_mix": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
 LLM_ORACLE = {
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
