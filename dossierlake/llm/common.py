@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +45,35 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_RUN))).cast("long")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """One column ``row`` with all columns of a row, so that working columns cannot clash with them."""
-    return docs.select(F.struct(*[docs[f"`{name}`"] for name in docs.columns]).alias("row"))
+#: Bytes of text that a Python worker turns into Python objects at a time.
+TEXT_BYTES = 2 << 20
+
+
+def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A text column of a batch; ``row.name`` is a field of its column ``row``."""
+    outer, _, inner = column.partition(".")
+    return batch.column(outer).field(inner) if inner else batch.column(outer)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the batches of about TEXT_BYTES of text, a row at least, with their texts; null texts are empty.
+
+    Bounds a worker's memory by the longest text rather than by the number of rows in a batch.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(text_of(batch, column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if begin < end:
+                piece = batch.slice(begin, end - begin)
+                yield piece, [text or "" for text in text_of(piece, column).to_pylist()]
+
+
+def with_text(docs: DataFrame, text_col: str, keep: list[str] | None) -> tuple[DataFrame, str]:
+    """``docs`` as a column ``row`` with the columns ``keep`` (all if None), and where its text is found."""
+    names = docs.columns if keep is None else keep
+    row = F.struct(*[docs[f"`{name}`"] for name in names]).alias("row")
+    if text_col in names:
+        return docs.select(row), f"row.{text_col}"
+    return docs.select(row, docs[f"`{text_col}`"].alias("text")), "text"
