@@ -16,7 +16,6 @@ from itertools import chain
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, normalizers
 
-from dossierlake.llm.common import table
+from dossierlake.llm.common import pieces, table, with_text
 
 #: Words and pairs a task remembers; beyond them it starts afresh, which costs time and changes no result.
-CACHED_WORDS, CACHED_PAIRS = 400_000, 2_000_000
+CACHED_WORDS, CACHED_PAIRS = 250_000, 300_000
 #: Words longer than this (they are nearly always unique) are encoded but not remembered.
 CACHED_LENGTH = 64
 #: Characters of text whose new words are learned together.
@@ -63,9 +62,6 @@ class Codec:
         self.letters = dict(enumerate(_byte_letters()))
         self.vocab, end = model["vocab"], model["end_of_word_suffix"]
         size = max([*self.vocab.values(), *self.special.values()]) + 1
-        self.pieces: list[str] = [""] * size
-        for content, i in (self.vocab | self.special).items():
-            self.pieces[i] = content
         # A merge is looked up by its two parts; its place in the list is its rank. A token is made by its first merge.
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank_by_key: dict[int, int] = {}
@@ -257,25 +253,33 @@ class Codec:
                 if len(word) > CACHED_LENGTH:
                     del cache[word]
 
+
+class Decoder:
+    """Decoder of a vocabulary without one of its own: tokens are joined by single spaces, unknown ids give nothing."""
+
+    def __init__(self, vocabulary: str) -> None:
+        spec = json.loads(vocabulary)
+        if spec["decoder"]:
+            raise ValueError("the vocabulary has a decoder of its own")
+        named = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.pieces = [""] * (max(named.values()) + 1)
+        for content, i in named.items():
+            self.pieces[i] = content
+
     def decode(self, ids: np.ndarray) -> str:
-        """The text of token ids: this kind of vocabulary joins its tokens by single spaces. Unknown ids give nothing."""
-        pieces = self.pieces
-        known = ids.tolist()
-        if len(ids) and int(ids.max()) >= len(pieces):
-            known = [i for i in known if i < len(pieces)]
-        return " ".join(map(pieces.__getitem__, known))
+        known = ids[ids < len(self.pieces)].tolist()
+        return " ".join(map(self.pieces.__getitem__, known))
 
 
-_CODECS: dict[int, Codec] = {}
+_HELD: dict[type, tuple[int, Codec | Decoder]] = {}
 
 
-def _codec(shared) -> Codec:
-    """One codec for a worker process and vocabulary; the cache in it outlives tasks."""
-    key = hash(shared.value)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
-    return _CODECS[key]
+def _held(kind: type, vocabulary):
+    """One codec or decoder for a worker process; the cache in it outlives tasks."""
+    key = hash(vocabulary.value)
+    if kind not in _HELD or _HELD[kind][0] != key:
+        _HELD[kind] = (key, kind(vocabulary.value))
+    return _HELD[kind][1]
 
 
 def share_vocabulary(spark: SparkSession, path: str):
@@ -287,21 +291,22 @@ def share_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(content)
 
 
-def encode(docs: DataFrame, vocabulary, text_col: str = "text") -> DataFrame:
-    """``docs`` as one column ``row`` with ``n_tokens`` and ``ids`` (binary: little-endian unsigned 32-bit token ids).
+def encode(docs: DataFrame, vocabulary, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``keep`` of ``docs``, or all), ``n_tokens`` and ``ids`` of each row.
 
-    Null texts count as empty and have no tokens. Whole texts are encoded; all columns of ``docs`` stay in ``row``.
+    ``ids`` holds the token ids as little-endian unsigned 32-bit numbers. Null texts count as empty and have no tokens.
+    Whole texts are encoded, and special tokens in them are recognised, as the tokenizers library does.
     """
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("row", row.schema["row"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    rows, text = with_text(docs, text_col, keep)
+    schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
-        for batch in batches:
-            ids = list(codec.encode(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "n_tokens", "ids"])
+        codec = _held(Codec, vocabulary)
+        for piece, texts in pieces(batches, text):
+            ids = list(codec.encode(texts))
+            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "n_tokens", "ids"])
 
-    return row.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def token_ids(packed: bytes | None) -> list[int]:
@@ -309,15 +314,19 @@ def token_ids(packed: bytes | None) -> list[int]:
     return np.frombuffer(packed or b"", "<u4").tolist()
 
 
-def decoded(vocabulary):
-    """A column function from packed ids to their text (null: empty)."""
+def decode(coded: DataFrame, vocabulary) -> DataFrame:
+    """``coded`` with a column ``decoded``: the text of its column ``ids`` (null: empty)."""
+    schema = T.StructType([*coded.schema, T.StructField("decoded", T.StringType())])
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        codec = _codec(vocabulary)
-        return pd.Series([codec.decode(np.frombuffer(x or b"", "<u4")) for x in ids], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _held(Decoder, vocabulary)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                piece = batch.slice(begin, 256)
+                texts = [decoder.decode(np.frombuffer(x or b"", "<u4")) for x in piece.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*piece.schema.names, "decoded"])
 
-    return decode
+    return coded.mapInArrow(run, schema)
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -328,8 +337,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = share_vocabulary(spark, vocabulary_path())
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    coded = decode(encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"]), vocabulary)
     return coded.select(
-        F.col("row.doc_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decoded(vocabulary)("ids").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("row.doc_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
