@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, simhash
+from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, quality, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_codec": bpe.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_quality_rank": quality.query,
     "op6_source_mix": mixing.query,
     "op7_simhash_dedup": simhash.query,
+    "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_embedding_dedup": embedding_dedup.query,
 }
