@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, quality, simhash, toxicity
+from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, quality, quotes, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_codec": bpe.query,
+    "op2_quote_linking": quotes.query,
     "op3_line_dedup": line_dedup.query,
     "op4_quality_rank": quality.query,
     "op6_source_mix": mixing.query,
@@ -16,6 +17,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLE = {
+    "op2_quote_linking": quotes.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
