@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, quality, quotes, simhash, toxicity
+import corpus_pipeline
+from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, quality, quotes, secret_scan, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_codec": bpe.query,
     "op2_quote_linking": quotes.query,
     "op3_line_dedup": line_dedup.query,
     "op4_quality_rank": quality.query,
+    "op5_secret_scan": secret_scan.query,
     "op6_source_mix": mixing.query,
     "op7_simhash_dedup": simhash.query,
     "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLE = {
