@@ -117,6 +117,11 @@ COMPANY_HIGH_QUANTILE = 0.95
 COMPANY_MIN_AMOUNTS = 2
 TYPE_QUANTILE = 0.95
 
+# Characters of an account number by country.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "MC": 27, "NL": 18, "PL": 28, "PT": 25,
+}
+
 # --- zones and batch size ----------------------------------------------------
 HIGH_RISK_ZONE = "high-risk"
 STANDARD_ZONE = "standard"

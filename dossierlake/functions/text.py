@@ -81,9 +81,9 @@ def with_type_hint(file_name: Column, text: Column) -> Column:
     return F.when(is_plain_text(file_name), text).otherwise(hinted)
 
 
-def stored_text(text: Column) -> Column:
-    """The part kept in the silver table; extraction always reads the full text."""
-    return F.substring(text, 1, C.STORED_TEXT_CHARS)
+def stored_text(text: Column, chars: int | None = None) -> Column:
+    """What the silver table keeps: the whole text, or its first ``chars`` characters where a caller asks for them."""
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def parse_number(text: Column) -> Column:

@@ -7,39 +7,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dossierlake.functions import files
 from dossierlake.functions.text import strip
 
-_FOLDERS = ["raw", "raw_fraud", "scans", "scans_fraud"]
-
-
 def listing_by_document(listing: DataFrame) -> DataFrame:
-    """One row per (company, document stem) with the folders that hold its PDF and its scan.
+    """One row per (company, document stem) with the files found for it, as folder/file name.
 
     ``listing`` carries ``path`` as folder/company/file name.
     """
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
     files_found = listing.select(
-        F.get(parts, F.lit(0)).alias("folder"),
         F.get(parts, F.lit(1)).alias("company_siret"),
         files.stem(name).alias("document"),
-        F.element_at(F.split(name, r"\."), -1).alias("suffix"),
+        F.concat_ws("/", F.get(parts, F.lit(0)), name).alias("file"),
     )
-    flags = []
-    for folder in _FOLDERS:
-        suffix = "png" if folder.startswith("scans") else "pdf"
-        found = (F.col("folder") == folder) & (F.col("suffix") == suffix)
-        flags.append(F.bool_or(found).alias(f"in_{folder}"))
-    return files_found.groupBy("company_siret", "document").agg(*flags)
-
-
-def _choose(clean: str, fraud: str, hint: Column, is_fraud: Column) -> Column:
-    """The folder hint decides; without one the folder matching the label is tried first."""
-    in_clean = F.when(F.col(f"in_{clean}"), F.lit(clean))
-    in_fraud = F.when(F.col(f"in_{fraud}"), F.lit(fraud))
+    return files_found.groupBy("company_siret", "document").agg(F.collect_set("file").alias("found"))
+
+
+def _choose(clean: str, fraud: str, name: Column, hint: Column, is_fraud: Column) -> Column:
+    """The folder that holds ``name``: a hint decides; without one the folder matching the label is tried first.
+
+    Names are compared as a whole, so a suffix in capitals matches itself only.
+    """
+
+    def within(folder: str) -> Column:
+        return F.when(F.array_contains("found", F.concat(F.lit(f"{folder}/"), name)), F.lit(folder))
+
     return (
-        F.when(hint == "raw_fraud", in_fraud)
-        .when(hint == "raw", in_clean)
-        .when(is_fraud, F.coalesce(in_fraud, in_clean))
-        .otherwise(F.coalesce(in_clean, in_fraud))
+        F.when(hint == "raw_fraud", within(fraud))
+        .when(hint == "raw", within(clean))
+        .when(is_fraud, F.coalesce(within(fraud), within(clean)))
+        .otherwise(F.coalesce(within(clean), within(fraud)))
     )
 
 
@@ -51,19 +47,19 @@ def resolve_paths(manifest: DataFrame, listing: DataFrame, is_fraud: Column) ->
     keyed = manifest.withColumn("document", files.stem(F.col("filename")))
     joined = keyed.join(listing_by_document(listing), ["company_siret", "document"], "left")
     hint = F.lower(strip(F.coalesce(F.col("folder"), F.lit(""))))
-    pdf_folder = _choose("raw", "raw_fraud", hint, is_fraud)
-    scan_folder = _choose("scans", "scans_fraud", hint, is_fraud)
-    pdf_folder = F.when(F.col("filename").endswith(".pdf"), pdf_folder)
+    scan = F.concat("document", F.lit(".png"))
+
+    def path(folder: Column, name: Column) -> Column:
+        return F.concat(folder, F.lit("/"), F.col("company_siret"), F.lit("/"), name)
+
     return joined.select(
         *[F.col(name) for name in manifest.columns],
         "document",
-        F.concat(pdf_folder, F.lit("/"), F.col("company_siret"), F.lit("/"), F.col("filename")).alias("pdf_path"),
-        F.concat(scan_folder, F.lit("/"), F.col("company_siret"), F.lit("/"), F.col("document"), F.lit(".png")).alias(
-            "scan_path"
-        ),
+        path(_choose("raw", "raw_fraud", F.col("filename"), hint, is_fraud), F.col("filename")).alias("pdf_path"),
+        path(_choose("scans", "scans_fraud", scan, hint, is_fraud), scan).alias("scan_path"),
     )
 
 
 def unresolved(resolved: DataFrame) -> DataFrame:
-    """Rows whose PDF is missing; the ground-truth job refuses to run with any."""
+    """Rows whose PDF is missing; the ground-truth job refuses to run with any unless told to skip them."""
     return resolved.where(F.col("pdf_path").isNull())

@@ -13,8 +13,11 @@ def first_keys(keys: DataFrame, limit: int | None, key: str = "key") -> DataFram
     return keys.orderBy(key).limit(limit) if limit else keys
 
 
-def pending_bronze(bronze: DataFrame, silver: DataFrame, limit: int | None = C.BATCH_SIZE) -> DataFrame:
-    """Bronze keys whose silver file does not exist. Both tables carry ``key``."""
+def pending_bronze(bronze: DataFrame, silver: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bronze keys whose silver file does not exist, all of them unless ``limit`` asks for the smallest ones.
+
+    Both tables carry ``key``; :func:`silver_listing` gives the keys of a silver table.
+    """
     wanted = bronze.where(files.has_suffix(F.col("key"), C.UPLOAD_SUFFIXES)).select(
         "key", files.silver_key(F.col("key")).alias("silver_key")
     )
@@ -22,8 +25,8 @@ def pending_bronze(bronze: DataFrame, silver: DataFrame, limit: int | None = C.B
     return first_keys(wanted.join(done, "silver_key", "left_anti").select("key", "silver_key"), limit)
 
 
-def pending_silver(silver: DataFrame, gold: DataFrame, limit: int | None = C.BATCH_SIZE) -> DataFrame:
-    """Silver keys routed to neither risk zone."""
+def pending_silver(silver: DataFrame, gold: DataFrame, limit: int | None = None) -> DataFrame:
+    """Silver keys routed to neither risk zone; :func:`gold_listing` gives the keys of a gold table."""
     routed = gold.where(F.col("key").rlike(f"^({C.STANDARD_ZONE}|{C.HIGH_RISK_ZONE})/")).select(
         files.gold_to_silver_key(F.col("key")).alias("key")
     )
@@ -40,3 +43,13 @@ def require_outputs(expected: DataFrame, actual: DataFrame, key: str = "key") ->
     absent = missing_outputs(expected, actual, key).limit(10).collect()
     if absent:
         raise FileNotFoundError("missing outputs: " + ", ".join(row[key] for row in absent))
+
+
+def silver_listing(silver: DataFrame) -> DataFrame:
+    """``key`` of each silver row, as its one-document file would be named."""
+    return silver.select(files.silver_key(F.col("source_file")).alias("key")).distinct()
+
+
+def gold_listing(gold: DataFrame) -> DataFrame:
+    """``key`` of each gold row: its zone and silver key."""
+    return gold.where(F.col("source_file").isNotNull()).select(F.concat_ws("/", "zone", files.silver_key(F.col("source_file"))).alias("key")).distinct()

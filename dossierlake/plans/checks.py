@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dossierlake import constants as C
 from dossierlake.functions import evidence
 from dossierlake.functions.risk import is_expired
 from dossierlake.operators.summaries import invoice_totals
@@ -25,16 +26,18 @@ def expired_certificates(documents: DataFrame, date_text: Column, as_of: str) ->
 def foreign_siret(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     """Company extracts showing an id other than the owner's.
 
-    ``documents`` carries filename and text, ``manifest`` filename, doc_type and company_siret.
+    ``documents`` carries company_siret, filename and text, ``manifest``
+    company_siret, filename and doc_type. They meet on company and file name,
+    as file names repeat between companies.
     """
-    extracts = manifest.where(F.col("doc_type") == "kbis").select("filename", "company_siret")
+    extracts = manifest.where(F.col("doc_type") == "kbis").select("company_siret", "filename")
     text = F.col("text")
-    ids = documents.drop("text").columns
     shown = documents.select(
-        *ids, evidence.head_office_shown(text).alias("_office"), evidence.sirets_shown(text).alias("_shown")
+        *[name for name in documents.columns if name != "text"],
+        evidence.head_office_shown(text).alias("_office"), evidence.sirets_shown(text).alias("_shown"),
     )
     found = F.coalesce("_office", evidence.pick_siret(F.col("_shown"), F.col("company_siret")))
-    joined = shown.join(extracts, "filename").withColumn("siret_doc", found).drop("_office", "_shown")
+    joined = shown.join(extracts, ["company_siret", "filename"]).withColumn("siret_doc", found).drop("_office", "_shown")
     return joined.where(F.col("siret_doc") != F.col("company_siret"))
 
 
@@ -43,8 +46,27 @@ def compact_iban(iban: Column) -> Column:
 
 
 def iban_in_text(text: Column) -> Column:
-    """The bank account number printed after the word IBAN."""
-    return F.nullif(compact_iban(F.regexp_extract(text, r"IBAN\s*:?\s*([A-Z]{2}[0-9]{2}[0-9A-Z ]*)", 1)), F.lit(""))
+    """The bank account number printed after the word IBAN, null where none can be read.
+
+    Recognised text has no line breaks, so a label such as BIC follows directly.
+    A number ends at its country's length; where that is not known, before the
+    first group without a digit.
+    """
+    printed = F.regexp_extract(text, r"IBAN\s*:?\s*([A-Z]{2}[0-9]{2}[0-9A-Z ]*)", 1)
+    lengths = F.create_map(*[F.lit(item) for pair in C.IBAN_LENGTHS.items() for item in pair])
+    length = F.try_element_at(lengths, F.substring(printed, 1, 2))
+    numbered = F.regexp_extract(printed, r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z]*[0-9][0-9A-Z]*)*", 0)
+    bounded = F.when(length.isNotNull(), F.substring(compact_iban(printed), F.lit(1), length)).otherwise(compact_iban(numbered))
+    return F.nullif(bounded, F.lit(""))
+
+
+def bank_details(documents: DataFrame) -> DataFrame:
+    """The account number of each bank detail: ``iban``, ``plausible`` (check digits) and ``remainder`` (1 is valid).
+
+    ``documents`` carries doc_type and text. Details whose number cannot be read are findings too: not plausible, no number.
+    """
+    found = documents.where(F.col("doc_type") == "rib").withColumn("iban", iban_in_text(F.col("text"))).drop("text")
+    return found.withColumns({"plausible": iban_check_digits_valid(F.col("iban")), "remainder": iban_remainder(F.col("iban"))})
 
 
 def iban_check_digits_valid(iban: Column) -> Column:

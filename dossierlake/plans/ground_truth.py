@@ -12,14 +12,19 @@ from dossierlake.operators.setops import fan_out_variants
 from dossierlake.operators.summaries import supported_documents
 
 
-def build_ground_truth(manifest: DataFrame, listing: DataFrame, texts: DataFrame) -> DataFrame:
+def build_ground_truth(manifest: DataFrame, listing: DataFrame, texts: DataFrame, skip_missing: bool = False) -> DataFrame:
     """Eleven text columns, one row per PDF and one per scan.
 
     ``texts`` carries filename, company_siret and text. Texts are reduced to
     their findings before any join, so no document text is ever shuffled, and
-    all three tables meet on (company, document). Manifest rows whose PDF is
-    missing are left out here; check them with :func:`missing_documents`.
+    all three tables meet on (company, document). A manifest row whose PDF is
+    missing stops the job, unless ``skip_missing`` says that such rows, which
+    :func:`missing_documents` lists, may be left out.
     """
+    if not skip_missing:
+        absent = missing_documents(manifest, listing).select("company_siret", "filename").limit(10).collect()
+        if absent:
+            raise FileNotFoundError("missing documents: " + ", ".join("/".join(row) for row in absent))
     fraud = evidence.parse_bool(F.col("is_fraud"))
     documents = resolve_paths(supported_documents(manifest), listing, fraud).where(F.col("pdf_path").isNotNull())
     read_texts = texts.select(

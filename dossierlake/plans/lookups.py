@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake import constants as C
 from dossierlake.functions import risk
-from dossierlake.operators.skew import salted_left_join
 from dossierlake.plans.training import amount_quantiles, feature_column
 
 
-def with_company_bounds(df: DataFrame, bounds: DataFrame, siret: Column, doc_type: Column, spread: Column) -> DataFrame:
-    """Add ``company_low`` and ``company_high``. The bounds grow with the number of companies."""
+def with_company_bounds(df: DataFrame, bounds: DataFrame, siret: Column, doc_type: Column) -> DataFrame:
+    """Add ``company_low`` and ``company_high``.
+
+    The bounds grow with the number of companies, so nothing is hinted: below
+    Spark's size threshold they are broadcast, above it both sides shuffle, and
+    adaptive execution splits a company that holds too many of the documents.
+    """
     named = bounds.select(
-        "siret", "doc_type", F.col("p5").alias("company_low"), F.col("p95").alias("company_high")
+        F.col("siret").alias("_siret"), F.col("doc_type").alias("_kind"), F.col("p5").alias("company_low"), F.col("p95").alias("company_high")
     )
-    return salted_left_join(df, named, {"siret": siret, "doc_type": doc_type}, spread)
+    return df.join(named, (siret == F.col("_siret")) & (doc_type == F.col("_kind")), "left").drop("_siret", "_kind")
 
 
 def with_outlook(df: DataFrame, bounds: DataFrame, outlook: DataFrame) -> DataFrame:

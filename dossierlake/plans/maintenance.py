@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierlake.functions import evidence
-from dossierlake.sources import sinks, tables
+from dossierlake.session import scratch_path
+from dossierlake.sources import bronze, sinks, tables
 
 
 def gold_with_import_time(spark: SparkSession, root: str) -> DataFrame:
-    """Gold rows whose import stamp is repaired file by file.
+    """Gold rows whose import stamp is repaired file by file, with ``_file`` and ``updated``.
 
     A file holding any row without stamp gets its own modification time on all
     rows; other files keep theirs. Only the short list of such files is joined
@@ -32,25 +33,36 @@ def gold_with_import_time(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def backfill_imported_at(spark: SparkSession, root: str, target: str) -> DataFrame:
-    """Write the repaired table to ``target``; returns (scanned, updated) file counts."""
+def backfill_imported_at(spark: SparkSession, root: str) -> DataFrame:
+    """Repair the table where it stands; returns (scanned, updated) file counts.
+
+    Only the batch and zone folders that hold a stale file are written again,
+    from a copy in the scratch space, which survives a run cut short.
+    """
     repaired = gold_with_import_time(spark, root)
-    sinks.write_gold(repaired, target)
-    return repaired.agg(
-        F.count_distinct("_file").alias("scanned"),
-        F.count_distinct(F.when(F.col("updated"), F.col("_file"))).alias("updated"),
+    counts = repaired.groupBy("batch_id", "zone").agg(
+        F.count_distinct("_file").alias("files"), F.count_distinct(F.when(F.col("updated"), F.col("_file"))).alias("stale")
     )
+    folders = scratch_path(spark, "gold-folders")
+    counts.write.parquet(folders)
+    counts = spark.read.schema(counts.schema).parquet(folders)
+    copy = scratch_path(spark, "gold-repaired")
+    touched = repaired.join(counts.where("stale > 0").select("batch_id", "zone"), ["batch_id", "zone"], "left_semi")
+    touched.drop("_file", "updated").write.partitionBy("batch_id", "zone").parquet(copy)
+    sinks.replace_gold_folders(tables.read_gold(spark, copy), root)
+    return counts.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("scanned"), F.coalesce(F.sum("stale"), F.lit(0)).alias("updated"))
 
 
-def sync_dataset(manifest: DataFrame, companies: DataFrame, listing: DataFrame, gold_root: str) -> DataFrame:
-    """Publish manifest and companies, and count the legitimate PDFs that exist.
+def sync_dataset(manifest: DataFrame, companies: DataFrame, documents: DataFrame, gold_root: str, bronze_root: str) -> DataFrame:
+    """Publish manifest and companies, push the legitimate PDFs that exist and count what was written.
 
-    Only the ``raw`` folder is looked up, so fraud PDFs are never counted.
+    ``documents`` carries path and content. Only the ``raw`` folder is looked up, so fraud PDFs are never pushed.
     """
     sinks.write_manifest(manifest, evidence.parse_bool(F.col("is_fraud")), gold_root)
     sinks.write_companies(companies, gold_root)
     expected = manifest.select(F.concat_ws("/", F.lit("raw"), "company_siret", "filename").alias("path"))
-    return expected.join(listing.select("path"), "path", "left_semi").agg(
+    pushed = bronze.land_objects(documents.join(expected, "path", "left_semi").select(F.col("path").alias("key"), "content"), bronze_root)
+    return pushed.agg(
         F.count(F.lit(1)).alias("pdfs_bronze"),
         F.lit(True).alias("manifest_gold"),
         F.lit(True).alias("companies_gold"),

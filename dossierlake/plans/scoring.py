@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from dossierlake import constants as C
 from dossierlake.functions import doctype, risk
-from dossierlake.operators.skew import salted_left_join
 from dossierlake.plans.lookups import with_company_bounds, with_outlook
 from dossierlake.plans.training import FraudModel, company_bounds
 
@@ -21,7 +20,7 @@ def score(silver: DataFrame, model: FraudModel) -> DataFrame:
     described = with_outlook(silver, model.bounds, model.outlook)
     siret = risk.resolve_siret(F.col("siret"), F.col("source_file"))
     kind, expired = F.col("f_doc_type"), F.col("f_mentions_expired")
-    rows = with_company_bounds(described, company_bounds(model.bounds), siret, kind, F.col("source_file"))
+    rows = with_company_bounds(described, company_bounds(model.bounds), siret, kind)
     rule = risk.rule_score(
         kind, F.col("siret"), F.col("amount_total"), expired, F.col("f_ocr_degraded"), F.col("type_limit"),
         F.col("company_low"), F.col("company_high"),
@@ -74,7 +73,7 @@ def route(validated: DataFrame, imported_at: str, file: str | None = None) -> Da
         .where(F.col("_top") >= C.HIGH_RISK)
         .select(file, F.lit(C.HIGH_RISK_ZONE).alias("_zone"))
     )
-    routed = salted_left_join(stamped, high, {file: F.col(file)}, F.xxhash64("ocr_text"))
+    routed = stamped.join(high, file, "left")
     return routed.withColumn("zone", F.coalesce("_zone", F.lit(C.STANDARD_ZONE))).drop("_zone")
 
 

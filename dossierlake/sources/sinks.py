@@ -1,4 +1,4 @@
-"""Writers. All overwrite their own target, so a retried job leaves the same result."""
+"""Writers. All replace their own part only, so a retried job leaves the same result and nothing else changes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake import constants as C, schemas
 from dossierlake.functions import display
-from dossierlake.operators.dedup import one_per_silver_key
+from dossierlake.operators.dedup import one_per_silver_key, unclaimed
+from dossierlake.sources.tables import read_silver_batches
 
 
 def _declared(df: DataFrame, schema: str) -> DataFrame:
@@ -14,15 +15,31 @@ def _declared(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in fields])
 
 
-def write_silver(silver: DataFrame, root: str) -> None:
-    """Silver rows, one per silver key: of two sources with the same stem the smaller key stays."""
-    _declared(one_per_silver_key(silver), schemas.SILVER).write.mode("overwrite").parquet(root)
+def write_silver(silver: DataFrame, root: str, batch_id: str = "0") -> None:
+    """Add one batch of silver rows, one per silver key.
 
+    Of two sources with the same stem the smaller key stays, and a silver key
+    that another batch holds is left alone. The batch has its own folder, which
+    a retry replaces; other batches are not touched.
+    """
+    declared = _declared(one_per_silver_key(silver), schemas.SILVER)
+    others = read_silver_batches(silver.sparkSession, root).where(F.col("batch_id") != batch_id)
+    unclaimed(declared, others).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
-def write_gold(routed: DataFrame, root: str) -> None:
-    """Gold rows below ``zone=high-risk`` and ``zone=standard``; each task writes one file per zone at most."""
+
+def write_gold(routed: DataFrame, root: str, batch_id: str = "0") -> None:
+    """Write one batch of gold rows below its own folder, by zone; each task writes one file per zone at most.
+
+    A retry replaces the batch and nothing else.
+    """
     declared = _declared(routed, schemas.GOLD + ", zone string")
-    declared.write.mode("overwrite").partitionBy("zone").parquet(root)
+    declared.write.mode("overwrite").partitionBy("zone").parquet(f"{root}/batch_id={batch_id}")
+
+
+def replace_gold_folders(rows: DataFrame, root: str) -> None:
+    """Replace the batch and zone folders that ``rows`` (with batch_id and zone) name, and no others."""
+    declared = _declared(rows, schemas.GOLD + ", batch_id string, zone string")
+    declared.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "zone").parquet(root)
 
 
 def write_ground_truth(rows: DataFrame, path: str) -> None:
@@ -30,6 +47,7 @@ def write_ground_truth(rows: DataFrame, path: str) -> None:
         rows.select(*C.GROUND_TRUTH_HEADERS)
         .write.mode("overwrite")
         .option("header", "true")
+        .option("escape", '"')
         .option("emptyValue", "")
         .csv(path)
     )
@@ -42,7 +60,7 @@ def write_manifest_csv(manifest: DataFrame, is_fraud: Column, path: str) -> None
         "folder": F.when(is_fraud, "raw_fraud").otherwise("raw"),
     }
     rows = manifest.withColumns(columns).select(*C.MANIFEST_COLUMNS, "folder")
-    rows.write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
+    rows.write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_manifest(manifest: DataFrame, is_fraud: Column, gold_root: str) -> None:

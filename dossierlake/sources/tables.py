@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 
 from dossierlake import constants as C, schemas
 from dossierlake.operators.setops import union_by_name
 
 
+def _or_empty(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) -> DataFrame:
+    """What ``read`` returns, or no rows where nothing has been written yet."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_silver(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schemas.SILVER).option("recursiveFileLookup", "true").parquet(root)
 
 
+def read_silver_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Silver rows with the batch that wrote them; none before the first batch."""
+    schema = schemas.SILVER + ", batch_id string"
+    return _or_empty(spark, schema, lambda: spark.read.option("basePath", root).schema(schema).parquet(f"{root}/batch_id=*"))
+
+
 def read_gold(spark: SparkSession, root: str, include_reference: bool = False) -> DataFrame:
-    """Rows of both risk zones at any depth; ``zone`` is a partition column and prunes.
+    """Rows of both risk zones over all batches; ``batch_id`` and ``zone`` are partition columns and prune.
 
-    Files written before a column existed read it as null. With
-    ``include_reference`` the manifest and company rows are appended, as a
-    one-level wildcard over the zone folders would return them.
+    Batch jobs and streams write the same layout, ``batch_id=.../zone=...``. A
+    zone or a batch without rows is no error. Files written before a column
+    existed read it as null. With ``include_reference`` the manifest and
+    company rows are appended, as a one-level wildcard over the zone folders
+    would return them.
     """
-    gold = (
-        spark.read.option("basePath", root)
-        .schema(schemas.GOLD + ", zone string")
-        .parquet(f"{root}/zone={C.STANDARD_ZONE}", f"{root}/zone={C.HIGH_RISK_ZONE}")
-    )
+    schema = schemas.GOLD + ", batch_id string, zone string"
+    gold = _or_empty(spark, schema, lambda: spark.read.option("basePath", root).schema(schema).parquet(f"{root}/batch_id=*/zone=*"))
+    gold = gold.where(F.col("zone").isin(C.STANDARD_ZONE, C.HIGH_RISK_ZONE))
     if not include_reference:
         return gold
     return union_by_name(gold, read_reference_documents(spark, root), read_reference_companies(spark, root))
@@ -38,19 +56,22 @@ def read_reference_companies(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schemas.COMPANIES).parquet(f"{root}/{C.REFERENCE_ZONE}/companies.parquet")
 
 
+def csv_reader(spark: SparkSession, multiline: bool = False) -> DataFrameReader:
+    """Files with a header in the usual dialect: a quote inside a quoted field is doubled.
+
+    ``multiline`` also reads fields with line breaks; such files cannot be split.
+    """
+    return spark.read.option("header", "true").option("escape", '"').option("multiLine", multiline)
+
+
 def read_manifest_csv(spark: SparkSession, path: str) -> DataFrame:
     """Manifest with header and byte-order mark; every column is text."""
-    return spark.read.option("header", "true").schema(schemas.MANIFEST_CSV).csv(path)
+    return csv_reader(spark).schema(schemas.MANIFEST_CSV).csv(path)
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Labelled rows as text, so ids keep their leading zeros; empty when the file is absent."""
-    try:
-        return spark.read.option("header", "true").schema(schemas.GROUND_TRUTH).csv(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schemas.GROUND_TRUTH)
+    return _or_empty(spark, schemas.GROUND_TRUTH, lambda: csv_reader(spark).schema(schemas.GROUND_TRUTH).csv(path))
 
 
 def read_foreign_silver(spark: SparkSession, paths: list[str]) -> DataFrame:

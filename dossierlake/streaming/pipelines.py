@@ -6,16 +6,18 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from dossierlake import constants as C, schemas
 from dossierlake.functions import files
-from dossierlake.operators.dedup import one_per_silver_key
+from dossierlake.operators.dedup import one_per_silver_key, unclaimed
 from dossierlake.operators.pending import require_outputs
 from dossierlake.plans.bronze_silver import bronze_to_silver
 from dossierlake.plans.scoring import silver_to_gold
 from dossierlake.plans.training import FraudModel
-from dossierlake.sources.bronze import relative_key
+from dossierlake.sources.bronze import relative_key, suffix_glob
+from dossierlake.sources.sinks import write_gold
+from dossierlake.sources.tables import read_silver_batches
 
 Trigger = dict[str, object]
 EVERY_MINUTE: Trigger = {"processingTime": "1 minute"}
@@ -39,6 +41,17 @@ def kept_during(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
     return run
 
 
+def bounded(reader: DataStreamReader, files_per_batch: int | None) -> DataStreamReader:
+    """The reader with a limit of files per batch where one is asked for."""
+    return reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
+
+
+def complete(spark: SparkSession, batch: DataFrame, schema: str, target: str) -> None:
+    """Fail where the files of a batch hold other rows than the batch, counted by key."""
+    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(target)
+    require_outputs(batch, found, "source_file")
+
+
 def without_ocr(objects: DataFrame) -> DataFrame:
     """Stand-in for a missing OCR model: every document falls back to its bytes."""
     return objects.withColumns(
@@ -52,20 +65,20 @@ def stream_bronze_to_silver(
     silver_root: str,
     checkpoint: str,
     recognise: Callable[[DataFrame], DataFrame] = without_ocr,
-    batch_size: int = C.BATCH_SIZE,
+    batch_size: int | None = None,
     trigger: Trigger = EVERY_MINUTE,
 ) -> StreamingQuery:
     """Extract each new bronze object once.
 
     The checkpoint replaces the comparison of listings: a restart continues
     after the last finished batch, and a batch cut short is redone into the
-    same folder.
+    same folder. A silver key that an earlier batch claimed stays with it.
+    All new objects make one batch unless ``batch_size`` limits its files.
     """
+    reader = spark.readStream.format("binaryFile").schema(schemas.BRONZE).option("recursiveFileLookup", "true")
     objects = (
-        spark.readStream.format("binaryFile")
-        .schema(schemas.BRONZE)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", batch_size)
+        bounded(reader, batch_size)
+        .option("pathGlobFilter", suffix_glob(C.UPLOAD_SUFFIXES))
         .load(bronze_root)
         .select(relative_key(F.col("path"), bronze_root).alias("source_file"), "content")
         .where(files.has_suffix(F.col("source_file"), C.UPLOAD_SUFFIXES))
@@ -73,10 +86,11 @@ def stream_bronze_to_silver(
     silver = bronze_to_silver(recognise(objects))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = read_silver_batches(spark, silver_root).where(F.col("batch_id") != str(batch_id))
+        kept = unclaimed(one_per_silver_key(batch), earlier).select(*silver.columns)
         target = f"{silver_root}/batch_id={batch_id}"
-        kept = one_per_silver_key(batch).select(*silver.columns)
         kept.write.mode("overwrite").parquet(target)
-        require_outputs(kept, spark.read.schema(schemas.SILVER).parquet(target), "source_file")
+        complete(spark, kept, schemas.SILVER, target)
 
     return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(kept_during(write)).trigger(**trigger).start()
 
@@ -88,21 +102,15 @@ def stream_silver_to_gold(
     checkpoint: str,
     model: FraudModel,
     imported_at: str | None = None,
-    batch_size: int = C.BATCH_SIZE,
+    batch_size: int | None = None,
     trigger: Trigger = EVERY_MINUTE,
 ) -> StreamingQuery:
     """Score, validate and route each new silver file once, then check that every row arrived."""
-    silver = (
-        spark.readStream.schema(schemas.SILVER)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", batch_size)
-        .parquet(silver_root)
-    )
+    silver = bounded(spark.readStream.schema(schemas.SILVER).option("recursiveFileLookup", "true"), batch_size).parquet(silver_root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamp = imported_at or datetime.now(timezone.utc).isoformat()
-        target = f"{gold_root}/batch_id={batch_id}"
-        silver_to_gold(batch, model, stamp).write.mode("overwrite").partitionBy("zone").parquet(target)
-        require_outputs(batch, spark.read.parquet(target), "source_file")
+        write_gold(silver_to_gold(batch, model, stamp), gold_root, str(batch_id))
+        complete(spark, batch, schemas.GOLD, f"{gold_root}/batch_id={batch_id}")
 
     return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(kept_during(write)).trigger(**trigger).start()

@@ -56,7 +56,7 @@ SELECT k AS doc_id, siret AS company_siret,
    WHEN 1 THEN concat('DEVIS ', cast(k AS varchar(20)), ' SIRET : ', siret, ' Total HT ', cast(ttc AS varchar(30)), ' € Total TTC ', substr(cast(ttc AS varchar(30)), 1, length(cast(ttc AS varchar(30))) - 6), ' ', substr(cast(ttc AS varchar(30)), length(cast(ttc AS varchar(30))) - 5, 6), ' €')
    WHEN 2 THEN concat('Attestation de Vigilance SIRET : ', siret, ' Du ', substr(d, 9, 2), '/', substr(d, 6, 2), '/', substr(d, 1, 4), ' au ', substr(d, 9, 2), '/', substr(d, 6, 2), '/', cast(cast(substr(d, 1, 4) AS int) + 1 AS varchar(10)), CASE WHEN k % 17 = 0 THEN ' document expire' ELSE '' END)
    WHEN 3 THEN concat('SIREN : ', substr(siret, 1, 9), ' SIRET (siège) : ', CASE WHEN k % 19 < 4 THEN '99999999999999' ELSE siret END)
-   WHEN 4 THEN concat('SIRET : ', siret, ' IBAN ', CASE WHEN k % 19 < 4 THEN 'FR99' ELSE 'FR76' END, ' 1710 6000 45', siret)
+   WHEN 4 THEN concat('SIRET : ', siret, ' IBAN ', CASE WHEN k % 5 = 0 THEN 'non communique' ELSE concat(CASE WHEN k % 19 < 4 THEN 'FR99' ELSE 'FR76' END, ' 1710 6000 45', substr(siret, 2, 13)) END, ' BIC / SWIFT AGRIFRPP882 TITULAIRE SARL')
    ELSE 'Courrier sans champ' END AS text
 FROM (
   SELECT o_orderkey AS k, lpad(cast(o_custkey % 200 + 10000000 AS varchar(20)), 14, '8') AS siret,
@@ -74,7 +74,7 @@ FROM {lineitem}
 
 FX_MANIFEST = """
 SELECT k AS doc_id, concat(sir, '_', dt, '_', lpad(cast(k AS varchar(20)), 6, '0'), '.pdf') AS filename, dt AS doc_type,
-  sir AS company_siret, concat('Customer#', cast(co AS varchar(20))) AS company_name,
+  sir AS company_siret, CASE WHEN k % 7 = 0 THEN concat('SARL "LE PAIN ', cast(co AS varchar(20)), '", fils') ELSE concat('Customer#', cast(co AS varchar(20))) END AS company_name,
   CASE WHEN k % 19 < 4 THEN 'True' ELSE 'False' END AS is_fraud,
   CASE WHEN k % 29 = 0 THEN '' WHEN k % 19 < 4 THEN 'raw_fraud' ELSE 'raw' END AS folder
 FROM (
@@ -100,6 +100,19 @@ FROM (
   FROM {orders} WHERE o_orderkey % 5 < 3) b
 """
 
+# Manifest and listing where one PDF in eleven is named in capitals, and one file in 31 is lost: it lies in no known folder.
+FX_MANIFEST_ODD = f"""
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN replace(filename, '.pdf', '.PDF') ELSE filename END AS filename,
+  doc_type, company_siret, company_name, is_fraud, folder
+FROM ({FX_MANIFEST}) m
+"""
+
+FX_FILES_ODD = f"""
+SELECT file_id, concat(CASE WHEN file_id % 31 = 0 THEN 'lost/' ELSE '' END,
+  CASE WHEN file_id % 11 = 0 THEN replace(path, '.pdf', '.PDF') ELSE path END) AS path, length
+FROM ({FX_FILES}) f
+"""
+
 # Positive texts and the whole negative corpus.
 FX_PAGES = f"""
 SELECT doc_id, text FROM ({FX_TEXT}) t

@@ -145,7 +145,9 @@ sql(
     SELECT {SILVER} FROM fx_silver UNION ALL
     SELECT concat({stem('source_file')}, '.jpg'), ocr_engine, document_type, siret, amount_total, mentions_expired, 'twin'
     FROM fx_silver WHERE doc_id % 4 = 0) u) v
-QUALIFY row_number() OVER (PARTITION BY stem ORDER BY source_file) = 1""",
+QUALIFY row_number() OVER (PARTITION BY stem ORDER BY source_file) = 1
+UNION ALL SELECT concat('new/', source_file), ocr_engine, document_type, siret, amount_total, mentions_expired, ocr_text
+FROM fx_silver WHERE doc_id % 4 = 2""",
     use=("fx_silver",),
 )
 sql(
@@ -164,8 +166,11 @@ sql(
 )
 sql(
     "backfill_imported_at",
-    """SELECT CASE WHEN fraud_score >= 0.75 THEN 'high-risk' ELSE 'standard' END AS zone, count(*) AS n_rows,
-  cast(0 AS bigint) AS n_without_stamp FROM fx_gold GROUP BY 1""",
+    """SELECT CASE WHEN gold_imported_at IS NOT NULL AND doc_id % 2 = 0 THEN '0' ELSE '1' END AS batch_id,
+  CASE WHEN fraud_score >= 0.75 THEN 'high-risk' ELSE 'standard' END AS zone, count(*) AS n_rows,
+  cast(0 AS bigint) AS n_without_stamp,
+  count(*) FILTER (gold_imported_at IS NOT NULL AND doc_id % 2 = 0) AS n_kept, cast(4 AS bigint) AS scanned, cast(2 AS bigint) AS updated
+FROM fx_gold GROUP BY 1, 2""",
     use=("fx_gold",),
 )
 sql(
@@ -220,7 +225,7 @@ SIRET = r"(?i)(?:siret\D*)?(\d{14})"
 def silver_rows(columns: str) -> str:
     return f"""SELECT {columns}source_file, {ENGINE} AS ocr_engine, {OCR_TYPE.format('clean')} AS document_type,
   {found('clean', SIRET)} AS siret, {AMOUNT.format('clean')} AS amount_total, {EXPIRED.format('clean')} AS mentions_expired,
-  substr(hinted, 1, 5000) AS ocr_text
+  hinted AS ocr_text
 FROM (SELECT *, {collapse('hinted')} AS clean FROM (SELECT *, {HINTED} AS hinted FROM (
   SELECT *, CASE WHEN is_text OR failed THEN {strip('text')} ELSE text END AS body FROM pages) a) b) c"""
 
@@ -269,19 +274,18 @@ sql(
 
 # --- joins -----------------------------------------------------------------------------
 
-SILVER_KEYS = ("silver_keys", f"SELECT file_id, concat({stem('path')}, '.parquet') AS key FROM fx_files WHERE file_id % 3 = 1")
+SILVER_KEYS = ("silver_keys", f"SELECT file_id, concat(CASE WHEN file_id % 3 = 1 THEN '' ELSE 'draft/' END, {stem('path')}, '.parquet') AS key FROM fx_files")
 sql(
     "pending_bronze",
     f"""SELECT path AS key, concat({stem('path')}, '.parquet') AS silver_key FROM fx_files
-WHERE concat({stem('path')}, '.parquet') NOT IN (SELECT key FROM silver_keys) AND regexp_matches(lower(path), '{SUFFIX}')
-ORDER BY path LIMIT 5""",
+WHERE concat({stem('path')}, '.parquet') NOT IN (SELECT key FROM silver_keys) AND regexp_matches(lower(path), '{SUFFIX}')""",
     SILVER_KEYS,
     use=("fx_files",),
 )
 sql(
     "pending_silver",
     """SELECT key FROM silver_keys s WHERE NOT EXISTS (SELECT 1 FROM gold_keys g
-  WHERE g.key IN (concat('standard/', s.key), concat('high-risk/', s.key))) ORDER BY key LIMIT 5""",
+  WHERE g.key IN (concat('standard/', s.key), concat('high-risk/', s.key)))""",
     SILVER_KEYS,
     (
         "gold_keys",
@@ -298,7 +302,7 @@ sql(
 )
 
 
-def resolved(listing: str) -> tuple[str, str]:
+def resolved(listing: str, manifest: str = "fx_manifest") -> tuple[str, str]:
     def path(folder: str, name: str) -> str:
         return f"(SELECT path FROM {listing} f WHERE f.path = concat('{folder}/', m.company_siret, '/', {name}))"
 
@@ -312,13 +316,13 @@ def resolved(listing: str) -> tuple[str, str]:
     return (
         "resolved",
         f"""SELECT m.*, {choose('raw', 'raw_fraud', 'm.filename')} AS pdf_path,
-  {choose('scans', 'scans_fraud', "replace(m.filename, '.pdf', '.png')")} AS scan_path FROM fx_manifest m""",
+  {choose('scans', 'scans_fraud', "replace(lower(m.filename), '.pdf', '.png')")} AS scan_path FROM {manifest} m""",
     )
 
 
-EXISTING = ("existing", "SELECT * FROM fx_files WHERE file_id % 31 <> 0")
-sql("resolve_doc_path", "SELECT doc_id, pdf_path FROM resolved", EXISTING, resolved("existing"), use=("fx_manifest", "fx_files"))
-sql("resolve_scan_path", "SELECT doc_id, scan_path FROM resolved", EXISTING, resolved("existing"), use=("fx_manifest", "fx_files"))
+ODD = ("fx_manifest_odd", "fx_files_odd")
+sql("resolve_doc_path", "SELECT doc_id, pdf_path FROM resolved", resolved("fx_files_odd", "fx_manifest_odd"), use=ODD)
+sql("resolve_scan_path", "SELECT doc_id, scan_path FROM resolved", resolved("fx_files_odd", "fx_manifest_odd"), use=ODD)
 
 # --- the trained model ----------------------------------------------------------------------
 
@@ -480,7 +484,7 @@ sql(
             ENVELOPE.format("dashboard", EMPTY, "fx_gold"),
             ENVELOPE.format("documents", "NULL", "fx_manifest"),
             ENVELOPE.format("companies", "NULL", "fx_companies"),
-            ENVELOPE.format("nothing", EMPTY, "fx_gold WHERE doc_id < 0"),
+            ENVELOPE.format("nothing", EMPTY, "(SELECT * FROM fx_gold LIMIT 0) none"),
         ]
     ),
     use=("fx_gold", "fx_manifest", "fx_companies"),
@@ -535,7 +539,7 @@ sql(
 sql(
     "company_dedup",
     """SELECT company_no, siret, nom, ville FROM fx_companies WHERE siret <> ''
-QUALIFY row_number() OVER (PARTITION BY siret ORDER BY company_no) = 1 ORDER BY company_no LIMIT 50""",
+QUALIFY row_number() OVER (PARTITION BY siret ORDER BY company_no) = 1""",
     use=("fx_companies",),
 )
 sql(
@@ -678,7 +682,8 @@ sql(
 )
 sql(
     "s_norm_date",
-    """SELECT doc_id, substr(gold_imported_at, 1, 10) AS day FROM fx_gold WHERE length(gold_imported_at) <> 4""",
+    """SELECT doc_id, CASE WHEN length(gold_imported_at) > 10 THEN substr(gold_imported_at, 1, 10) ELSE coalesce(gold_imported_at, '') END AS day
+FROM fx_gold""",
     use=GOLD,
 )
 GT_SIRETS = r"regexp_extract_all({0}, '(?i)SIRET\s*[:\(]?\s*(\d{{14}})', 1)"
@@ -733,7 +738,7 @@ sql(
     use=("fx_companies",),
 )
 sql("s_fmt_money", "SELECT invoice_id, replace(format('{:,.2f}', cast(prix_unitaire_ht AS double)), ',', ' ') AS price FROM fx_invoice_lines", use=("fx_invoice_lines",))
-IBAN = r"nullif(replace(regexp_extract(text, 'IBAN\s*:?\s*([A-Z]{2}[0-9]{2}[0-9A-Z ]*)', 1), ' ', ''), '')"
+IBAN = r"nullif(substr(replace(regexp_extract(text, 'IBAN\s*:?\s*([A-Z]{2}[0-9]{2}[0-9A-Z ]*)', 1), ' ', ''), 1, 27), '')"
 sql("s_fmt_iban", f"SELECT doc_id, trim(regexp_replace({IBAN}, '(.{{4}})', '\\1 ', 'g')) AS iban FROM fx_text", use=TEXT)
 
 # --- whole jobs ----------------------------------------------------------------------------------
@@ -826,7 +831,7 @@ WHERE siret_doc <> company_siret""",
 sql(
     "check_iban",
     f"""SELECT doc_id, iban, {truth("try_cast(substr(iban, 3, 2) AS int) BETWEEN 2 AND 98")} AS plausible,
-  cast(cast(concat(substr(iban, 5), '1527', substr(iban, 3, 2)) AS hugeint) % 97 AS int) AS remainder
-FROM (SELECT doc_id, {IBAN} AS iban FROM fx_text) t WHERE iban IS NOT NULL""",
+  CASE WHEN iban IS NOT NULL THEN cast(cast(concat(substr(iban, 5), '1527', substr(iban, 3, 2)) AS hugeint) % 97 AS int) END AS remainder
+FROM (SELECT doc_id, {IBAN} AS iban FROM fx_text WHERE doc_id % 6 = 4) t""",
     use=TEXT,
 )

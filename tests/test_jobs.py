@@ -1,12 +1,13 @@
 """Sources, sinks, pending work, deduplication and maintenance."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from dossierlake import schemas
 from dossierlake.operators import dedup, paths, pending, summaries
-from dossierlake.operators.skew import salted_left_join
-from dossierlake.plans import ground_truth, maintenance, scoring
+from dossierlake.plans import checks, ground_truth, maintenance, scoring
 from dossierlake.sources import bronze, companies, sinks, tables
 
 
@@ -72,47 +73,79 @@ def test_first_row_wins(spark):
     assert {tuple(r) for r in dedup.first_per_key(rows, ["k"], ["o"]).collect()} == {("k", 1, None), ("x", 5, "only")}
 
 
-@pytest.mark.parametrize("limit", [0, 500_000])
-def test_one_row_per_silver_key(spark, monkeypatch, limit):
-    monkeypatch.setattr(dedup, "BROADCAST_KEYS", limit)
-    rows = spark.createDataFrame([("a.png", 1), ("a.pdf", 2), ("b.pdf", 3), ("a.jpg", 4)], "source_file string, v int")
-    assert {tuple(r) for r in dedup.one_per_silver_key(rows).collect()} == {("a.jpg", 4), ("b.pdf", 3)}
+def test_one_row_per_silver_key(spark):
+    rows = spark.createDataFrame(
+        [("a.png", 1), ("a.pdf", 2), ("b.pdf", 3), ("a.jpg", 4), ("c.pdf", 9), ("c.pdf", 7), ("d.pdf", 5), ("d.pdf", 5)], "source_file string, v int"
+    )
+    found = [tuple(r) for r in dedup.one_per_silver_key(rows).collect()]
+    assert sorted(found) == [("a.jpg", 4), ("b.pdf", 3), ("c.pdf", 7), ("d.pdf", 5)]
+    assert dedup.one_per_silver_key(rows.limit(0)).count() == 0
 
 
-def test_salted_join_equals_plain_join(spark):
-    left = spark.range(3000).select(
-        "id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k")
-    )
-    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    plain = left.join(right, "k", "left").select("id", "w")
-    for threshold in ("-1", "10485760"):  # the last one is Spark's default
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        joined = salted_left_join(left, right, {"k": F.col("k")}, F.col("id")).select("id", "w")
-        assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-
-
-def test_a_hot_key_spreads_over_the_shuffle(spark):
-    """A third of the rows share one key; no partition of the salted join holds more than an eighth of all rows."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.shuffle.partitions": "64",
-    }
-    before = {name: spark.conf.get(name) for name in settings}
-    try:
-        for name, setting in settings.items():
-            spark.conf.set(name, setting)
-        left = spark.range(60000).select(
-            "id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k")
-        )
-        right = left.select("k").distinct().withColumn("w", F.col("k") * 2)
-        joined = salted_left_join(left, right, {"k": F.col("k")}, F.col("id"))
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-        assert joined.where("w <> k * 2 OR w IS NULL").isEmpty() and sum(sizes) == 60000
-        assert max(sizes) < 60000 / 8
-    finally:
-        for name, setting in before.items():
-            spark.conf.set(name, setting)
+def test_deciding_silver_keys_runs_no_job(spark):
+    """The plan is built without an action, a limit or a hint."""
+    rows = spark.createDataFrame([("a.png", 1), ("a.pdf", 2)], "source_file string, v int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "")
+    plan = dedup.one_per_silver_key(rows)._jdf.queryExecution().executedPlan().toString()
+    assert not tracker.getJobIdsForGroup("plan-only") and "GlobalLimit" not in plan
+    spark.sparkContext.setJobGroup("tests", "")
+
+
+def silver_rows(spark, *rows):
+    full = [(name, "doctr", "invoice", "1", 1.0, False, text) for name, text in rows]
+    return spark.createDataFrame(full, schemas.SILVER)
+
+
+def test_silver_batches_add_up(spark, folder):
+    root = folder("silver")
+    sinks.write_silver(silver_rows(spark, ("d/a.pdf", "first"), ("d/b.pdf", "first")), root)
+    for text in ("second", "retried"):
+        sinks.write_silver(silver_rows(spark, ("d/a.png", text), ("d/b.pdf", text), ("d/c.pdf", text)), root, batch_id="1")
+    found = {(r["source_file"], r["ocr_text"]) for r in tables.read_silver(spark, root).collect()}
+    assert found == {("d/a.pdf", "first"), ("d/b.pdf", "first"), ("d/c.pdf", "retried")}
+
+
+def test_pending_work_comes_from_the_tables(spark, folder):
+    silver_root, gold_root = folder("silver"), folder("gold")
+    sinks.write_silver(silver_rows(spark, ("d/a.pdf", "x"), ("d/b.png", "x")), silver_root)
+    listed = pending.silver_listing(tables.read_silver(spark, silver_root))
+    assert [r["key"] for r in pending.pending_bronze(keys(spark, "d/a.pdf", "d/c.pdf"), listed).collect()] == ["d/c.pdf"]
+    assert sorted(r["key"] for r in pending.pending_silver(listed, pending.gold_listing(tables.read_gold(spark, gold_root))).collect()) == ["d/a.parquet", "d/b.parquet"]
+    gold = tables.read_silver(spark, silver_root).where("source_file = 'd/a.pdf'").withColumn("fraud_score", F.lit(0.9))
+    missing = [f for f in spark.createDataFrame([], schemas.GOLD).schema if f.name not in gold.columns]
+    gold = gold.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing], F.lit("high-risk").alias("zone"))
+    sinks.write_gold(gold, gold_root)
+    assert [r["key"] for r in pending.pending_silver(listed, pending.gold_listing(tables.read_gold(spark, gold_root))).collect()] == ["d/b.parquet"]
+
+
+def test_gold_without_one_zone_and_without_any(spark, folder):
+    root = folder("gold")
+    assert tables.read_gold(spark, root).count() == 0
+    empty = spark.createDataFrame([], schemas.GOLD)
+    one = spark.createDataFrame([("a",)], "source_file string").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema if f.name != "source_file"])
+    sinks.write_gold(one.withColumn("zone", F.lit("standard")), root)
+    assert [(r["source_file"], r["zone"], r["batch_id"]) for r in tables.read_gold(spark, root).collect()] == [("a", "standard", "0")]
+
+
+def test_csv_dialect_round_trip(spark, folder, tmp_path):
+    """Quotes, commas and backslashes in both directions, and files that Python's reader and writer agree with."""
+    import csv
+    import glob
+
+    names = ['SARL "LE PAIN", fils', "a\\b", '"', "plain", 'ends with \\"']
+    rows = [(f"{i}.pdf", "rib", "1", name, "True", "iban_invalide", "raw_fraud") for i, name in enumerate(names)]
+    manifest = spark.createDataFrame(rows, schemas.MANIFEST_CSV)
+    path = folder("manifest")
+    sinks.write_manifest_csv(manifest, F.col("is_fraud") == "True", path)
+    assert {r["company_name"] for r in tables.read_manifest_csv(spark, path).collect()} == set(names)
+    read = [row for file in glob.glob(f"{path}/*.csv") for row in csv.DictReader(open(file, encoding="utf-8", newline=""))]
+    assert {r["company_name"] for r in read} == set(names) and {r["is_fraud"] for r in read} == {"True"}
+    own = tmp_path / "own.csv"
+    with own.open("w", encoding="utf-8", newline="") as file:
+        writer = csv.writer(file)
+        writer.writerows([schemas.MANIFEST_CSV.replace(" string", "").split(", "), *rows])
+    assert {(r["company_name"], r["folder"]) for r in tables.read_manifest_csv(spark, str(own)).collect()} == {(n, "raw_fraud") for n in names}
 
 
 def test_paths_follow_hint_then_label(spark):
@@ -139,6 +172,13 @@ def test_paths_follow_hint_then_label(spark):
     assert {r["id"] for r in paths.unresolved(found).collect()} == {4, 6}
 
 
+def test_suffix_in_capitals_is_found(spark):
+    listing = spark.createDataFrame([("raw/s/B2.PDF",), ("scans/s/B2.png",), ("raw/s/c.pdf",)], "path string")
+    manifest = spark.createDataFrame([("B2.PDF", "s", ""), ("b2.pdf", "s", ""), ("c.PDF", "s", "")], "filename string, company_siret string, folder string")
+    found = {r["filename"]: (r["pdf_path"], r["scan_path"]) for r in paths.resolve_paths(manifest, listing, F.lit(False)).collect()}
+    assert found == {"B2.PDF": ("raw/s/B2.PDF", "scans/s/B2.png"), "b2.pdf": (None, None), "c.PDF": (None, None)}
+
+
 def test_ground_truth_rows(spark):
     manifest = spark.createDataFrame(
         [
@@ -155,7 +195,7 @@ def test_ground_truth_rows(spark):
         [("11111111111111", "a.pdf", "SIRET : 22222222222222 Total HT 10,00 € Total TTC 12,00 €")],
         "company_siret string, filename string, text string",
     )
-    rows = {r["filename"]: r for r in ground_truth.build_ground_truth(manifest, listing, texts).collect()}
+    rows = {r["filename"]: r for r in ground_truth.build_ground_truth(manifest, listing, texts, skip_missing=True).collect()}
     assert rows.keys() == {"a.pdf", "a.png"}
     for row in rows.values():
         assert (row["is_fraud"], row["fraud_type"], row["siret_doc"], row["montant_ht"], row["montant_ttc"]) == (
@@ -163,6 +203,8 @@ def test_ground_truth_rows(spark):
         )
     assert rows["a.png"]["source_dataset_path"] == "scans_fraud/11111111111111/a.png"
     assert [r["filename"] for r in ground_truth.missing_documents(manifest, listing).collect()] == ["c.pdf"]
+    with pytest.raises(FileNotFoundError, match="11111111111111/c.pdf"):
+        ground_truth.build_ground_truth(manifest, listing, texts)
 
 
 def test_invoice_rounding(spark):
@@ -193,7 +235,7 @@ def test_company_search_defaults(spark):
 
 
 def test_backfill_touches_only_files_with_gaps(spark, folder):
-    source, target = folder("gold"), folder("gold")
+    source = folder("gold")
 
     def gold(name, stamps, score):
         rows = [(f"{name}{i}", score, stamp) for i, stamp in enumerate(stamps)]
@@ -206,13 +248,50 @@ def test_backfill_touches_only_files_with_gaps(spark, folder):
             ]
         )
 
-    gold("full", ["t1", "t2"], 0.9).write.parquet(f"{source}/zone=high-risk")
-    gold("gap", ["t3", None], 0.1).write.parquet(f"{source}/zone=standard")
-    summary = maintenance.backfill_imported_at(spark, source, target).collect()[0]
+    gold("full", ["t1", "t2"], 0.9).write.parquet(f"{source}/batch_id=7/zone=high-risk")
+    gold("gap", ["t3", None], 0.1).write.parquet(f"{source}/batch_id=7/zone=standard")
+    untouched = sorted(os.listdir(f"{source}/batch_id=7/zone=high-risk"))
+    summary = maintenance.backfill_imported_at(spark, source).collect()[0]
     assert (summary["scanned"], summary["updated"]) == (2, 1)
-    stamps = {r["source_file"]: r["gold_imported_at"] for r in tables.read_gold(spark, target).collect()}
+    assert sorted(os.listdir(f"{source}/batch_id=7/zone=high-risk")) == untouched
+    stamps = {r["source_file"]: r["gold_imported_at"] for r in tables.read_gold(spark, source).collect()}
     assert (stamps["full0"], stamps["full1"]) == ("t1", "t2")
     assert stamps["gap0"] == stamps["gap1"] and stamps["gap0"].endswith("+00:00")
+    again = maintenance.backfill_imported_at(spark, source).collect()[0]
+    assert (again["scanned"], again["updated"]) == (2, 0)
+
+
+def test_foreign_ids_meet_on_company_and_name(spark):
+    manifest = spark.createDataFrame([("a.pdf", "kbis", "1" * 14), ("a.pdf", "kbis", "2" * 14), ("b.pdf", "rib", "1" * 14)], "filename string, doc_type string, company_siret string")
+    shown = f"SIRET (siège) : {'1' * 14}"
+    texts = spark.createDataFrame([("1" * 14, "a.pdf", shown), ("2" * 14, "a.pdf", shown), ("1" * 14, "b.pdf", shown)], "company_siret string, filename string, text string")
+    found = checks.foreign_siret(texts, manifest).collect()
+    assert [(r["company_siret"], r["siret_doc"]) for r in found] == [("2" * 14, "1" * 14)]
+
+
+def test_bank_details(spark):
+    texts = [
+        ("IBAN : FR76 3000 4000 1234 5678 9012 143 BIC / SWIFT BNPAFRPP", "FR7630004000123456789012143"),
+        ("IBAN FR7630004000123456789012143 TITULAIRE", "FR7630004000123456789012143"),
+        ("IBAN DE89 3704 0044 0532 0130 00 BANK", "DE89370400440532013000"),
+        ("IBAN XX12 3456 7890 1 SWIFT ABC", "XX12345678901"),
+        ("RIB sans numero", None),
+    ]
+    rows = spark.createDataFrame([(i, "rib", t) for i, (t, _) in enumerate(texts)] + [(9, "kbis", texts[0][0])], "id int, doc_type string, text string")
+    found = {r["id"]: r for r in checks.bank_details(rows).collect()}
+    assert {i: r["iban"] for i, r in found.items()} == {i: want for i, (_, want) in enumerate(texts)}
+    assert found[2]["remainder"] == 1 and found[2]["plausible"] is True
+    assert found[4]["remainder"] is None and found[4]["plausible"] is False
+
+
+def test_sync_pushes_what_it_counts(spark, folder):
+    manifest = spark.createDataFrame([("a.pdf", "rib", "1", "n", "False", "", "raw"), ("b.pdf", "rib", "1", "n", "False", "", "raw"), ("c.pdf", "rib", "1", "n", "True", "", "raw_fraud")], schemas.MANIFEST_CSV)
+    documents = spark.createDataFrame([("raw/1/a.pdf", b"A"), ("raw_fraud/1/c.pdf", b"C"), ("raw/1/z.pdf", b"Z")], "path string, content binary")
+    companies_ = spark.createDataFrame([], schemas.COMPANIES)
+    root = folder("bronze")
+    summary = maintenance.sync_dataset(manifest, companies_, documents, folder("gold"), root).collect()[0]
+    assert summary["pdfs_bronze"] == 1
+    assert {r["key"]: bytes(r["content"]) for r in bronze.scan_bronze(spark, root).collect()} == {"raw/1/a.pdf": b"A"}
 
 
 def test_file_route_uses_the_highest_score(spark):

@@ -13,8 +13,8 @@ def land(spark, root, names):
     bronze.land_objects(spark.createDataFrame(rows, "key string, content binary"), root).collect()
 
 
-def drain(spark, root, silver, checkpoint):
-    stream = pipelines.stream_bronze_to_silver(spark, root, silver, checkpoint, trigger=pipelines.DRAIN)
+def drain(spark, root, silver, checkpoint, batch_size=5):
+    stream = pipelines.stream_bronze_to_silver(spark, root, silver, checkpoint, batch_size=batch_size, trigger=pipelines.DRAIN)
     stream.awaitTermination()
     return stream
 
@@ -65,7 +65,40 @@ def test_silver_stream_scores_and_routes(spark, folder):
             spark, silver, gold, checkpoint, training.neutral(spark), "now", trigger=pipelines.DRAIN
         )
         stream.awaitTermination()
-    found = {r["source_file"]: (r["fraud_score"], r["zone"]) for r in spark.read.parquet(gold).collect()}
+    found = {r["source_file"]: (r["fraud_score"], r["zone"]) for r in tables.read_gold(spark, gold).collect()}
     assert found == {
         "11111111111111_facture_1.pdf": (0.9, "high-risk"), "11111111111111_rib_2.pdf": (0.05, "standard"),
     }
+
+
+def test_no_limit_unless_asked_for(spark, folder):
+    root, silver = folder("bronze"), folder("silver")
+    land(spark, root, [f"{i}.pdf" for i in range(12)])
+    drain(spark, root, silver, folder("checkpoint"), batch_size=None)
+    assert batches(silver) == ["batch_id=0"] and tables.read_silver(spark, silver).count() == 12
+
+
+def test_a_claimed_silver_key_stays(spark, folder):
+    root, silver, checkpoint = folder("bronze"), folder("silver"), folder("checkpoint")
+    land(spark, root, ["d/a.pdf", "d/b.pdf"])
+    drain(spark, root, silver, checkpoint)
+    land(spark, root, ["d/a.jpg", "d/c.pdf", "d/c.png"])
+    drain(spark, root, silver, checkpoint)
+    assert sorted(r["source_file"] for r in tables.read_silver(spark, silver).collect()) == ["d/a.pdf", "d/b.pdf", "d/c.pdf"]
+
+
+def test_whole_texts_are_kept(spark, folder):
+    root, silver = folder("bronze"), folder("silver")
+    bronze.land_objects(spark.createDataFrame([("a.pdf", b"x" * 20_000)], "key string, content binary"), root).collect()
+    drain(spark, root, silver, folder("checkpoint"))
+    assert len(tables.read_silver(spark, silver).first()["ocr_text"]) == 20_000
+
+
+def test_an_empty_silver_file_does_not_stop_the_stream(spark, folder):
+    root, silver, gold = folder("bronze"), folder("silver"), folder("gold")
+    land(spark, root, ["a.docx"])
+    drain(spark, root, silver, folder("checkpoint"))
+    spark.createDataFrame([], schemas.SILVER).write.mode("append").parquet(f"{silver}/batch_id=9")
+    checkpoint = folder("checkpoint")
+    pipelines.stream_silver_to_gold(spark, silver, gold, checkpoint, training.neutral(spark), "now", trigger=pipelines.DRAIN).awaitTermination()
+    assert tables.read_gold(spark, gold).count() == 0
