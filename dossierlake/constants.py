@@ -115,7 +115,6 @@ MID_QUANTILE = 0.66
 COMPANY_LOW_QUANTILE = 0.05
 COMPANY_HIGH_QUANTILE = 0.95
 COMPANY_MIN_AMOUNTS = 2
-TYPE_QUANTILE = 0.95
 
 # Characters of an account number by country.
 IBAN_LENGTHS = {

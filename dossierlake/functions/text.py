@@ -12,7 +12,7 @@ _SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　" + "".
     map(chr, range(0x2000, 0x200B))
 )
 _REPLACEMENT = "�"
-_STAND_IN = "￿"
+_ESCAPE = "\uffff"
 
 
 def strip(text: Column) -> Column:
@@ -32,8 +32,10 @@ def blank_to_null(text: Column) -> Column:
 def lossy_utf8(content: Column) -> Column:
     """Decode bytes, dropping invalid sequences and keeping real replacement characters."""
     raw = content.cast("string")
-    guarded = F.make_valid_utf8(F.replace(raw, F.lit(_REPLACEMENT), F.lit(_STAND_IN)))
-    repaired = F.replace(F.replace(guarded, F.lit(_REPLACEMENT), F.lit("")), F.lit(_STAND_IN), F.lit(_REPLACEMENT))
+    # Real replacement characters are written as the escape character and 1 meanwhile, the escape character as itself and 0.
+    escaped = F.replace(F.replace(raw, F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(_REPLACEMENT), F.lit(_ESCAPE + "1"))
+    valid = F.replace(F.make_valid_utf8(escaped), F.lit(_REPLACEMENT), F.lit(""))
+    repaired = F.replace(F.replace(valid, F.lit(_ESCAPE + "1"), F.lit(_REPLACEMENT)), F.lit(_ESCAPE + "0"), F.lit(_ESCAPE))
     return strip(F.when(F.is_valid_utf8(raw), raw).otherwise(repaired))
 
 

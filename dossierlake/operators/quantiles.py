@@ -4,32 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Amounts carry two decimals, so a band this wide holds at most 100,000 distinct values.
-BAND_WIDTH = 1000.0
+# Bits of an amount in cents that the bands of each step leave open. A step orders the bands of one band of the step
+# before: at most 2**15 of them, and for amounts up to 10**12 at most about 10**5 in the first.
+STEPS = (30, 15, 0)
+
+
+def band_of(cents: Column, step: int) -> Column:
+    return F.shiftright(cents, STEPS[step])
 
 
 def quantiles_from_counts(
     counts: DataFrame, probabilities: dict[str, float], by: list[str], min_rows: Column | int = 1
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group of ``by``.
+    """Linear-interpolation quantiles per group of ``by``, for amounts of whole cents.
 
     ``counts`` carries the grouping columns, ``value`` and ``n``, one row per
-    distinct value of a group. Values are first summed into fixed-width bands.
-    A running count over the few bands of a group tells which bands hold the
-    wanted ranks, and only the values of those bands are ordered, each band in
-    its own task. Grouping columns must not be null. Returns the grouping
+    distinct value of a group; values are rounded to cents. Counts per band tell
+    which bands hold the wanted ranks, and only those are cut into finer bands,
+    down to single cents, so what one task orders is bounded however many rows
+    a group has. Grouping columns must not be null. Returns the grouping
     columns, ``n`` and one column per probability.
     """
-    banded = counts.withColumn("band", F.floor(F.col("value") / BAND_WIDTH))
-
-    bands = banded.groupBy(*by, "band").agg(F.sum("n").alias("band_rows"))
-    group = Window.partitionBy(*by)
-    bands = (
-        bands.withColumn("total", F.sum("band_rows").over(group))
-        .withColumn("band_end", F.sum("band_rows").over(group.orderBy("band")))
-        .withColumn("band_start", F.col("band_end") - F.col("band_rows"))
-        .where(F.col("total") >= min_rows)
-    )
 
     def position(probability: float) -> Column:
         return F.lit(probability) * (F.col("total") - 1)
@@ -40,15 +35,28 @@ def quantiles_from_counts(
     wanted = F.lit(False)
     for probability in probabilities.values():
         for rank in (F.floor(position(probability)), F.ceil(position(probability))):
-            wanted = wanted | covers(F.col("band_start"), F.col("band_end"), rank)
-    wanted_bands = bands.where(wanted).select(*by, "band", "band_start", "total")
+            wanted = wanted | covers(F.col("start"), F.col("end"), rank)
 
-    within_band = Window.partitionBy(*by, "band").orderBy("value")
+    rows = counts.withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    group = Window.partitionBy(*by)
+    first = rows.groupBy(*by, band_of(F.col("cents"), 0).alias("band")).agg(F.sum("n").alias("n"))
     ranked = (
-        banded.join(wanted_bands, [*by, "band"])
-        .withColumn("end", F.col("band_start") + F.sum("n").over(within_band))
+        first.withColumn("total", F.sum("n").over(group))
+        .where(F.col("total") >= min_rows)
+        .withColumn("end", F.sum("n").over(group.orderBy("band")))
         .withColumn("start", F.col("end") - F.col("n"))
     )
+    for step in range(1, len(STEPS)):
+        parents = ranked.where(wanted).select(*by, F.col("band").alias("parent"), F.col("start").alias("base"), "total")
+        parent = band_of(F.col("cents"), step - 1).alias("parent")
+        finer = rows.groupBy(*by, parent, band_of(F.col("cents"), step).alias("band")).agg(F.sum("n").alias("n"))
+        within = Window.partitionBy(*by, "parent").orderBy("band")
+        ranked = (
+            finer.join(parents, [*by, "parent"])
+            .withColumn("end", F.col("base") + F.sum("n").over(within))
+            .withColumn("start", F.col("end") - F.col("n"))
+        )
+    ranked = ranked.withColumn("value", F.col("band") / F.lit(100.0))
 
     picks = [F.max("total").alias("n")]
     for name, probability in probabilities.items():

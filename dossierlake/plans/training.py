@@ -119,10 +119,6 @@ def feature_vectors(ground_truth: DataFrame, bounds: DataFrame, as_of: str) -> D
     )
 
 
-def class_counts(vectors: DataFrame) -> DataFrame:
-    return vectors.groupBy("label").agg(F.sum("n").alias("n"))
-
-
 def feature_counts(vectors: DataFrame) -> DataFrame:
     """Rows per (feature, value, label)."""
     long = vectors.unpivot(["label", "n"], C.FEATURES, "feature", "value")

@@ -16,7 +16,7 @@ def companies_from_search(
     """Flatten JSON responses to one row per company.
 
     Results without SIRET are skipped, later repeats of a SIRET are dropped in
-    (page, position) order, and missing fields take their defaults.
+    (page, position) order, and missing fields take their defaults, as do explicit nulls.
     """
     parsed = responses.select(
         F.col(page).alias("page"),

@@ -77,20 +77,10 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 def read_foreign_silver(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Silver files of another writer, whose all-null columns carry no usable type.
 
-    Each file is read with its own schema and cast to the declared one.
+    One scan, however many files. The row-by-row reader takes a column without
+    values for any declared type, the vectorised one does not; a session of its
+    own keeps that setting to this read.
     """
-    declared = spark.createDataFrame([], schemas.SILVER).schema
-    tables = []
-    for path in paths:
-        raw = spark.read.parquet(path)
-        tables.append(
-            raw.select(
-                *[
-                    (F.col(field.name) if field.name in raw.columns else F.lit(None))
-                    .cast(field.dataType)
-                    .alias(field.name)
-                    for field in declared
-                ]
-            )
-        )
-    return union_by_name(*tables)
+    session = spark.newSession()
+    session.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
+    return session.read.schema(schemas.SILVER).parquet(*paths)

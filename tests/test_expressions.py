@@ -70,6 +70,7 @@ def test_mentions_expired(spark, raw, expected):
         (b" \t caf\xc3\xa9 \n", "café"),
         (" x�y\x1c".encode() + b"\xc3", "x�y"),
         (b"\xed\xa0\x80ok", "ok"),
+        ("a\uffff0\uffff1\ufffd\uffff".encode() + b"\xff", "a\uffff0\uffff1\ufffd\uffff"),
     ],
 )
 def test_lossy_utf8(spark, raw, expected):

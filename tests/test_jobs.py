@@ -46,9 +46,14 @@ def test_foreign_file_with_null_typed_columns(spark, tmp_path):
     other = tmp_path / "two.parquet"
     pq.write_table(pa.table({"source_file": ["b.pdf"], "siret": ["0123"], "amount_total": [1.5]}), other)
     rows = tables.read_foreign_silver(spark, [str(path), str(other)]).collect()
-    assert [(r["source_file"], r["siret"], r["amount_total"], r["ocr_text"]) for r in rows] == [
+    assert sorted((r["source_file"], r["siret"], r["amount_total"], r["ocr_text"]) for r in rows) == [
         ("a.pdf", None, None, None), ("b.pdf", "0123", 1.5, None),
     ]
+    assert spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true"
+    found = tables.read_foreign_silver(spark, [str(path), str(other)])
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    joined = spark.createDataFrame([("b.pdf", 1)], "source_file string, n int").join(found, "source_file")
+    assert joined.count() == 1
 
 
 def test_pending_work(spark):

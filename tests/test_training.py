@@ -117,3 +117,26 @@ def test_absent_ground_truth_gives_the_neutral_model(spark):
     row = scoring.score(silver, training.neutral(spark)).collect()[0]
     assert (row["ml_probability"], row["model_version"]) == (0.0, "rules-only")
     assert row["fraud_score"] == pytest.approx(0.55) and row["risk_level"] == "normal"
+
+
+def test_what_one_task_orders_is_bounded(spark):
+    """Amounts from a cent to a million millions: exact quantiles, and few bands below each band of the step before."""
+    import numpy as np
+
+    from dossierlake.operators.quantiles import STEPS, band_of
+
+    draw = np.random.default_rng(5)
+    amounts = np.round(np.concatenate([10 ** draw.uniform(-2, 12, 4000), draw.uniform(0, 50, 4000), np.full(3000, 19.99)]), 2)
+    values, counts = np.unique(amounts, return_counts=True)
+    frame = spark.createDataFrame([("all", float(v), int(n)) for v, n in zip(values, counts, strict=True)], "grp string, value double, n long")
+    wanted = {"a": 0.0, "b": 0.05, "c": 0.33, "d": 0.66, "e": 0.95, "f": 1.0}
+    row = quantiles_from_counts(frame, wanted, ["grp"]).collect()[0]
+    assert row["n"] == len(amounts)
+    for name, q in wanted.items():
+        assert row[name] == pytest.approx(np.quantile(amounts, q), rel=1e-12, abs=1e-9)
+    cents = F.round(F.col("value") * 100).cast("long")
+    bands = frame.select(*[band_of(cents, step).alias(f"s{step}") for step in range(len(STEPS))])
+    assert bands.select("s0").distinct().count() < 10**5
+    for step in range(1, len(STEPS)):
+        most = bands.distinct().groupBy(f"s{step - 1}").agg(F.count_distinct(f"s{step}").alias("n")).agg(F.max("n")).first()[0]
+        assert most <= 2 ** (STEPS[step - 1] - STEPS[step])
