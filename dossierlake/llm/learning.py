@@ -23,7 +23,13 @@ def sampled(labels: DataFrame, label: str, allowed: Column, rows_each: int = ROW
     """
     known = labels.filter(allowed).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    each = [known.filter(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_each).withColumn("weight", F.lit(max(1.0, sizes.get(v, 0) / rows_each))) for v in (0, 1)]
+    each = []
+    for value in (0, 1):
+        # A coarse choice by hash leaves about twice the bound to sort, however many rows are labelled.
+        share = min(1.0, (2 * rows_each + 100) / max(1, sizes.get(value, 0)))
+        near = known.filter((F.col("label") == value) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < share * 1_000_000))
+        chosen = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_each)
+        each.append(chosen.withColumn("weight", F.lit(max(1.0, sizes.get(value, 0) / rows_each))))
     return each[0].unionByName(each[1])
 
 

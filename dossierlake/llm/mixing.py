@@ -17,6 +17,8 @@ from dossierlake.llm.common import stored, table, word_count
 #: Weights repeat over the sources in order; the mix holds SHARE of all words and at most REPEAT of any document.
 WEIGHTS, SHARE, REPEAT = (3, 1, 2), 1.5, 2
 SEED = "mix"
+#: Above every size band.
+TOP_BAND = 4097
 
 
 def _key(source: Column) -> Column:
@@ -48,8 +50,9 @@ def sample(
 ) -> DataFrame:
     """One row per row of ``docs``: ``row`` (the columns ``keep``, or all), ``size``, ``source_size``, ``target`` and ``copies``.
 
-    The order within a source is: size band, slice of the id's hash, size, hash. Bands are a sixteenth of an octave wide,
-    and there are 256 slices to a band, so no window holds more than a 256th of a source's documents of one size; the
+    The order within a source is: size band, slice of the id's hash, size, hash. Every other band comes in ascending order,
+    then the ones between in descending order: what the offset gains on the way up it loses on the way down, so small
+    sources come near their target too. Bands are a sixteenth of an octave wide, and there are 256 slices to a band, so no window holds more than a 256th of a source's documents of one size; the
     counts of slices and of bands are summed in windows of at most 256 rows and of a few hundred rows. A first pass reads
     the texts for these counts, a second for the draw, so only the columns kept are shuffled. Null texts and texts without
     words have size 0; documents of a source without words get no copy. A null source is a source of its own and comes
@@ -63,6 +66,10 @@ def sample(
     ).withColumns(
         {
             "band": F.expr("length(bin(size)) * 32 + shiftright(size, greatest(length(bin(size)) - 5, 0))"),
+        }
+    ).withColumns(
+        {
+            "band": F.when(F.col("band") % 2 == 0, F.col("band")).otherwise(F.lit(TOP_BAND) - F.col("band")),
             "slice": F.substring("hash", 1, 2),
         }
     )
@@ -101,7 +108,8 @@ WITH sized AS (
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '')) AS hash
   FROM documents),
-banded AS (SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS band, substr(hash, 1, 2) AS slice FROM sized),
+raised AS (SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS level, substr(hash, 1, 2) AS slice FROM sized),
+banded AS (SELECT *, CASE WHEN level % 2 = 0 THEN level ELSE 4097 - level END AS band FROM raised),
 totals AS (SELECT key, source, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL),
 weighed AS (
   SELECT *, source_size * 2.0::DOUBLE AS cap,
