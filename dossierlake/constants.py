@@ -141,6 +141,7 @@ SUMMARY_MEDIUM = "Points a verifier : "
 SUMMARY_LOW = "Information utile : "
 SUMMARY_NONE = "Aucune anomalie detectee."
 REJECT_REASON = "Format rejete - PDF/Image uniquement"
+WRITE_REASON = "Erreur d'ecriture MinIO"
 EMPTY_MESSAGE = "Aucune donnee analysee pour le moment"
 UNKNOWN_FILENAME = "document-inconnu"
 PREVIEW_PREFIX = "/api/v1/documents/view?key="

@@ -35,9 +35,10 @@ def media_type(key: Column) -> Column:
     return F.when(F.lower(key).endswith(".pdf"), "application/pdf").otherwise("application/octet-stream")
 
 
-def upload_rejection(name: Column) -> Column:
-    """Reason an upload is refused, null when accepted."""
-    return F.when(~F.coalesce(has_suffix(name, C.UPLOAD_SUFFIXES), F.lit(False)), C.REJECT_REASON)
+def upload_rejection(name: Column, written: Column | None = None) -> Column:
+    """Reason an upload failed, null when accepted: its format, or, where ``written`` says so, its storage."""
+    reason = F.when(~F.coalesce(has_suffix(name, C.UPLOAD_SUFFIXES), F.lit(False)), C.REJECT_REASON)
+    return reason if written is None else reason.when(~F.coalesce(written, F.lit(False)), C.WRITE_REASON)
 
 
 def preview_url(source_file: Column) -> Column:

@@ -52,7 +52,7 @@ def upload_summary(uploads: DataFrame, name: str = "name", written: Column | Non
     ``uploads`` carries ``batch``; ``written`` says whether storing an accepted file succeeded.
     A batch without a single success is an error.
     """
-    ok = files.upload_rejection(F.col(name)).isNull() & (F.lit(True) if written is None else written)
+    ok = files.upload_rejection(F.col(name), written).isNull()
     counted = uploads.groupBy("batch").agg(
         F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed")
     )

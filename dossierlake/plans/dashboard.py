@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from dossierlake import constants as C
 from dossierlake.functions import display, doctype, files
 from dossierlake.functions.text import blank_to_null, finite
-from dossierlake.operators.summaries import newest_first
+from dossierlake.operators.summaries import dashboard_stats, newest_first, status_filter
 
 
 def clean_numbers(df: DataFrame) -> DataFrame:
@@ -81,3 +81,13 @@ def dashboard(gold: DataFrame, now: str, fallback_id: str = "source_file") -> Da
     """
     created = F.coalesce(display.created_at(gold), F.lit(now))
     return items(enrich(newest_first(gold, display.sortable_time(created), "source_file")), fallback_id, now)
+
+
+def overview(gold: DataFrame, now: str, wanted: str = "TOUS", fallback_id: str = "source_file") -> tuple[DataFrame, DataFrame]:
+    """The items with the status ``wanted``, newest first, and the statistics of all of them.
+
+    The filter is on gold's own columns and comes before the sort, so other rows are not sorted.
+    """
+    status = display.api_status(F.col("statut_fraude"), F.col("fraud_score"))
+    chosen = status_filter(gold.withColumn("status", status), wanted).drop("status")
+    return dashboard(chosen, now, fallback_id), dashboard_stats(gold.select(status.alias("status")))

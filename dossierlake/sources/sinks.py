@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dossierlake import constants as C, schemas
 from dossierlake.functions import display
 from dossierlake.operators.dedup import one_per_silver_key, unclaimed
+from dossierlake.operators.pending import require_outputs
 from dossierlake.sources.tables import read_silver_batches
 
 
@@ -15,25 +16,33 @@ def _declared(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in fields])
 
 
-def write_silver(silver: DataFrame, root: str, batch_id: str = "0") -> None:
+def write_silver(silver: DataFrame, root: str, batch_id: str = "0", check: bool = False) -> None:
     """Add one batch of silver rows, one per silver key.
 
     Of two sources with the same stem the smaller key stays, and a silver key
     that another batch holds is left alone. The batch has its own folder, which
-    a retry replaces; other batches are not touched.
+    a retry replaces; other batches are not touched. With ``check`` the job
+    fails where a row of the batch cannot be read back.
     """
     declared = _declared(one_per_silver_key(silver), schemas.SILVER)
     others = read_silver_batches(silver.sparkSession, root).where(F.col("batch_id") != batch_id)
-    unclaimed(declared, others).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+    kept, target = unclaimed(declared, others), f"{root}/batch_id={batch_id}"
+    kept.write.mode("overwrite").parquet(target)
+    if check:
+        require_outputs(kept, silver.sparkSession.read.schema(schemas.SILVER).parquet(target), "source_file")
 
 
-def write_gold(routed: DataFrame, root: str, batch_id: str = "0") -> None:
+def write_gold(routed: DataFrame, root: str, batch_id: str = "0", check: bool = False) -> None:
     """Write one batch of gold rows below its own folder, by zone; each task writes one file per zone at most.
 
-    A retry replaces the batch and nothing else.
+    A retry replaces the batch and nothing else. ``check`` as in :func:`write_silver`.
     """
     declared = _declared(routed, schemas.GOLD + ", zone string")
-    declared.write.mode("overwrite").partitionBy("zone").parquet(f"{root}/batch_id={batch_id}")
+    target = f"{root}/batch_id={batch_id}"
+    declared.write.mode("overwrite").partitionBy("zone").parquet(target)
+    if check:
+        found = routed.sparkSession.read.schema(schemas.GOLD).option("recursiveFileLookup", "true").parquet(target)
+        require_outputs(declared, found, "source_file")
 
 
 def replace_gold_folders(rows: DataFrame, root: str) -> None:

@@ -185,8 +185,9 @@ WHERE EXISTS (SELECT 1 FROM fx_files f WHERE f.path = concat('raw/', m.company_s
 REJECTED = UNSUFFIXED.format("name")
 sql(
     "upload_triage",
-    f"""SELECT upload_id, name, {truth('NOT ' + REJECTED)} AS accepted,
-  CASE WHEN {REJECTED} THEN 'Format rejete - PDF/Image uniquement' END AS reason FROM fx_uploads""",
+    f"""SELECT upload_id, name, {truth('NOT ' + REJECTED + ' AND size <> 3')} AS accepted,
+  CASE WHEN {REJECTED} THEN 'Format rejete - PDF/Image uniquement' WHEN size = 3 THEN 'Erreur d''ecriture MinIO' END AS reason
+FROM fx_uploads""",
     use=("fx_uploads",),
 )
 sql(

@@ -274,7 +274,7 @@ def sync_summary(spark, sf_dir):
 
 @with_fixture("upload_triage", "fx_uploads")
 def upload_triage(uploads):
-    reason = files.upload_rejection(F.col("name"))
+    reason = files.upload_rejection(F.col("name"), written=F.col("size") != 3)
     return uploads.select("upload_id", "name", text_of(reason.isNull()).alias("accepted"), reason.alias("reason"))
 
 
@@ -957,9 +957,13 @@ def job_ground_truth(spark, sf_dir):
     return ground_truth.build_ground_truth(manifest, listing, texts)
 
 
-@with_fixture("job_dashboard", "fx_gold")
-def job_dashboard(gold):
-    return dashboard.dashboard(gold, STAMP)
+@query
+def job_dashboard(spark, sf_dir):
+    """The dashboard of a written gold table."""
+    root = scratch_path(spark, "gold")
+    sinks.write_gold(fixture(spark, sf_dir, "fx_gold").withColumn("zone", risk.zone(F.col("fraud_score"))), root)
+    items, _ = dashboard.overview(tables.read_gold(spark, root), STAMP)
+    return items
 
 
 # --- streams -----------------------------------------------------------------------------

@@ -316,3 +316,35 @@ def test_gold_routing_round_trip(spark, folder, sf_dir):
     back = tables.read_gold(spark, root)
     assert back.count() == rows.count()
     assert back.where("zone = 'high-risk' AND fraud_score < 0.75 OR zone = 'standard' AND fraud_score >= 0.75").isEmpty()
+
+
+def test_dashboard_filters_before_sorting_and_counts_all(spark, sf_dir, folder):
+    from dossierlake.plans import dashboard
+    from dossierlake.workloads.fixtures import fixture
+
+    root = folder("gold")
+    gold = scoring.route(fixture(spark, sf_dir, "fx_gold"), "2026-01-01T00:00:00+00:00")
+    sinks.write_gold(gold, root, check=True)
+    back = tables.read_gold(spark, root)
+    items, stats = dashboard.overview(back, "now", wanted="FRAUDE")
+    counts = stats.first()
+    found = items.collect()
+    assert len(found) == counts["fraude"] < counts["total"] == back.count() and {r["status"] for r in found} == {"FRAUDE"}
+    dates = [r["createdAt"] for r in found]
+    assert dates == sorted(dates, reverse=True)
+    assert dashboard.overview(back, "now")[0].count() == counts["total"]
+
+
+def test_upload_reasons(spark):
+    from dossierlake import constants as C
+    from dossierlake.functions import files
+
+    rows = spark.createDataFrame([("a.pdf", True), ("b.doc", True), ("c.PNG", False), ("d.doc", False), ("e.pdf", None)], "name string, ok boolean")
+    found = {r["name"]: r["reason"] for r in rows.select("name", files.upload_rejection(F.col("name"), F.col("ok")).alias("reason")).collect()}
+    assert found == {"a.pdf": None, "b.doc": C.REJECT_REASON, "c.PNG": C.WRITE_REASON, "d.doc": C.REJECT_REASON, "e.pdf": C.WRITE_REASON}
+
+
+def test_checked_writes(spark, folder):
+    root = folder("silver")
+    sinks.write_silver(silver_rows(spark, ("a.pdf", "x"), ("a.png", "y")), root, check=True)
+    assert tables.read_silver(spark, root).count() == 1
