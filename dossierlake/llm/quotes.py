@@ -71,20 +71,23 @@ def replies(parsed: DataFrame) -> DataFrame:
 def threads(answers: DataFrame) -> DataFrame:
     """``scope``, ``turn``, ``reply_to``, ``thread`` (the first message reached by replies) and ``depth`` of each reply.
 
-    Every round doubles how far a message sees, so rounds number the logarithm of the deepest thread.
+    Every round doubles how far a message sees, so rounds number the logarithm of the deepest thread. Messages that see the
+    first one leave the rounds; those still looking use what they have found.
     """
-    now = stored(answers.withColumn("thread", F.col("reply_to")).withColumn("depth", F.lit(1).cast("long")), "replies")
+    active = stored(answers.withColumn("thread", F.col("reply_to")).withColumn("depth", F.lit(1).cast("long")), "replies")
+    done = active.limit(0)
     for _ in range(MOST_ROUNDS):
-        above = now.select("scope", F.col("turn").alias("thread"), F.col("thread").alias("higher"), F.col("depth").alias("more"))
-        now = stored(
-            now.join(above, ["scope", "thread"], "left").select(
+        above = active.unionByName(done).select("scope", F.col("turn").alias("thread"), F.col("thread").alias("higher"), F.col("depth").alias("more"))
+        looked = stored(
+            active.join(above, ["scope", "thread"], "left").select(
                 "scope", "turn", "reply_to", F.coalesce("higher", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved")
             ),
             "threads",
         )
-        if now.filter("moved").isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+        done = done.unionByName(looked.filter("not moved").drop("moved"))
+        active = looked.filter("moved").drop("moved")
+        if active.isEmpty():
+            return done
     raise RuntimeError("a thread is too deep")
 
 
