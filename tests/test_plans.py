@@ -12,7 +12,8 @@ from dossierlake.sources import bronze, tables
 from dossierlake.workloads import queries
 from dossierlake.workloads.fixtures import fixture
 
-EAGER = {"scan_bronze", "stream_bronze_silver"}
+# These store objects in Arrow batches while they are planned or run.
+LANDING = {"scan_bronze", "stream_bronze_silver", "sync_summary"}
 
 
 def plan(df):
@@ -109,10 +110,8 @@ def test_pending_is_an_anti_join_with_top_k(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan(pending.pending_bronze(keys, keys, limit=5))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.REGISTRY) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(queries.REGISTRY) - LANDING))
 def test_no_python_and_no_cartesian_product(name, spark, sf_dir):
-    if name.startswith(("scan_", "sink_", "stream_", "backfill", "sync", "model_bundle")):
-        pytest.skip("runs actions; its parts are checked above")
     text = plan(queries.REGISTRY[name](spark, sf_dir))
     for word in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in text
