@@ -122,7 +122,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, as they are and as mail that quotes."""
     plain = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = plain.withColumn("form", F.lit("plain")).unionByName(as_mail(plain).withColumn("form", F.lit("mail")))
-    done = conversations(both, ["form", "conv_id"])
+    done = conversations(stored(both, "messages"), ["form", "conv_id"])
     return done.select("row.form", "row.conv_id", "row.turn", "row.role", "content", "n_quoted", "reply_to", "thread", "depth")
 
 
