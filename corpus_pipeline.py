@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dossierlake.llm import bpe, line_dedup, mixing, simhash, toxicity
 from dossierlake.llm.common import stored, table
@@ -31,13 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows that repeat that id, one."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"))
-    joined = row.join(kept, F.col("id").eqNullSafe(F.col("kept_id")))
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text")))
-    return joined.withColumn("nth", first).filter("nth = 1").select("row.*")
+    """Of each group of near duplicates the row with the smallest id; rows near no other stay, whatever their ids."""
+    return simhash.survivors(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,13 @@ def links(prints: DataFrame, blocks: int = BLOCKS, slot: int = SLOT) -> DataFram
     return tasks.mapInArrow(run, "a long, b long")
 
 
+def _rooted(prints: DataFrame, **options) -> DataFrame:
+    """``fp``, ``first`` (its smallest ``id``), ``n`` (its rows) and ``root``, which linked fingerprints share, of each distinct one."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    roots = connected_components(links(distinct.select("fp"), **options))
+    return stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp`` and ``component_id``, the smallest id reachable over links.
 
@@ -176,15 +183,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many rows share them. Rows that repeat an id are rows of their own. Null ids never name a component that has another.
     """
     prints = stored(fingerprinted(docs, id_col, text_col), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = connected_components(links(distinct.select("fp"), **options))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = stored(rooted, "roots")
+    rooted = _rooted(prints, **options)
     smallest = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("members")).filter("members > 1"), "components")
     named = stored(rooted.join(smallest, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp", "left").select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of each group of near duplicates one row of ``docs``; rows that are near nothing else all stay.
+
+    Groups are of rows, whatever their ids: rows without an id, or that share one, fall only if their texts are near another's.
+    The row with the smallest id stays, one without an id only where no other has one, then the smallest hash of the text.
+    """
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    # Numbers of rows hold only for what is written.
+    rows = stored(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    place = F.struct(F.col(f"row.`{id_col}`").isNull().alias("nameless"), F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(f"row.`{text_col}`").alias("hash"), "number")
+    prints = stored(fingerprinted(rows.select(place.alias("place"), F.col(f"row.`{text_col}`").alias("text")), "place", "text"), "fingerprints")
+    chosen = _rooted(prints, **options).groupBy("root").agg(F.min("first").alias("first")).select("first.number")
+    return rows.join(chosen, "number", "left_semi").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -78,6 +78,16 @@ def test_odd_tables(spark, tables):
     assert p.tokenise(spark, docs.drop("ids", "n_tokens"), path).count() == len(kept[3])
 
 
+def test_near_duplicates_go_by_row_not_by_id(spark, documents):
+    """Rows without an id, or that share one, are lost only to a near copy."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, words(k)) for k in range(6)] + [(7, words(k)) for k in range(10, 14)]
+    rows += [(None, words(0)), (7, words(10)), (3, words(11)), (9, words(20)), (None, words(20)), (8, None), (None, ""), (2, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in p.drop_near_duplicates(spark, documents(rows).repartition(3), "").collect()), key=str)
+    want = [(None, words(k)) for k in range(6)] + [(7, words(10)), (3, words(11)), (7, words(12)), (7, words(13)), (9, words(20)), (2, "")]
+    assert got == sorted(want, key=str)
+
+
 def test_empty_tables(spark, tables):
     path = tables([])
     done = p.run(spark, path)
