@@ -35,6 +35,7 @@ ENCODINGS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "upperhex": "0123456789ABCDEF",  # after base32, which few of its strings fit: 1 in 1,000 of 24 characters
     "lower": "abcdefghijklmnopqrstuvwxyz",
     "upper36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
@@ -43,6 +44,8 @@ ENCODINGS = {
     "base64url": "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
     "mixed": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
+#: Groups of digits and letters of one case, with one separator between any two; groups without any digit are words.
+GROUPED = re.compile(r"(?=.*[0-9])(?:(?:[0-9a-z]+[-_])+[0-9a-z]+|(?:[0-9A-Z]+[-_])+[0-9A-Z]+)")
 _SETS = {name: frozenset(letters) for name, letters in ENCODINGS.items()}
 #: p-values of the fourth figure are counted by tenths of their decimal exponent, down to this one.
 BINS = 3000
@@ -72,9 +75,18 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def letters_of(body: str) -> str:
+    """The characters that are tested: without padding, and without separators between groups of one case, as in a UUID.
+
+    In strings of both cases dashes and underscores are letters of base64url.
+    """
+    plain = body.replace("=", "")
+    return plain.replace("-", "").replace("_", "") if GROUPED.fullmatch(plain) else plain
+
+
 def encoding(body: str) -> str:
-    """The narrowest alphabet that holds all characters."""
-    used = frozenset(body.replace("=", ""))
+    """The narrowest alphabet that holds all characters, separators aside."""
+    used = frozenset(letters_of(body))
     return next((name for name, letters in _SETS.items() if used <= letters), "mixed")
 
 
@@ -88,7 +100,7 @@ def battery(body: str) -> tuple[str, float, float, float]:
     """Encoding and p-values of uniformity, runs and serial correlation, small for strings that are not random."""
     name = encoding(body)
     place = {c: i for i, c in enumerate(ENCODINGS[name])}
-    x = np.array([place[c] for c in body if c in place], float)
+    x = np.array([place[c] for c in letters_of(body)], float)
     n, size = len(x), len(place)
     if n < 3:
         return name, 0.0, 0.0, 0.0
@@ -122,7 +134,7 @@ def ordinary(body: str, name: str, frequency: np.ndarray) -> float:
     variance = float(q @ (gain - mean) ** 2)
     by_byte = np.zeros(256)
     by_byte[letters] = gain
-    used = np.frombuffer(body.replace("=", "").encode(), np.uint8)
+    used = np.frombuffer(letters_of(body).encode(), np.uint8)
     z = (float(by_byte[used].sum()) - len(used) * mean) / math.sqrt(max(len(used) * variance, 1e-12))
     return max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300)
 

@@ -78,6 +78,34 @@ def test_encoding(body, name):
     assert s.encoding(body) == name
 
 
+def dashed(seed, digits="0123456789abcdef", groups=(8, 4, 4, 4, 12)):
+    return "-".join(random_string(f"{seed} {k}", n, digits) for k, n in enumerate(groups))
+
+
+UPPER_HEX = "0123456789ABCDEF"
+KINDS_OF_HEX = {
+    **{f"upper {n}": lambda i, n=n: random_string(i, n, UPPER_HEX) for n in (24, 32, 40, 64)}, "uuid": dashed, "upper uuid": lambda i: dashed(i, UPPER_HEX),
+    "groups of five": lambda i: dashed(i, string.ascii_uppercase + string.digits, (5,) * 5),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS_OF_HEX)
+def test_battery_keeps_upper_and_dashed_hex(kind):
+    rejected = np.mean([min(s.battery(KINDS_OF_HEX[kind](i))[1:]) < s.LEVEL for i in range(2000)])
+    assert rejected < 0.01
+
+
+def test_upper_and_dashed_hex_are_added(documents):
+    fill = "In 1900 A Cab, in 2010 A Decade And A Day; 100 Added, 2000 Called. An Account of 1,000 and 100 cars, each at 20 and a day. " * 4
+    made = [KINDS_OF_HEX[k](i) for i in range(10) for k in ("upper 64", "uuid", "upper uuid")]
+    rows = [(i, f"{fill}here {body} there. {fill}") for i, body in enumerate(made)]
+    slugs = ["a-decade-and-a-day-of-cars-and-cabs", "internationalisation_of_everything", "2010-10-10-2010-10-10-2010", "a-b-a-b-a-b-a-b-a-b-a-b-a-b"]
+    rows += [(100 + i, f"{fill} {w} {fill}") for i, w in enumerate(slugs)]
+    found = {r["row"]["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["kind"] == 3] for r in s.secrets(documents(rows)).collect()}
+    hit = [found[i] == [(len(fill) + 5, len(fill) + 5 + len(body))] for i, body in enumerate(made)]
+    assert sum(hit) >= len(made) - 3 and not any(found[100 + i] for i in range(len(slugs)))
+
+
 def test_longer_strings_need_less_luck():
     frequency = np.ones(256) + np.bincount(np.frombuffer((FILL * 50).encode(), np.uint8), minlength=256)
     short, long = (np.median([-np.log10(s.ordinary(random_string(i, n), "base62", frequency)) for i in range(50)]) for n in (8, 16))
