@@ -1,8 +1,8 @@
 """Chat formatting by quotation linking, in DataFrame operations only.
 
 Lines of a message have a quote level, the number of marks before them. Runs of lines of one level are passages. Passages are
-normalised and hashed; a quoted passage belongs to the earliest message of its conversation whose own words hold it. What a
-message quotes at the lowest level it replies to. Replies give threads, and messages are returned without what they quote.
+normalised and hashed; a quoted passage belongs to the earliest message of its conversation whose own words hold it. A passage
+that is cut or broken up belongs to the message that holds most of it. What a message quotes at the lowest level it replies to. Replies give threads, and messages are returned without what they quote.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dossierlake.llm.common import SPACE, SPACE_RUN, ascii_lower, stored, table
 
 #: Marks of quoted lines, with blanks before or between them.
 MARKS = r"^(?:[ \t]*>)+"
+PARAGRAPH_END = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
 MOST_ROUNDS = 64
 
 
@@ -50,22 +51,61 @@ def _passages() -> Column:
     return starts, with_ends
 
 
+def _paragraphs(lines: Column) -> Column:
+    """Lines between blank ones, as one text each."""
+    return F.split(F.array_join(lines, "\n"), PARAGRAPH_END)
+
+
 def _hashed(keys: DataFrame) -> DataFrame:
-    """Two hashes of ``passage`` in its place; passages without words are left out."""
-    return keys.withColumn("passage", normalised(F.col("passage"))).filter("passage <> ''").withColumn("h1", F.xxhash64("passage")).withColumn("h2", F.xxhash64(F.lit(1), "passage")).drop("passage")
+    """Two hashes of ``passage`` and its length in its place; passages without words are left out."""
+    worded = keys.withColumn("passage", normalised(F.col("passage"))).filter("passage <> ''")
+    return worded.withColumn("h1", F.xxhash64("passage")).withColumn("h2", F.xxhash64(F.lit(1), "passage")).withColumn("chars", F.length("passage").cast("long")).drop("passage")
 
 
 def replies(parsed: DataFrame) -> DataFrame:
     """``scope``, ``turn`` and ``reply_to`` of the messages that quote an earlier one."""
     whole = lambda lines: F.array_join(lines, "\n")
-    own = parsed.filter("turn is not null").select("scope", "turn", F.explode(F.array_distinct(F.concat("own", F.array(whole("own"))))).alias("passage"))
-    first = stored(_hashed(own).groupBy("scope", "h1", "h2").agg(F.min("turn").alias("original")), "originals")
+    # Whole runs are looked for among whole texts and lines; only parts of runs also among paragraphs.
+    kinds = lambda full, passages: F.transform(passages, lambda p: F.struct(F.lit(full).alias("full"), p.alias("passage")))
+    forms = F.concat(kinds(True, F.array_distinct(F.concat("own", F.array(whole("own"))))), kinds(False, F.array_distinct(_paragraphs("own"))))
+    own = _hashed(parsed.filter("turn is not null").select("scope", "turn", F.explode(forms).alias("f")).select("scope", "turn", "f.full", "f.passage"))
+    own = stored(own.groupBy("scope", "h1", "h2", "turn").agg(F.max("full").alias("full")), "own-passages")
+    first = stored(own.groupBy("scope", "h1", "h2").agg(F.min(F.when(F.col("full"), F.col("turn"))).alias("original"), F.min("turn").alias("earliest"), F.count("*").alias("holders")), "originals")
     starts, passages = _passages()
-    cut = parsed.filter("turn is not null and exists(levels, x -> x > 0)").withColumn("starts", starts).select("scope", "turn", F.explode(F.filter(passages, lambda p: p["level"] > 0)).alias("p"))
-    forms = F.concat(F.array(F.struct(F.lit(0).alias("part"), whole("p.lines").alias("passage"))), F.transform("p.lines", lambda line: F.struct(F.lit(1).alias("part"), line.alias("passage"))))
-    quoted = _hashed(cut.select("scope", "turn", "p.level", "p.start", F.explode(forms).alias("f")).select("scope", "turn", "level", "start", "f.part", "f.passage"))
-    linked = quoted.join(first, ["scope", "h1", "h2"]).filter("original < turn")
-    return linked.groupBy("scope", "turn").agg(F.min(F.struct("level", "part", "start", "original")).alias("best")).select("scope", "turn", F.col("best.original").alias("reply_to"))
+    cut = parsed.filter("turn is not null and exists(levels, x -> x > 0)").withColumn("starts", starts).select("scope", "turn", passages.alias("runs"))
+    alone = lambda p: F.size(F.filter("runs", lambda o: o["level"] == p["level"])) == 1
+    runs = cut.select("scope", "turn", F.explode(F.transform(F.filter("runs", lambda p: p["level"] > 0), lambda p: F.struct(p.alias("p"), alone(p).alias("alone")))).alias("r"))
+    runs = runs.select("scope", "turn", "r.p.level", "r.alone", "r.p.lines")
+    parts = F.array_distinct(F.concat(F.array(whole("lines")), _paragraphs("lines"), "lines"))
+    forms = F.concat(F.transform(F.filter(F.array(whole("lines")), lambda _: F.col("alone")), lambda p: F.struct(F.lit(0).alias("part"), p.alias("passage"))), F.transform(parts, lambda p: F.struct(F.lit(1).alias("part"), p.alias("passage"))))
+    quoted = _hashed(runs.select("scope", "turn", "level", F.explode(forms).alias("f")).select("scope", "turn", "level", "f.part", "f.passage"))
+    linked = quoted.join(first, ["scope", "h1", "h2"]).withColumn("original", F.when(F.col("part") == 0, F.col("original")).otherwise(F.col("earliest"))).filter("original < turn")
+    linked = stored(linked.select("scope", "turn", "level", "part", "h1", "h2", "chars", "original", "holders").distinct(), "linked")
+    best = stored(linked.groupBy("scope", "turn").agg(F.min(F.struct("level", "part", "original")).alias("best")).select("scope", "turn", "best.*"), "best")
+    entire = best.filter("part = 0").select("scope", "turn", F.col("original").alias("reply_to"))
+    partial = linked.filter("part = 1").join(best.filter("part = 1").select("scope", "turn", "level"), ["scope", "turn", "level"], "left_semi")
+    return entire.unionByName(_by_parts(stored(partial.select("scope", "turn", "h1", "h2", "chars", "original", "holders"), "parts"), own))
+
+
+def _by_parts(parts: DataFrame, own: DataFrame) -> DataFrame:
+    """``reply_to`` of messages whose quotes are known only in ``parts``: what holds their rarest part, and most characters of all.
+
+    A message that is quoted holds every part of the quote, so it is among the holders of the rarest. They are compared once
+    for each different set of parts, however many messages quote it; the earliest of equals is chosen.
+    """
+    part = F.struct("holders", (-F.col("chars")).alias("less"), "h1", "h2", "original")
+    sets = stored(parts.groupBy("scope", "turn").agg(F.bit_xor("h1").alias("s1"), F.bit_xor("h2").alias("s2"), F.count("*").alias("n"), F.min(part).alias("rarest")), "part-sets")
+    plain = (F.col("n") == 1) | (F.col("rarest.holders") == 1)
+    clear = sets.filter(plain).select("scope", "turn", F.col("rarest.original").alias("reply_to"))
+    open_ = sets.filter(~plain)
+    asked = stored(open_.groupBy("scope", "s1", "s2").agg(F.min(F.struct("turn", "rarest.h1", "rarest.h2")).alias("one")).select("scope", "s1", "s2", "one.*"), "asked-sets")
+    holders = asked.join(own.withColumnRenamed("turn", "holder"), ["scope", "h1", "h2"]).select("scope", "s1", "s2", "turn", "holder")
+    pairs = holders.join(parts.select("scope", "turn", "h1", "h2", "chars"), ["scope", "turn"])
+    held = pairs.join(own.select("scope", "h1", "h2", F.col("turn").alias("holder")), ["scope", "h1", "h2", "holder"])
+    score = held.groupBy("scope", "s1", "s2", "holder").agg(F.sum("chars").alias("score"))
+    steps = score.groupBy("scope", "s1", "s2", "score").agg(F.min("holder").alias("holder"))  # as many as there are different scores
+    chosen = open_.select("scope", "s1", "s2", "turn").join(steps, ["scope", "s1", "s2"]).filter("holder < turn")
+    return clear.unionByName(chosen.groupBy("scope", "turn").agg(F.min(F.struct((-F.col("score")).alias("less"), "holder")).alias("best")).select("scope", "turn", F.col("best.holder").alias("reply_to")))
 
 
 def threads(answers: DataFrame) -> DataFrame:
@@ -98,7 +138,8 @@ def conversations(messages: DataFrame, scope: list[str], turn_col: str = "turn",
     each message follows what it replies to. A message that quotes nothing known has no ``reply_to``, is its own thread and
     has depth 0. Null and empty texts have empty content. Rows that share conversation and turn share what they reply to. A null
     turn is neither quoted nor a reply; a null conversation is one of its own. Passages are told apart by 128 bits of hash.
-    A passage is found as a whole own text or one line of it; a quoted run that is neither is looked for line by line.
+    A passage is found as a whole own text or one line of it. A quoted run that is neither, and several runs of one level, are
+    looked for by runs, paragraphs (also wrapped anew) and lines; a part of a paragraph is not found once it is wrapped anew.
     """
     parsed = _parsed(messages, scope, turn_col, text_col)
     found = threads(replies(parsed.select("scope", "turn", "bodies", "levels", "own")))

@@ -38,6 +38,29 @@ def test_threads(spark):
     assert got[2, 1][2:] == (None, 1, 0) and got[3, 5][2:] == (None, 5, 0)
 
 
+def test_partial_quotes(spark):
+    """Lines that many messages hold do not decide, and paragraphs may be wrapped anew."""
+    rows = [
+        (1, 0, "a", "Hi all\nfirst matter\nThanks"), (1, 1, "b", "Hi all\nsecond matter\nmore on the second\nThanks"),
+        (1, 2, "c", "> Hi all\n> second matter\n> [...]\n> Thanks\nagreed"),  # cut
+        (1, 3, "d", "> Hi all\nhello\n> more on the second\nyes\n> Thanks\nwelcome"),  # answered line by line
+        (2, 0, "a", "Short."), (2, 1, "b", "Dear all,\n\none two three four\nfive six seven\n\nYours"), (2, 2, "c", "> one two\n> three four five\n> six seven\nfine"),
+        (3, 0, "a", "alpha\none"), (3, 1, "b", "beta\ntwo"), (3, 2, "c", "alpha\nbeta\nthree"), (3, 3, "d", "> alpha\n> beta\nboth"), (3, 4, "e", "> alpha\n> beta\nboth too"),
+        (3, 5, "f", "alpha\nbeta\ngamma"), (3, 6, "g", "> alpha\n> beta\nonce more"), (3, 7, "h", "> alpha\n> beta\n> gamma\n> lost\nlast"),
+        (4, 0, "a", "\n".join(["a footer that is long and stands in every message"] * 2)), (4, 1, "b", "yes\na footer that is long and stands in every message"),
+        (4, 2, "c", "> yes\n> a footer that is long and stands in every message\n> cut\nok"),
+    ]
+    got = linked(spark, rows)
+    want = {(1, 2): 1, (1, 3): 1, (2, 2): 1, (3, 3): 2, (3, 4): 2, (3, 6): 2, (3, 7): 5, (4, 2): 1}
+    assert {k: v[2] for k, v in got.items()} == {(r[0], r[1]): want.get((r[0], r[1])) for r in rows}
+
+
+def test_many_partial_quotes_of_what_many_hold(spark):
+    rows = [(1, i, "a", ("> Hi\n> cut\n> Thanks\n" if i > 1 else "") + "Hi\nThanks" + ("" if i else " not yet")) for i in range(300)]
+    got = linked(spark, rows)
+    assert all(got[1, i][2] == (1 if i > 1 else None) for i in range(300))
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "a", None), (1, 1, "a", ""), (None, 0, "a", "hi"), (None, 1, "b", "> hi\nyes"), (1, None, "a", "> hi"), (1, 2, "a", ">" * 50), (1, 3, "a", ">\n> \n"), (4, 0, "a", "long " * 20000), (4, 1, "b", "> " + "long " * 20000 + "\nok")]
     got = linked(spark, rows)
