@@ -83,10 +83,10 @@ def _lines(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """``id``, ``h1``, ``h2``: two hashes of each distinct long line of each row."""
+    """``id``, ``text_hash``, ``h1``, ``h2``: two hashes of each distinct long line of each row."""
     keys = F.array_distinct(F.filter(F.transform(_lines(docs[f"`{text_col}`"]), line_key), lambda k: F.length(k) >= min_chars))
-    long_lines = docs.select(docs[f"`{id_col}`"].alias("id"), F.explode(keys).alias("key"))
-    return long_lines.select("id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    long_lines = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text_col}`"]).alias("text_hash"), F.explode(keys).alias("key"))
+    return long_lines.select("id", "text_hash", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def build_index(frequent: DataFrame, shards: int) -> DataFrame:
@@ -117,20 +117,20 @@ def _shard(shards: int) -> Column:
 
 
 def probe(lines: DataFrame, index: DataFrame, heavy: DataFrame, shards: int) -> DataFrame:
-    """``lines`` (``id``, ``h1``, ``h2``) that the index holds, with ``n`` and ``keep``.
+    """``lines`` (``id``, ``text_hash``, ``h1``, ``h2``) that the index holds, with ``n`` and ``keep``.
 
     ``heavy`` has a number of copies for the shards whose lines are very frequent; such a shard is read by as many tasks.
     """
     keep = index.schema["keepers"].dataType.elementType
     salted = lines.withColumn("shard", _shard(shards)).join(F.broadcast(heavy), "shard", "left")
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("id", "h1"), F.coalesce("copies", F.lit(1))).cast("int"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("id", "text_hash", "h1"), F.coalesce("copies", F.lit(1))).cast("int"))
     arrays = index.join(F.broadcast(heavy), "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int") - 1)))
     parts = ["sizes", "bits", "fingerprints", "counts", "keepers"]
     absent = {name: F.lit(None).cast(index.schema[name].dataType) for name in parts}
-    asked = salted.select("shard", "salt", F.lit(1).alias("kind"), "id", "h1", "h2", *[c.alias(n) for n, c in absent.items()])
-    given = arrays.select("shard", "salt", F.lit(0).alias("kind"), F.lit(None).cast(lines.schema["id"].dataType).alias("id"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), *parts)
+    asked = salted.select("shard", "salt", F.lit(1).alias("kind"), "id", "text_hash", "h1", "h2", *[c.alias(n) for n, c in absent.items()])
+    given = arrays.select("shard", "salt", F.lit(0).alias("kind"), F.lit(None).cast(lines.schema["id"].dataType).alias("id"), F.lit(0).cast("long").alias("text_hash"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), *parts)
     dealt = given.unionByName(asked).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    schema = T.StructType([lines.schema["id"], T.StructField("h1", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keep", keep)])
+    schema = T.StructType([lines.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keep", keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perfect = fingerprints = counts = keepers = None
@@ -155,7 +155,7 @@ def probe(lines: DataFrame, index: DataFrame, heavy: DataFrame, shards: int) ->
                 if len(hit):
                     chosen, number = pa.array(hit + begin), number[hit]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(chosen), batch.column("h1").take(chosen), pa.array(counts[number]), keepers.take(pa.array(number))], ["id", "h1", "n", "keep"]
+                        [*(batch.column(c).take(chosen) for c in ("id", "text_hash", "h1")), pa.array(counts[number]), keepers.take(pa.array(number))], ["id", "text_hash", "h1", "n", "keep"]
                     )
 
     return dealt.mapInArrow(run, schema)
@@ -164,7 +164,7 @@ def probe(lines: DataFrame, index: DataFrame, heavy: DataFrame, shards: int) ->
 def repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS
 ) -> DataFrame:
-    """``id``, ``h1``: the lines, by hash, that each document loses."""
+    """``id``, ``text_hash``, ``h1``: the lines, by hash, that each document loses."""
     spark = docs.sparkSession
     lines = occurrences(docs, id_col, text_col, min_chars)
     frequent = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= min_docs), "frequent-lines")
@@ -176,7 +176,13 @@ def repeated_lines(
     share = max(1, math.ceil(size["hits"] / (SHARDS_EACH * partitions)))
     copies = F.ceil(F.sum("n") / F.lit(share)).cast("int")
     heavy = stored(frequent.groupBy(_shard(shards).alias("shard")).agg(copies.alias("copies")).filter("copies > 1"), "heavy-shards")
-    return probe(lines, index, heavy, shards).filter(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "h1")
+    return probe(lines, index, heavy, shards).filter(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "text_hash", "h1")
+
+
+def lost_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``lost_id``, ``lost_hash``, ``lost``: the lines that a document loses, no more than it has, also where many have no id."""
+    lost = repeated_lines(docs, id_col, text_col, **options).groupBy("id", "text_hash").agg(F.collect_set("h1").alias("lost"))
+    return lost.withColumnRenamed("id", "lost_id").withColumnRenamed("text_hash", "lost_hash")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -188,9 +194,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other id has it. Null and empty texts are one empty line. A document that loses all its lines keeps an empty text.
     Keys are told apart by 128 bits of hash.
     """
-    lost = repeated_lines(docs, id_col, text_col, **options).groupBy("id").agg(F.collect_set("h1").alias("lost")).withColumnRenamed("id", "lost_id")
-    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"))
-    joined = row.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left")
+    lost = lost_lines(docs, id_col, text_col, **options)
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text_col}`"]).alias("text_hash"))
+    joined = row.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left")
     min_chars = options.get("min_chars", MIN_CHARS)
     lines = _lines(F.col(f"row.`{text_col}`"))
     stays = lambda line: (F.length(line_key(line)) < min_chars) | ~F.array_contains("lost", F.xxhash64(line_key(line)))

@@ -55,6 +55,15 @@ def test_brute_force(documents, shard_keys):
     assert got(d.drop_repeated_lines(docs, shard_keys=shard_keys)) == expected(rows)
 
 
+def test_lost_lines_are_those_of_one_document(documents):
+    """Rows without an id do not gather each other's lines."""
+    line = lambda k: f"line {k} is long enough to count and many rows hold it"
+    rows = [(None, f"{line(i % 50)}\n{line((i + 1) % 50)}\nrow {i}") for i in range(400)] + [(1000, "\n".join(map(line, range(50))))]
+    lost = d.lost_lines(documents(rows)).collect()
+    assert len(lost) == 400 and all(r["lost_id"] is None and len(r["lost"]) == 2 for r in lost)
+    assert got(d.drop_repeated_lines(documents(rows, text_hash=F.lit("clash"), lost_hash=F.lit(1)))) == expected(rows)
+
+
 def test_nothing_frequent_and_empty(documents):
     rows = [(i, f"a line of its own that is long enough to be counted {i}") for i in range(9)]
     assert got(d.drop_repeated_lines(documents(rows))) == expected(rows)
