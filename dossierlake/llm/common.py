@@ -55,19 +55,33 @@ def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(outer).field(inner) if inner else batch.column(outer)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of the batches of about TEXT_BYTES of text, a row at least, with their texts; null texts are empty.
-
-    Bounds a worker's memory by the longest text rather than by the number of rows in a batch.
-    """
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about ``most`` bytes of text, a row at least."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(text_of(batch, column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size, dtype=np.int64) // TEXT_BYTES
+        part = np.cumsum(size, dtype=np.int64) // most
         cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
         for begin, end in zip(cuts, cuts[1:], strict=False):
             if begin < end:
-                piece = batch.slice(begin, end - begin)
-                yield piece, [text or "" for text in text_of(piece, column).to_pylist()]
+                yield batch.slice(begin, end - begin)
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    """The texts of a column; null is empty, and bytes that are not UTF-8 become U+FFFD, as they do in Spark's own functions."""
+    try:
+        return [text or "" for text in column.to_pylist()]
+    except UnicodeDecodeError:
+        wide = pa.types.is_large_string(column.type)
+        return [(raw or b"").decode("utf-8", "replace") for raw in column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the batches of about TEXT_BYTES of text, a row at least, with their texts.
+
+    Bounds a worker's memory by the longest text rather than by the number of rows in a batch.
+    """
+    for piece in slices(batches, column, TEXT_BYTES):
+        yield piece, texts_of(text_of(piece, column))
 
 
 def with_text(docs: DataFrame, text_col: str, keep: list[str] | None) -> tuple[DataFrame, str]:
