@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, periodic_runs, quality, quotes, secret_scan, simhash, toxicity
+from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, packing, periodic_runs, quality, quotes, secret_scan, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_codec": bpe.query,
@@ -16,6 +16,7 @@ LLM_QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op11_best_fit_packing": packing.query,
     "op13_periodic_runs": periodic_runs.query,
     "pipeline": corpus_pipeline.run,
 }
