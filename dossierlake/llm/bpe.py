@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -25,15 +26,18 @@ from tokenizers import Tokenizer, normalizers
 
 from dossierlake.llm.common import pieces, table, with_text
 
-#: Words and pairs a task remembers; beyond them it starts afresh, which costs time and changes no result.
+#: Words and pairs a task remembers; beyond them it forgets most, which costs time and changes no result.
 CACHED_WORDS, CACHED_PAIRS = 250_000, 300_000
 #: Words longer than this (they are nearly always unique) are encoded but not remembered.
 CACHED_LENGTH = 64
 #: Characters of text whose new words are learned together.
 GROUP = 500_000
-#: Words up to this many bytes are merged by searching the lowest rank in a list.
+#: Words up to this many bytes are merged by searching the lowest rank in a list, all words of a call at once.
 SHORT = 48
 MOST = 1 << 40
+#: Fixed value: the words of the usual vocabulary file, and the same for lower-case ASCII, where the faster module will do.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 _NEVER = np.int64(MOST)
 
 
@@ -56,7 +60,9 @@ class Codec:
         steps = [(n["type"], n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.plain = steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)]
         # White space means the Unicode property to the library; \\s of this module means a little more.
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self.ascii_words = re.compile(ASCII_WORDS) if pattern == WORDS and self.plain else None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = dict(enumerate(_byte_letters()))
@@ -88,6 +94,11 @@ class Codec:
             if ended and len(body) == 1:
                 self.ends[body] = i
         self.automaton.make_automaton()
+        self.wholes = np.array(self.whole_by_rank, np.int64)
+        # Ids of the byte letters by code point, inside a word and at its end.
+        self.inner_letters, self.last_letters = np.zeros(0x200, np.int64), np.zeros(0x200, np.int64)
+        for letter in self.letters.values():
+            self.inner_letters[ord(letter)], self.last_letters[ord(letter)] = self.vocab[letter], self.ends[letter]
         self.cache: dict[str | int, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -135,6 +146,59 @@ class Codec:
             a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
         return good
 
+    def merged_all(self, spelled: list[str]) -> list[bytes]:
+        """Exact merging of many words in byte letters; packed ids of each.
+
+        In each round every word that is not finished merges its pair of lowest rank, of equal ranks the leftmost.
+        """
+        out = [b""] * len(spelled)
+        left = []
+        for i, letters in enumerate(spelled):
+            if len(letters) > SHORT:
+                out[i] = np.array(self.merged(letters), "<u4").tobytes()
+            else:
+                left.append(i)
+        if not left:
+            return out
+        size = np.fromiter((len(spelled[i]) for i in left), np.int64, len(left))
+        starts = np.cumsum(size) - size
+        letter = np.frombuffer("".join([spelled[i] for i in left]).encode("utf-16-le"), "<u2")
+        ids = self.inner_letters[letter]
+        last = starts + size - 1
+        ids[last] = self.last_letters[letter[last]]
+        word, who = np.repeat(np.arange(len(left)), size), np.array(left)
+        rank = np.full(len(ids), _NEVER)
+        rank[:-1] = self._rank(ids[:-1], ids[1:])
+        rank[last] = _NEVER
+        while len(who):
+            lowest = np.minimum.reduceat(rank, starts)
+            going = lowest < _NEVER
+            if not going.all():
+                ends = np.append(starts[1:], len(ids))
+                packed = ids.astype("<u4").tobytes()
+                for at in np.flatnonzero(~going).tolist():
+                    out[who[at]] = packed[4 * starts[at] : 4 * ends[at]]
+                stay = going[word]
+                ids, rank = ids[stay], rank[stay]
+                who, lowest, size = who[going], lowest[going], (ends - starts)[going]
+                if not len(who):
+                    break
+                word, starts = np.repeat(np.arange(len(who)), size), np.cumsum(size) - size
+            hit = np.flatnonzero(rank == lowest[word])
+            hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])]  # the leftmost of each word
+            ids[hit] = self.wholes[lowest]
+            stay = np.ones(len(ids), bool)
+            stay[hit + 1] = False
+            ids, rank, word = ids[stay], rank[stay], word[stay]
+            at = hit - np.arange(len(hit))
+            starts = starts - np.arange(len(starts))
+            closing = np.append(word[1:] != word[:-1], True)
+            following = np.minimum(at + 1, len(ids) - 1)
+            rank[at] = np.where(closing[at], _NEVER, self._rank(ids[at], ids[following]))
+            before = at[at > starts]
+            rank[before - 1] = self._rank(ids[before - 1], ids[before])
+        return out
+
     def merged(self, letters: str) -> list[int]:
         """Exact merging of one word in byte letters: the lowest rank first, of equal ranks the leftmost."""
         ids = [self.vocab[c] for c in letters[:-1]]
@@ -204,9 +268,9 @@ class Codec:
         refuted = seams[known[where] == 0]
         good[np.searchsorted(starts, refuted, side="right")] = False
         flat = ids.astype("<u4").tobytes()
-        out = {}
-        for i, word in enumerate(words):
-            out[word] = flat[4 * begins[i] : 4 * starts[i]] if good[i] else np.array(self.merged(spelled[i]), "<u4").tobytes()
+        out = {word: flat[4 * a : 4 * b] for word, a, b in zip(words, begins.tolist(), starts.tolist(), strict=True)}
+        refuted_words = np.flatnonzero(~good).tolist()
+        out.update(zip([words[i] for i in refuted_words], self.merged_all([spelled[i] for i in refuted_words]), strict=True))
         return out
 
     def normal(self, text: str) -> str:
@@ -216,17 +280,23 @@ class Codec:
         # Letters are lowered one by one, so a capital sigma does not depend on its place.
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
+    def cut(self, text: str) -> list[str]:
+        """Words of a text without special tokens."""
+        normal = self.normal(text)
+        words = self.ascii_words if self.ascii_words and normal.isascii() else self.words
+        return words.findall(normal)
+
     def split(self, text: str) -> list[str | int]:
         """Words of a text; special tokens as their ids."""
         if self.specials is None or not self.specials.search(text):
-            return self.words.findall(self.normal(text))
+            return self.cut(text)
         out: list[str | int] = []
         at = 0
         for m in self.specials.finditer(text):
-            out += self.words.findall(self.normal(text[at : m.start()]))
+            out += self.cut(text[at : m.start()])
             out.append(self.special[m[0]])
             at = m.end()
-        return out + self.words.findall(self.normal(text[at:]))
+        return out + self.cut(text[at:])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Token ids of each text, as little-endian 32-bit numbers. New words are learned for GROUP characters at a time."""
@@ -239,7 +309,8 @@ class Codec:
             split = [self.split(text) for text in texts[at:stop]]
             at = stop
             if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
+                # The words in hand are mostly the frequent ones; the others are learned again when they come back.
+                self.cache = {word: self.cache[word] for words in split for word in words if word in self.cache}
             cache = self.cache
             new = {word for words in split for word in words if word not in cache}
             for i in [x for x in new if isinstance(x, int)]:
