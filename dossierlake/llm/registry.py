@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from dossierlake.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, packing, periodic_runs, quality, quotes, secret_scan, simhash, toxicity
+from dossierlake.llm import bpe, collocations, embedding_dedup, exact_dedup, line_dedup, mixing, packing, periodic_runs, quality, quotes, secret_scan, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_codec": bpe.query,
@@ -17,6 +17,7 @@ LLM_QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_embedding_dedup": embedding_dedup.query,
     "op11_best_fit_packing": packing.query,
+    "op12_phrase_collocations": collocations.query,
     "op13_periodic_runs": periodic_runs.query,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,4 +27,5 @@ LLM_ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op6_source_mix": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_phrase_collocations": collocations.ORACLE_SQL,
 }
