@@ -3,11 +3,12 @@
 Counts of all orders stand in one table, which is read as two streams: by what phrases begin with and by what they end with.
 Merge joins walk each stream in lockstep with the parts of the longer phrases, sorted the same way: the stream of beginnings
 gives left counts and extensions to the right, the stream of endings right counts and extensions to the left. Nothing is
-looked up in a hash table. Counts of three words are the sums of their records of four (or of three, where a piece ends).
+looked up in a hash table.
 
 Counting takes three passes over the texts. A phrase is as frequent as its parts at most, so the second pass counts only pairs
-of frequent words and the third only phrases made of frequent pairs. What is frequent is told to the tasks by a bit filter of
-bounded size; its false positives are counted like the others and drop out, so counts are exact however full it gets.
+of frequent words, by a number of 48 bits, and the third only phrases made of frequent pairs, as they are. What is frequent is
+told to the tasks by a bit filter of bounded size. Its false positives, and pairs that share a number, are counted in the
+third pass like the others and drop out, so counts are exact however full the filter gets.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossierlake.llm.common import slices, stored, table, text_of
-from dossierlake.llm.wordstream import Stream, classes, named
+from dossierlake.llm.wordstream import Stream, classes
 
 #: What separates words and pieces, the longest phrase, the least count of a candidate.
 GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -30,11 +32,15 @@ LONGEST, LEAST = 4, 30
 SHARE, TOP = 80, 2000
 NO_LANGUAGE = "und"
 #: Bytes of text whose phrases are counted together before they leave a task.
-COUNTED_BYTES = 8 << 20
+COUNTED_BYTES = 2 << 20
 #: Bits of a filter per entry, and at least and at most in all (16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 
 
+#: Numbers of words and pairs have this many bits.
+NUMBER = np.uint64((1 << 48) - 1)
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
     x ^= x >> np.uint64(31)
@@ -47,48 +53,56 @@ def _hashes(values: pa.Array) -> np.ndarray:
 
 
 class Filter:
-    """Bits that tell which hashes are perhaps present; shared with the tasks as bytes."""
+    """Bits that tell which numbers are perhaps present; shared with the tasks as bytes."""
 
     def __init__(self, bits: np.ndarray) -> None:
         self.bits = bits
         self.mask = np.uint64(64 * len(bits) - 1)
 
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return hashes & self.mask, (hashes >> np.uint64(32)) & self.mask
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return numbers & self.mask, (numbers >> np.uint64(21)) & self.mask
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for place in self.places(hashes):
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        found = np.ones(len(numbers), bool)
+        for place in self.places(numbers):
             found &= (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
         return found
 
 
-def share_filter(frequent: DataFrame, words: list[str]):
-    """A broadcast filter of the rows' hashes. Tasks set the bits; the driver gets words of 64 bits, MOST_BITS in all at most."""
-    spark = frequent.sparkSession
+def share_filter(numbers: DataFrame):
+    """A broadcast filter of the column ``number``. Tasks set the bits; the driver gets words of 64 bits, MOST_BITS in all at most."""
+    spark = numbers.sparkSession
     size = LEAST_BITS
-    entries = frequent.count()
+    entries = numbers.count()
     while size < min(MOST_BITS, BITS_EACH * entries):
         size *= 2
     empty = Filter(np.zeros(size // 64, np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = _hashes(batch.column("lang"))
-            for word in words:
-                hashes = _mixed(hashes, _hashes(batch.column(word)))
-            place = np.concatenate(empty.places(hashes))
+            place = np.concatenate(empty.places(batch.column("number").to_numpy().view(np.uint64)))
             slot, names = np.unique(place >> np.uint64(6), return_inverse=True)
             bits = np.zeros(len(slot), np.uint64)
             np.bitwise_or.at(bits, names, np.uint64(1) << (place & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(bits.view(np.int64))], ["slot", "bits"])
 
-    found = frequent.select("lang", *words).mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = numbers.select("number").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.uint64)
     bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(bits.tobytes())
 
 
+def word_numbers(words: DataFrame) -> DataFrame:
+    """``number`` of each row's lang and phrase, a single word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = _mixed(_hashes(batch.column("lang")), _hashes(batch.column("phrase")))
+            yield pa.RecordBatch.from_arrays([pa.array((hashes & NUMBER).view(np.int64))], ["number"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "number long")
+
+
 class Slice:
     """Words of some texts: per word its language and word as one number, with the hash of each number's pair."""
 
@@ -103,97 +117,88 @@ class Slice:
         self.lang, self.word = np.divmod(code, max(1, len(self.words)))
         self.segment = stream.segment
 
-    def hashes(self) -> np.ndarray:
-        return _mixed(_hashes(self.langs)[self.lang], _hashes(self.words)[self.word])
 
-    def pairs(self, frequent: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of pairs of frequent words inside a piece, with the number of each word."""
-        known = frequent.has(self.hashes())[self.at]
-        at = np.flatnonzero(known[:-1] & known[1:] & (self.segment[:-1] == self.segment[1:])) if len(known) else np.zeros(0, np.int64)
-        return at, self.at[at], self.at[at + 1]
+    def pairs(self, frequent: Filter) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs of frequent words inside a piece, and the number (in this slice) of each one's pair.
 
-    def text(self, numbers: np.ndarray) -> pa.Array:
-        """The words with these numbers; null for -1."""
-        place = pa.array(np.append(self.word, 0)[numbers], mask=numbers < 0)
-        return self.words.take(place).cast(pa.binary()).view(pa.string())
+        Pair i is made of ``left[i]`` and ``right[i]``; ``numbers`` are what other tasks call them too.
+        """
+        size = max(1, len(self.word))
+        spelled = _hashes(self.words)[self.word]
+        hashes = _mixed(_hashes(self.langs)[self.lang], spelled)
+        known = frequent.has(hashes & NUMBER)[self.at]
+        places = np.flatnonzero(known[:-1] & known[1:] & (self.segment[:-1] == self.segment[1:])) if len(known) else np.zeros(0, np.int64)
+        code, pair, self.pair_counts = np.unique(self.at[places] * size + self.at[places + 1], return_inverse=True, return_counts=True)
+        self.left, self.right = np.divmod(code, size)
+        self.numbers = _mixed(hashes[self.left], spelled[self.right]) & NUMBER
+        return places, pair
 
-    def language(self, numbers: np.ndarray) -> pa.Array:
-        return self.langs.take(pa.array(self.lang[numbers])).cast(pa.string())
+    def phrases(self, parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        """Counted phrases, from an array of word numbers for each of their words."""
+        spelled = self.words.cast(pa.binary())
+        words = [spelled.take(pa.array(self.word[part])) for part in parts]
+        phrase = pc.binary_join_element_wise(*words, b" ") if len(words) > 1 else words[0]
+        lang = self.langs.take(pa.array(self.lang[parts[0]])).cast(pa.string())
+        size = pa.array(np.full(len(counts), len(parts), np.int32))
+        return pa.RecordBatch.from_arrays([lang, phrase.view(pa.string()), size, pa.array(counts, pa.int64())], ["lang", "phrase", "words", "f"])
 
-    def batch(self, numbers: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-        """Counted phrases, one array of numbers for each of their words."""
-        columns = [self.language(numbers[0]), *[self.text(n) for n in numbers], pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", *[f"w{i + 1}" for i in range(len(numbers))], "f"])
 
+def _counted(docs: DataFrame, count: Callable[[Slice], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``f`` summed over what the slices of all tasks count, by the other columns."""
 
-def _counted(docs: DataFrame, count: Callable[[Slice], pa.RecordBatch], words: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text", COUNTED_BYTES):
-            yield count(Slice(text_of(piece, "text"), piece.column("lang")))
+            yield from count(Slice(text_of(piece, "text"), piece.column("lang")))
 
-    columns = ["lang", *words]
-    found = docs.mapInArrow(run, ", ".join(f"{c} string" for c in columns) + ", f long")
-    return found.groupBy(*columns).agg(F.sum("f").alias("f"))
+    found = docs.mapInArrow(run, schema)
+    return found.groupBy(*[c for c in found.columns if c != "f"]).agg(F.sum("f").alias("f"))
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to LONGEST words that occur ``least`` times or more, and the number of words of each language.
 
-    The first has lang, phrase (words joined by a space), parts (the words) and f, the second lang and n. Phrases are counted
+    The first has lang, phrase (words joined by a space), words (how many) and f, the second lang and n. Phrases are counted
     inside pieces, overlaps included. Null texts have no words; a null language is NO_LANGUAGE. Bytes that are not UTF-8
     are word bytes like any others. Rows may repeat.
     """
-    spark = docs.sparkSession
     read = docs.select(docs[f"`{text_col}`"].alias("text"), F.coalesce(docs[f"`{lang_col}`"], F.lit(NO_LANGUAGE)).alias("lang"))
-    enough = F.col("f") >= least
-
-    def singles(slice_: Slice) -> pa.RecordBatch:
-        return slice_.batch([np.arange(len(slice_.counts))], slice_.counts)
-
-    every = stored(_counted(read, singles, ["w1"]), "word-counts")
-    ones = every.filter(enough)
-    frequent_words = share_filter(ones, ["w1"])
+    enough, schema = F.col("f") >= least, "lang string, phrase string, words int, f long"
 
     def filter_of(shared) -> Filter:
         return Filter(np.frombuffer(shared.value, np.uint64))
 
-    def doubles(slice_: Slice) -> pa.RecordBatch:
-        _, left, right = slice_.pairs(filter_of(frequent_words))
-        code, counts = np.unique(left * len(slice_.counts) + right, return_counts=True)
-        return slice_.batch(list(np.divmod(code, max(1, len(slice_.counts)))), counts)
-
-    twos = stored(_counted(read, doubles, ["w1", "w2"]).filter(enough), "pair-counts")
-    frequent_pairs = share_filter(twos, ["w1", "w2"])
-
-    def longer(slice_: Slice) -> pa.RecordBatch:
-        """Records of four words that frequent pairs make, of three where no fourth goes on."""
-        at, left, right = slice_.pairs(filter_of(frequent_words))
-        code, pair = np.unique(left * len(slice_.counts) + right, return_inverse=True)
-        lefts, rights = np.divmod(code, max(1, len(slice_.counts)))
-        spelled = _hashes(slice_.words)[slice_.word]
-        known = filter_of(frequent_pairs).has(_mixed(slice_.hashes()[lefts], spelled[rights]))[pair]
-        # pair_at[i]: the frequent pair that starts at word i.
-        pair_at = np.full(len(slice_.at) + 2, -1, np.int64)
-        pair_at[at[known]] = pair[known]
-        three = np.flatnonzero((pair_at[:-1] >= 0) & (pair_at[1:] >= 0))
-        size = len(code) + 1
-        name, _ = named(pair_at[three] * size + pair_at[three + 1]) if len(three) else (three, three)
-        code, first, counts = np.unique(name * size + pair_at[three + 2] + 1, return_index=True, return_counts=True)
-        start = three[first]
-        fourth = pair_at[start + 2]
-        numbers = [lefts[pair_at[start]], lefts[pair_at[start + 1]], rights[pair_at[start + 1]], np.where(fourth >= 0, np.append(rights, -1)[fourth], -1)]
-        return slice_.batch(numbers, counts)
+    def singles(slice_: Slice) -> Iterator[pa.RecordBatch]:
+        yield slice_.phrases([np.arange(len(slice_.counts))], slice_.counts)
 
-    records = stored(_counted(read, longer, ["w1", "w2", "w3", "w4"]), "record-counts")
-    threes = records.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f")).filter(enough)
-    fours = records.filter(F.col("w4").isNotNull()).filter(enough)
+    every = stored(_counted(read, singles, schema), "word-counts")
+    ones = every.filter(enough)
+    frequent_words = share_filter(word_numbers(ones))
+
+    def doubles(slice_: Slice) -> Iterator[pa.RecordBatch]:
+        slice_.pairs(filter_of(frequent_words))
+        yield pa.RecordBatch.from_arrays([pa.array(slice_.numbers.view(np.int64)), pa.array(slice_.pair_counts, pa.int64())], ["number", "f"])
 
-    def phrases(counts: DataFrame, words: int) -> DataFrame:
-        # Kept as an array too: patterns that split text would change bytes that are not UTF-8.
-        return counts.select("lang", F.concat_ws(" ", *[f"w{i + 1}" for i in range(words)]).alias("phrase"), F.array(*[f"w{i + 1}" for i in range(words)]).alias("parts"), "f")
+    frequent_pairs = share_filter(stored(_counted(read, doubles, "number long, f long").filter(enough).select("number"), "pair-numbers"))
+
+    def longer(slice_: Slice) -> Iterator[pa.RecordBatch]:
+        """Phrases whose pairs are all frequent, from two words on; each goes on from the one that is a word shorter."""
+        places, pair = slice_.pairs(filter_of(frequent_words))
+        known = filter_of(frequent_pairs).has(slice_.numbers)
+        yield slice_.phrases([slice_.left[known], slice_.right[known]], slice_.pair_counts[known])
+        # pair_at[i]: the frequent pair that starts at word i.
+        pair_at = np.full(len(slice_.at) + LONGEST, -1, np.int64)
+        pair_at[places[known[pair]]] = pair[known[pair]]
+        starts = np.flatnonzero(pair_at >= 0)
+        name = pair_at[starts]
+        for words in range(3, LONGEST + 1):
+            last = pair_at[starts + words - 2]
+            starts, name, last = starts[last >= 0], name[last >= 0], last[last >= 0]
+            _, first, name, counts = np.unique(name * max(1, len(slice_.left)) + last, return_index=True, return_inverse=True, return_counts=True)
+            at = starts[first]
+            yield slice_.phrases([*[slice_.left[pair_at[at + i]] for i in range(words - 1)], slice_.right[pair_at[at + words - 2]]], counts)
 
-    counts = phrases(ones, 1).unionByName(phrases(twos, 2)).unionByName(phrases(threes, 3)).unionByName(phrases(fours, 4))
-    return stored(counts, "phrase-counts"), every.groupBy("lang").agg(F.sum("f").alias("n"))
+    phrases = _counted(read, longer, schema).filter(enough)
+    return stored(ones.unionByName(phrases), "phrase-counts"), every.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -202,10 +207,9 @@ def scored(counts: DataFrame) -> DataFrame:
     The cut with the lowest score counts, of equal ones the first. A longer candidate around a phrase is at most as frequent
     as the one-word extension between them, so these extensions decide alone. Arithmetic is decimal.
     """
-    size = F.size("parts")
-    cuts = counts.filter(size > 1).select("lang", "phrase", "parts", size.alias("words"), F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).select(
-        "lang", "phrase", "words", "a", "k", F.array_join(F.slice("parts", F.lit(1), F.col("k")), " ").alias("first"),
-        F.array_join(F.slice("parts", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("rest"),
+    # substring_index goes by bytes; patterns would change bytes that are not UTF-8.
+    cuts = counts.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")).selectExpr(
+        "*", "substring_index(phrase, ' ', k) AS first", "substring_index(phrase, ' ', k - words) AS rest"
     )
     beginnings = counts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     endings = counts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
