@@ -39,10 +39,10 @@ def missing_outputs(expected: DataFrame, actual: DataFrame, key: str = "key") ->
 
 
 def require_outputs(expected: DataFrame, actual: DataFrame, key: str = "key") -> None:
-    """Fail, naming a few keys, when an expected output is absent."""
+    """Fail, naming a few keys, when an expected output is absent. A row without a key is never found, so it counts as absent."""
     absent = missing_outputs(expected, actual, key).limit(10).collect()
     if absent:
-        raise FileNotFoundError("missing outputs: " + ", ".join(row[key] for row in absent))
+        raise FileNotFoundError("missing outputs: " + ", ".join("(no key)" if row[key] is None else str(row[key]) for row in absent))
 
 
 def silver_listing(silver: DataFrame) -> DataFrame:

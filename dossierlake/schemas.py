@@ -19,6 +19,9 @@ GOLD = SILVER + (
     "statut_fraude string, motif string, ml_flag int, gold_imported_at string"
 )
 
+#: Who wrote a row and when: of rows of one document the highest version counts, of equal ones the highest batch id.
+WRITTEN = ", batch_id string, version bigint"
+
 MANIFEST_CSV = (
     "filename string, doc_type string, company_siret string, company_name string, "
     "is_fraud string, fraud_type string, folder string"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake import constants as C, schemas
 from dossierlake.functions import display
-from dossierlake.operators.dedup import one_per_silver_key, unclaimed
-from dossierlake.operators.pending import require_outputs
-from dossierlake.sources.tables import read_silver_batches
+from dossierlake.operators import verify
+from dossierlake.operators.dedup import one_per_silver_key
 
 
 def _declared(df: DataFrame, schema: str) -> DataFrame:
@@ -16,39 +18,48 @@ def _declared(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in fields])
 
 
-def write_silver(silver: DataFrame, root: str, batch_id: str = "0", check: bool = False) -> None:
+def job_batch(batch_id: str) -> str:
+    """Name of a batch job's folder; streams name theirs otherwise, so neither replaces a batch of the other."""
+    return f"job-{batch_id}"
+
+
+def stream_batch(checkpoint: str, batch_id: int) -> str:
+    """Name of a micro-batch's folder: the same when it is redone, another for a stream with another checkpoint."""
+    return f"stream-{hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}-{batch_id}"
+
+
+def _write_batch(rows: DataFrame, schema: str, root: str, folder: str, version: int | None, check: bool, by: list[str]) -> None:
+    spark, target = rows.sparkSession, f"{root}/batch_id={folder}"
+    stamped = _declared(rows, schema).withColumn("version", F.lit(time.time_ns() // 1000 if version is None else version).cast("long"))
+    if not check:
+        stamped.write.mode("overwrite").partitionBy(*by).parquet(target)
+        return
+    written = verify.observed(stamped)
+    written.rows.write.mode("overwrite").partitionBy(*by).parquet(target)
+    verify.require_same(written, spark.read.option("basePath", target).schema(stamped.schema).option("recursiveFileLookup", str(not by).lower()).parquet(target))
+
+
+def write_silver(silver: DataFrame, root: str, batch_id: str, version: int | None = None, check: bool = False, folder: str | None = None) -> None:
     """Add one batch of silver rows, one per silver key.
 
-    Of two sources with the same stem the smaller key stays, and a silver key
-    that another batch holds is left alone. The batch has its own folder, which
-    a retry replaces; other batches are not touched. With ``check`` the job
-    fails where a row of the batch cannot be read back.
+    Of two sources of the batch with the same stem the smaller key stays. A key
+    that other batches hold too is read from the one with the highest
+    ``version`` (by default the time of writing), so a later result replaces
+    an earlier one, and no earlier file is read here. The batch has its own
+    folder, which a retry replaces; other batches are not touched. With
+    ``check`` the job fails where the files do not hold the rows of the batch.
     """
-    declared = _declared(one_per_silver_key(silver), schemas.SILVER)
-    others = read_silver_batches(silver.sparkSession, root).where(F.col("batch_id") != batch_id)
-    kept, target = unclaimed(declared, others), f"{root}/batch_id={batch_id}"
-    kept.write.mode("overwrite").parquet(target)
-    if check:
-        require_outputs(kept, silver.sparkSession.read.schema(schemas.SILVER).parquet(target), "source_file")
+    _write_batch(one_per_silver_key(silver), schemas.SILVER, root, folder or job_batch(batch_id), version, check, [])
 
 
-def write_gold(routed: DataFrame, root: str, batch_id: str = "0", check: bool = False) -> None:
+def write_gold(routed: DataFrame, root: str, batch_id: str, version: int | None = None, check: bool = False, folder: str | None = None) -> None:
     """Write one batch of gold rows below its own folder, by zone; each task writes one file per zone at most.
 
-    A retry replaces the batch and nothing else. ``check`` as in :func:`write_silver`.
+    A retry replaces the batch and nothing else. A document that other batches
+    hold too is read from the newest, as in :func:`write_silver`, so scoring it
+    again moves it between zones.
     """
-    declared = _declared(routed, schemas.GOLD + ", zone string")
-    target = f"{root}/batch_id={batch_id}"
-    declared.write.mode("overwrite").partitionBy("zone").parquet(target)
-    if check:
-        found = routed.sparkSession.read.schema(schemas.GOLD).option("recursiveFileLookup", "true").parquet(target)
-        require_outputs(declared, found, "source_file")
-
-
-def replace_gold_folders(rows: DataFrame, root: str) -> None:
-    """Replace the batch and zone folders that ``rows`` (with batch_id and zone) name, and no others."""
-    declared = _declared(rows, schemas.GOLD + ", batch_id string, zone string")
-    declared.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "zone").parquet(root)
+    _write_batch(routed, schemas.GOLD + ", zone string", root, folder or job_batch(batch_id), version, check, ["zone"])
 
 
 def write_ground_truth(rows: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 
 from dossierlake import constants as C, schemas
+from dossierlake.functions import files
 from dossierlake.operators.setops import union_by_name
 
 
@@ -22,32 +23,82 @@ def _or_empty(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) -
 
 
 def read_silver(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(schemas.SILVER).option("recursiveFileLookup", "true").parquet(root)
-
-
-def read_silver_batches(spark: SparkSession, root: str) -> DataFrame:
-    """Silver rows with the batch that wrote them; none before the first batch."""
-    schema = schemas.SILVER + ", batch_id string"
-    return _or_empty(spark, schema, lambda: spark.read.option("basePath", root).schema(schema).parquet(f"{root}/batch_id=*"))
+    """The newest row of each silver key, over all batches."""
+    return newest(silver_layers(spark, root)).select(*_names(spark, schemas.SILVER))
 
 
 def read_gold(spark: SparkSession, root: str, include_reference: bool = False) -> DataFrame:
-    """Rows of both risk zones over all batches; ``batch_id`` and ``zone`` are partition columns and prune.
+    """Rows of both risk zones, the newest batch of each document; ``batch_id`` and ``zone`` say where they come from.
 
-    Batch jobs and streams write the same layout, ``batch_id=.../zone=...``. A
-    zone or a batch without rows is no error. Files written before a column
-    existed read it as null. With ``include_reference`` the manifest and
-    company rows are appended, as a one-level wildcard over the zone folders
-    would return them.
+    Batch jobs and streams write the same layout. A zone or a batch without
+    rows is no error. Files written before a column existed read it as null.
+    With ``include_reference`` the manifest and company rows are appended, as a
+    one-level wildcard over the zone folders would return them.
     """
-    schema = schemas.GOLD + ", batch_id string, zone string"
-    gold = _or_empty(spark, schema, lambda: spark.read.option("basePath", root).schema(schema).parquet(f"{root}/batch_id=*/zone=*"))
-    gold = gold.where(F.col("zone").isin(C.STANDARD_ZONE, C.HIGH_RISK_ZONE))
+    known = F.col("zone").isin(C.STANDARD_ZONE, C.HIGH_RISK_ZONE)
+    gold = newest(gold_layers(spark, root)).where(known).select(*_names(spark, schemas.GOLD), "batch_id", "zone")
     if not include_reference:
         return gold
     return union_by_name(gold, read_reference_documents(spark, root), read_reference_companies(spark, root))
 
 
+def _names(spark: SparkSession, schema: str) -> list[str]:
+    return spark.createDataFrame([], schema).columns
+
+
+def silver_layers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(merged rows, rows of batches not merged yet)."""
+    return _layer(spark, root, MERGED, "*", schemas.SILVER), _layer(spark, root, "", "batch_id=*", schemas.SILVER)
+
+
+def gold_layers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`silver_layers`; ``zone`` is a folder in both layers and prunes."""
+    schema = schemas.GOLD + ", zone string"
+    return _layer(spark, root, MERGED, "*/zone=*", schema), _layer(spark, root, "", "batch_id=*/zone=*", schema)
+
+
+#: Merged rows, below a folder that names how many buckets there are.
+MERGED = "merged"
+MERGED_FOLDERS = f"{MERGED}/buckets=*/bucket="
+
+
+def _layer(spark: SparkSession, root: str, layer: str, folders: str, schema: str) -> DataFrame:
+    base = f"{root}/{layer}".rstrip("/")
+    pattern, more = (f"{root}/{MERGED_FOLDERS}{folders}", ", buckets int, bucket int") if layer else (f"{root}/{folders}", "")
+    declared = schema + schemas.WRITTEN + more
+    rows = _or_empty(spark, declared, lambda: spark.read.option("basePath", base).schema(declared).parquet(pattern))
+    return rows.withColumns({"_key": files.silver_key(F.col("source_file")), "version": F.coalesce("version", F.lit(0).cast("long"))})
+
+
+def superseded(batches: DataFrame) -> DataFrame:
+    """(_key, batch_id) of rows that a newer batch replaces.
+
+    Only keys, versions and batch ids are read. Which keys several batches hold
+    is decided on numbers, combined map-side, and only those few are compared.
+    """
+    narrow = batches.where(F.col("_key").isNotNull()).select("_key", "batch_id", "version")
+    batch = F.xxhash64("batch_id")
+    several = narrow.groupBy("_key").agg(
+        *[bound(column).alias(f"{name}_{at}") for at, column in (("version", F.col("version")), ("batch", batch)) for name, bound in (("least", F.min), ("most", F.max))]
+    ).where("least_version < most_version OR least_batch < most_batch").select("_key")
+    rival = narrow.join(several, "_key").distinct().withColumn("order", F.struct("version", "batch_id"))
+    winner = rival.groupBy("_key").agg(F.max("order").alias("winner"))
+    return rival.join(winner, "_key").where(F.col("order") < F.col("winner")).select("_key", "batch_id")
+
+
+def newest(layers: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """One batch's rows for each silver key: of batches not merged yet the newest, and merged rows no such batch replaces.
+
+    No wide row is shuffled for it unless very many are replaced: what is
+    replaced is a list of keys, which Spark broadcasts while it is small. Rows
+    without a source file have no key, replace nothing and stay.
+    """
+    merged, batches = layers
+    fresh = batches.join(superseded(batches), ["_key", "batch_id"], "left_anti")
+    taken = batches.where(F.col("_key").isNotNull()).select("_key").distinct()
+    return fresh.unionByName(merged.join(taken, "_key", "left_anti"), allowMissingColumns=True)
+
+
 def read_reference_documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFEST).parquet(f"{root}/{C.REFERENCE_ZONE}/documents_manifest.parquet")
 

@@ -10,48 +10,22 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from dossierlake import constants as C, schemas
 from dossierlake.functions import files
-from dossierlake.operators.dedup import one_per_silver_key, unclaimed
-from dossierlake.operators.pending import require_outputs
 from dossierlake.plans.bronze_silver import bronze_to_silver
 from dossierlake.plans.scoring import silver_to_gold
 from dossierlake.plans.training import FraudModel
 from dossierlake.sources.bronze import relative_key, suffix_glob
-from dossierlake.sources.sinks import write_gold
-from dossierlake.sources.tables import read_silver_batches
+from dossierlake.sources.sinks import stream_batch, write_gold, write_silver
 
 Trigger = dict[str, object]
 EVERY_MINUTE: Trigger = {"processingTime": "1 minute"}
 DRAIN: Trigger = {"availableNow": True}
 
 
-def kept_during(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Keep a batch's rows while it is written and checked, so that it is extracted only once.
-
-    A batch is bounded by the files per trigger. Rows that do not fit go to
-    disk, and rows lost with an executor are computed again.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            write(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    return run
-
-
 def bounded(reader: DataStreamReader, files_per_batch: int | None) -> DataStreamReader:
     """The reader with a limit of files per batch where one is asked for."""
     return reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
 
 
-def complete(spark: SparkSession, batch: DataFrame, schema: str, target: str) -> None:
-    """Fail where the files of a batch hold other rows than the batch, counted by key."""
-    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(target)
-    require_outputs(batch, found, "source_file")
-
-
 def without_ocr(objects: DataFrame) -> DataFrame:
     """Stand-in for a missing OCR model: every document falls back to its bytes."""
     return objects.withColumns(
@@ -72,8 +46,9 @@ def stream_bronze_to_silver(
 
     The checkpoint replaces the comparison of listings: a restart continues
     after the last finished batch, and a batch cut short is redone into the
-    same folder. A silver key that an earlier batch claimed stays with it.
-    All new objects make one batch unless ``batch_size`` limits its files.
+    same folder. A batch reads no earlier silver: of the rows of one silver key
+    readers take the newest batch's. Every write is checked by sums. All new
+    objects make one batch unless ``batch_size`` limits its files.
     """
     reader = spark.readStream.format("binaryFile").schema(schemas.BRONZE).option("recursiveFileLookup", "true")
     objects = (
@@ -86,13 +61,9 @@ def stream_bronze_to_silver(
     silver = bronze_to_silver(recognise(objects))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_silver_batches(spark, silver_root).where(F.col("batch_id") != str(batch_id))
-        kept = unclaimed(one_per_silver_key(batch), earlier).select(*silver.columns)
-        target = f"{silver_root}/batch_id={batch_id}"
-        kept.write.mode("overwrite").parquet(target)
-        complete(spark, kept, schemas.SILVER, target)
+        write_silver(batch, silver_root, str(batch_id), check=True, folder=stream_batch(checkpoint, batch_id))
 
-    return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(kept_during(write)).trigger(**trigger).start()
+    return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**trigger).start()
 
 
 def stream_silver_to_gold(
@@ -105,12 +76,14 @@ def stream_silver_to_gold(
     batch_size: int | None = None,
     trigger: Trigger = EVERY_MINUTE,
 ) -> StreamingQuery:
-    """Score, validate and route each new silver file once, then check that every row arrived."""
-    silver = bounded(spark.readStream.schema(schemas.SILVER).option("recursiveFileLookup", "true"), batch_size).parquet(silver_root)
+    """Score, validate and route each new silver file of the batches once, and check by sums that every row arrived.
+
+    Merging batches (``plans.maintenance``) removes their folders, so merge only what this stream has read.
+    """
+    silver = bounded(spark.readStream.schema(schemas.SILVER).option("recursiveFileLookup", "true"), batch_size).parquet(f"{silver_root}/batch_id=*")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stamp = imported_at or datetime.now(timezone.utc).isoformat()
-        write_gold(silver_to_gold(batch, model, stamp), gold_root, str(batch_id))
-        complete(spark, batch, schemas.GOLD, f"{gold_root}/batch_id={batch_id}")
+        write_gold(silver_to_gold(batch, model, stamp), gold_root, str(batch_id), check=True, folder=stream_batch(checkpoint, batch_id))
 
-    return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(kept_during(write)).trigger(**trigger).start()
+    return silver.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**trigger).start()

@@ -142,7 +142,7 @@ sql(
     "sink_silver",
     f"""SELECT * EXCLUDE (stem) FROM (
   SELECT *, {stem('source_file')} AS stem FROM (
-    SELECT {SILVER} FROM fx_silver UNION ALL
+    SELECT {SILVER.replace("ocr_text", "CASE WHEN doc_id % 4 = 1 THEN 'later' ELSE ocr_text END AS ocr_text")} FROM fx_silver UNION ALL
     SELECT concat({stem('source_file')}, '.jpg'), ocr_engine, document_type, siret, amount_total, mentions_expired, 'twin'
     FROM fx_silver WHERE doc_id % 4 = 0) u) v
 QUALIFY row_number() OVER (PARTITION BY stem ORDER BY source_file) = 1
@@ -154,7 +154,8 @@ sql(
     "sink_gold_routed",
     f"""SELECT file AS source_file, ocr_text, fraud_score, '{STAMP}' AS gold_imported_at,
   CASE WHEN max(fraud_score) OVER (PARTITION BY file) >= 0.75 THEN 'high-risk' ELSE 'standard' END AS zone
-FROM (SELECT *, concat('lot_', cast(doc_id - doc_id % 3 AS varchar)) AS file FROM fx_gold) g""",
+FROM (SELECT * REPLACE (CASE WHEN (doc_id - doc_id % 3) % 2 = 0 THEN round(1 - fraud_score, 4) ELSE fraud_score END AS fraud_score),
+  concat('lot_', cast(doc_id - doc_id % 3 AS varchar)) AS file FROM fx_gold) g""",
     use=("fx_gold",),
 )
 sql(
@@ -166,7 +167,7 @@ sql(
 )
 sql(
     "backfill_imported_at",
-    """SELECT CASE WHEN gold_imported_at IS NOT NULL AND doc_id % 2 = 0 THEN '0' ELSE '1' END AS batch_id,
+    """SELECT CASE WHEN gold_imported_at IS NOT NULL AND doc_id % 2 = 0 THEN 'job-0' ELSE 'job-1' END AS batch_id,
   CASE WHEN fraud_score >= 0.75 THEN 'high-risk' ELSE 'standard' END AS zone, count(*) AS n_rows,
   cast(0 AS bigint) AS n_without_stamp,
   count(*) FILTER (gold_imported_at IS NOT NULL AND doc_id % 2 = 0) AS n_kept, cast(4 AS bigint) AS scanned, cast(2 AS bigint) AS updated
@@ -790,8 +791,9 @@ sql(
     silver_rows("").replace("(ValueError)", "(ModuleNotFoundError)"),
     (
         "pages",
-        f"""SELECT text, key AS source_file, false AS is_text, true AS failed FROM fx_corpus
-  WHERE regexp_matches(lower(key), '{SUFFIX}')""",
+        f"""SELECT CASE WHEN twin THEN 'later' ELSE text END AS text, CASE WHEN twin THEN concat({stem('key')}, '.jpeg') ELSE key END AS source_file,
+    false AS is_text, true AS failed
+  FROM (SELECT *, regexp_matches(lower(key), '\\.(pdf|png)$') AS twin FROM fx_corpus) c WHERE regexp_matches(lower(key), '{SUFFIX}')""",
     ),
     use=("fx_corpus",),
 )

@@ -103,7 +103,7 @@ def scan_bronze(spark, sf_dir):
 @query
 def scan_silver(spark, sf_dir):
     root = scratch_path(spark, "silver")
-    sinks.write_silver(fixture(spark, sf_dir, "fx_silver"), root)
+    sinks.write_silver(fixture(spark, sf_dir, "fx_silver"), root, "0")
     return tables.read_silver(spark, root)
 
 
@@ -123,7 +123,7 @@ def _reference_tables(spark, sf_dir, root):
 def scan_gold(spark, sf_dir):
     root = scratch_path(spark, "gold")
     gold = fixture(spark, sf_dir, "fx_gold").withColumn("zone", risk.zone(F.col("fraud_score")))
-    sinks.write_gold(gold, root)
+    sinks.write_gold(gold, root, "0")
     _reference_tables(spark, sf_dir, root)
     rows = tables.read_gold(spark, root, include_reference=True)
     return rows.select(
@@ -201,11 +201,11 @@ def sink_silver(spark, sf_dir):
     twins = rows.where(F.col("doc_id") % 4 == 0).withColumns(
         {"source_file": F.concat(files.stem(F.col("source_file")), F.lit(".jpg")), "ocr_text": F.lit("twin")}
     )
-    sinks.write_silver(rows.unionByName(twins), root)
+    sinks.write_silver(rows.unionByName(twins), root, "0")
     again = rows.where(F.col("doc_id") % 4 == 1).withColumn("ocr_text", F.lit("later"))
     new = rows.where(F.col("doc_id") % 4 == 2).withColumn("source_file", F.concat(F.lit("new/"), "source_file"))
-    for _ in range(2):  # a retry replaces its own batch
-        sinks.write_silver(again.unionByName(new).unionByName(new), root, batch_id="1")
+    for _ in range(2):  # a retry replaces its own batch, and a later batch the rows of its keys
+        sinks.write_silver(again.unionByName(new).unionByName(new), root, "1", check=True)
     return tables.read_silver(spark, root)
 
 
@@ -214,7 +214,11 @@ def sink_gold_routed(spark, sf_dir):
     root = scratch_path(spark, "gold")
     lot = F.concat(F.lit("lot_"), (F.col("doc_id") - F.col("doc_id") % 3).cast("string"))
     rows = fixture(spark, sf_dir, "fx_gold").withColumn("source_file", lot)
-    sinks.write_gold(scoring.route(rows, STAMP, file="source_file"), root)
+    sinks.write_gold(scoring.route(rows, STAMP, file="source_file"), root, "0")
+    # Scored again: every other lot, whose documents may move to the other zone; then both batches are merged.
+    again = rows.where((F.col("doc_id") - F.col("doc_id") % 3) % 2 == 0).withColumn("fraud_score", F.round(1 - F.col("fraud_score"), 4))
+    sinks.write_gold(scoring.route(again, STAMP, file="source_file"), root, "1")
+    maintenance.merge_gold(spark, root, buckets=4)
     return tables.read_gold(spark, root).select("source_file", "ocr_text", "fraud_score", "gold_imported_at", "zone")
 
 
@@ -252,7 +256,7 @@ def backfill_imported_at(spark, sf_dir):
     rows = fixture(spark, sf_dir, "fx_gold").withColumn("zone", risk.zone(F.col("fraud_score")))
     gap = F.col("gold_imported_at").isNull()
     for batch_id, part in (("0", rows.where(~gap & (F.col("doc_id") % 2 == 0))), ("1", rows.where(gap | (F.col("doc_id") % 2 == 1)))):
-        sinks.write_gold(part.repartition("zone"), root, batch_id)
+        sinks.write_gold(part.repartition("zone"), root, batch_id, version=int(batch_id))
     counts = maintenance.backfill_imported_at(spark, root)
     kept = tables.read_gold(spark, root).join(rows.select("source_file", F.col("gold_imported_at").alias("before")), "source_file")
     found = kept.groupBy("batch_id", "zone").agg(
@@ -261,7 +265,7 @@ def backfill_imported_at(spark, sf_dir):
         F.count_if(F.col("gold_imported_at") == F.col("before")).alias("n_kept"),
     )
     total = counts.select(F.struct("scanned", "updated")).first()[0]
-    return found.withColumns({"scanned": F.lit(total["scanned"]), "updated": F.lit(total["updated"])})
+    return found.withColumns({name: F.lit(total[name]).cast("long") for name in ("scanned", "updated")})
 
 
 @query
@@ -938,7 +942,8 @@ def job_validate(spark, sf_dir):
 def job_silver_gold(spark, sf_dir):
     root = scratch_path(spark, "gold")
     silver = silver_columns(fixture(spark, sf_dir, "fx_silver"))
-    sinks.write_gold(scoring.silver_to_gold(silver, trained(spark, sf_dir), STAMP), root)
+    for batch_id, model in (("0", training.neutral(spark)), ("1", trained(spark, sf_dir))):  # scored again by a better model
+        sinks.write_gold(scoring.silver_to_gold(silver, model, STAMP), root, batch_id)
     return tables.read_gold(spark, root).select(
         "source_file", "fraud_score", "ml_probability", "risk_level", "statut_fraude", "motif", "ml_flag",
         "gold_imported_at", "zone",
@@ -961,7 +966,7 @@ def job_ground_truth(spark, sf_dir):
 def job_dashboard(spark, sf_dir):
     """The dashboard of a written gold table."""
     root = scratch_path(spark, "gold")
-    sinks.write_gold(fixture(spark, sf_dir, "fx_gold").withColumn("zone", risk.zone(F.col("fraud_score"))), root)
+    sinks.write_gold(fixture(spark, sf_dir, "fx_gold").withColumn("zone", risk.zone(F.col("fraud_score"))), root, "0")
     items, _ = dashboard.overview(tables.read_gold(spark, root), STAMP)
     return items
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dossierlake import schemas
 from dossierlake.operators import dedup, paths, pending, summaries
 from dossierlake.plans import checks, ground_truth, maintenance, scoring
-from dossierlake.sources import bronze, companies, sinks, tables
+from dossierlake.sources import bronze, companies, sinks, swap, tables
 
 
 def keys(spark, *names):
@@ -102,25 +102,144 @@ def silver_rows(spark, *rows):
     return spark.createDataFrame(full, schemas.SILVER)
 
 
-def test_silver_batches_add_up(spark, folder):
+def test_silver_batches_add_up_and_the_newest_wins(spark, folder):
     root = folder("silver")
-    sinks.write_silver(silver_rows(spark, ("d/a.pdf", "first"), ("d/b.pdf", "first")), root)
+    sinks.write_silver(silver_rows(spark, ("d/a.pdf", "first"), ("d/b.pdf", "first"), ("d/z.pdf", "first")), root, "0")
     for text in ("second", "retried"):
-        sinks.write_silver(silver_rows(spark, ("d/a.png", text), ("d/b.pdf", text), ("d/c.pdf", text)), root, batch_id="1")
-    found = {(r["source_file"], r["ocr_text"]) for r in tables.read_silver(spark, root).collect()}
-    assert found == {("d/a.pdf", "first"), ("d/b.pdf", "first"), ("d/c.pdf", "retried")}
+        sinks.write_silver(silver_rows(spark, ("d/a.png", text), ("d/b.pdf", text), ("d/c.pdf", text), (None, text)), root, "1")
+    sinks.write_silver(silver_rows(spark, ("d/b.pdf", "too old")), root, "2", version=5)
+    want = [("None", "retried"), ("d/a.png", "retried"), ("d/b.pdf", "retried"), ("d/c.pdf", "retried"), ("d/z.pdf", "first")]
+    found = lambda: sorted((str(r["source_file"]), r["ocr_text"]) for r in tables.read_silver(spark, root).collect())
+    assert found() == want
+    for _ in range(2):  # merging changes nothing that readers see
+        maintenance.merge_silver(spark, root, buckets=3)
+        assert found() == want and not [n for n in os.listdir(root) if n.startswith("batch_id=")]
+    sinks.write_silver(silver_rows(spark, ("d/c.pdf", "newest")), root, "1")
+    files_before = {n: os.listdir(f"{root}/merged/buckets=3/{n}") for n in os.listdir(f"{root}/merged/buckets=3")}
+    assert ("d/c.pdf", "newest") in found() and len(found()) == 5
+    maintenance.merge_silver(spark, root, buckets=7)  # the number of the first merge stays
+    assert ("d/c.pdf", "newest") in found() and len(found()) == 5
+    changed = [n for n, names in files_before.items() if os.listdir(f"{root}/merged/buckets=3/{n}") != names]
+    assert os.listdir(f"{root}/merged") == ["buckets=3"] and len(changed) == 1
+
+
+def test_equal_versions_are_decided_by_batch(spark, folder):
+    root = folder("silver")
+    for batch_id in ("b", "a"):
+        sinks.write_silver(silver_rows(spark, ("x.pdf", batch_id)), root, batch_id, version=1)
+    assert [r["ocr_text"] for r in tables.read_silver(spark, root).collect()] == ["b"]
+
+
+def test_a_batch_job_and_a_stream_share_a_table(spark, folder):
+    from dossierlake.streaming import pipelines
+
+    bronze_root, root = folder("bronze"), folder("silver")
+    bronze.land_objects(spark.createDataFrame([(f"{i}.pdf", b"x") for i in range(7)], "key string, content binary"), bronze_root).collect()
+    pipelines.stream_bronze_to_silver(spark, bronze_root, root, folder("checkpoint"), trigger=pipelines.DRAIN).awaitTermination()
+    sinks.write_silver(silver_rows(spark, ("new.pdf", "job"), ("3.pdf", "job")), root, "0")
+    found = {r["source_file"]: r["ocr_text"] for r in tables.read_silver(spark, root).collect()}
+    assert len(found) == 8 and found["new.pdf"] == found["3.pdf"] == "job"
+
+
+def gold_rows(spark, *rows):
+    wanted = spark.createDataFrame([], schemas.GOLD).schema
+    partial = spark.createDataFrame([(name, score, "high-risk" if score >= 0.75 else "standard") for name, score in rows], "source_file string, fraud_score double, zone string")
+    return partial.select(*[F.col(f.name) if f.name in partial.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted], "zone")
+
+
+def test_scoring_again_moves_a_document_between_zones(spark, folder):
+    root = folder("gold")
+    sinks.write_gold(gold_rows(spark, ("a.pdf", 0.9), ("b.pdf", 0.1)), root, "0", check=True)
+    maintenance.merge_gold(spark, root, buckets=2)
+    sinks.write_gold(gold_rows(spark, ("a.pdf", 0.2)), root, "1", check=True)
+    want = [("a.pdf", "standard", "job-1"), ("b.pdf", "standard", "job-0")]
+    found = lambda: sorted((r["source_file"], r["zone"], r["batch_id"]) for r in tables.read_gold(spark, root).collect())
+    assert found() == want
+    maintenance.merge_gold(spark, root)
+    assert found() == want
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", range(6))
+def test_a_merge_cut_short_is_finished_or_undone(spark, folder, monkeypatch, at):
+    root = folder("gold")
+    sinks.write_gold(gold_rows(spark, ("a.pdf", 0.9), ("b.pdf", 0.1), ("c.pdf", 0.3)), root, "0")
+    maintenance.merge_gold(spark, root, buckets=2)
+    sinks.write_gold(gold_rows(spark, ("a.pdf", 0.2), ("d.pdf", 0.8)), root, "1")
+    want = sorted(map(str, tables.read_gold(spark, root).collect()))
+    real, calls = swap.step, []
+
+    def stop(*args):
+        if len(calls) == at - 1:
+            raise Stop
+        calls.append(args)
+        real(*args)
+
+    with monkeypatch.context() as patch:
+        if at == 0:  # before the journal is written
+            patch.setattr(swap, "decide", lambda *args: (_ for _ in ()).throw(Stop()))
+        patch.setattr(swap, "step", stop)
+        try:
+            maintenance.merge_gold(spark, root)
+            assert at > len(calls)
+        except Stop:
+            pass
+    finished, dropped = swap.recover(spark, root)
+    assert (finished, dropped) in ((1, 0), (0, 1), (0, 0)) and (dropped == 1) == (at == 0)
+    assert sorted(map(str, tables.read_gold(spark, root).collect())) == want
+    maintenance.merge_gold(spark, root)
+    assert sorted(map(str, tables.read_gold(spark, root).collect())) == want and os.listdir(f"{root}/_pending") == []
+
+
+@pytest.mark.parametrize("at", ["decide", "step"])
+def test_a_backfill_cut_short_is_finished_by_the_next(spark, folder, monkeypatch, at):
+    root = folder("gold")
+    for batch_id in ("0", "1"):
+        sinks.write_gold(gold_rows(spark, (f"a{batch_id}.pdf", 0.9), (f"b{batch_id}.pdf", 0.1)), root, batch_id)
+        if batch_id == "0":
+            maintenance.merge_gold(spark, root, buckets=2)
+    with monkeypatch.context() as patch:
+        patch.setattr(swap, at, lambda *args: (_ for _ in ()).throw(Stop()))
+        with pytest.raises(Stop):
+            maintenance.backfill_imported_at(spark, root)
+    maintenance.backfill_imported_at(spark, root)
+    rows = tables.read_gold(spark, root).collect()
+    assert len(rows) == 4 and all(r["gold_imported_at"] for r in rows)
+
+
+def test_a_lost_or_doubled_row_is_found(spark):
+    from dossierlake.operators import verify
+
+    rows = spark.createDataFrame([(i, float("nan") if i == 3 else i / 7, None if i == 4 else f"t{i}") for i in range(50)], "a int, b double, c string")
+    for other, same in ((rows.repartition(3), True), (rows.where("a <> 7"), False), (rows.unionByName(rows.where("a = 7")), False), (rows.where("a <> 7").unionByName(rows.where("a = 8")), False)):
+        written = verify.observed(rows)
+        written.rows.write.format("noop").mode("overwrite").save()
+        if same:
+            verify.require_same(written, other)
+        else:
+            with pytest.raises(FileNotFoundError, match="missing outputs"):
+                verify.require_same(written, other)
+
+
+def test_a_missing_output_without_a_key_is_named(spark):
+    rows = spark.createDataFrame([(None,), ("a",)], "key string")
+    with pytest.raises(FileNotFoundError, match=r"\(no key\)"):
+        pending.require_outputs(rows, keys(spark, "a"))
 
 
 def test_pending_work_comes_from_the_tables(spark, folder):
     silver_root, gold_root = folder("silver"), folder("gold")
-    sinks.write_silver(silver_rows(spark, ("d/a.pdf", "x"), ("d/b.png", "x")), silver_root)
+    sinks.write_silver(silver_rows(spark, ("d/a.pdf", "x"), ("d/b.png", "x")), silver_root, "0")
     listed = pending.silver_listing(tables.read_silver(spark, silver_root))
     assert [r["key"] for r in pending.pending_bronze(keys(spark, "d/a.pdf", "d/c.pdf"), listed).collect()] == ["d/c.pdf"]
     assert sorted(r["key"] for r in pending.pending_silver(listed, pending.gold_listing(tables.read_gold(spark, gold_root))).collect()) == ["d/a.parquet", "d/b.parquet"]
     gold = tables.read_silver(spark, silver_root).where("source_file = 'd/a.pdf'").withColumn("fraud_score", F.lit(0.9))
     missing = [f for f in spark.createDataFrame([], schemas.GOLD).schema if f.name not in gold.columns]
     gold = gold.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing], F.lit("high-risk").alias("zone"))
-    sinks.write_gold(gold, gold_root)
+    sinks.write_gold(gold, gold_root, "0")
     assert [r["key"] for r in pending.pending_silver(listed, pending.gold_listing(tables.read_gold(spark, gold_root))).collect()] == ["d/b.parquet"]
 
 
@@ -129,8 +248,8 @@ def test_gold_without_one_zone_and_without_any(spark, folder):
     assert tables.read_gold(spark, root).count() == 0
     empty = spark.createDataFrame([], schemas.GOLD)
     one = spark.createDataFrame([("a",)], "source_file string").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema if f.name != "source_file"])
-    sinks.write_gold(one.withColumn("zone", F.lit("standard")), root)
-    assert [(r["source_file"], r["zone"], r["batch_id"]) for r in tables.read_gold(spark, root).collect()] == [("a", "standard", "0")]
+    sinks.write_gold(one.withColumn("zone", F.lit("standard")), root, "0")
+    assert [(r["source_file"], r["zone"], r["batch_id"]) for r in tables.read_gold(spark, root).collect()] == [("a", "standard", "job-0")]
 
 
 def test_csv_dialect_round_trip(spark, folder, tmp_path):
@@ -312,7 +431,7 @@ def test_gold_routing_round_trip(spark, folder, sf_dir):
 
     root = folder("gold")
     rows = fixture(spark, sf_dir, "fx_gold")
-    sinks.write_gold(scoring.route(rows, "2026-01-01T00:00:00+00:00"), root)
+    sinks.write_gold(scoring.route(rows, "2026-01-01T00:00:00+00:00"), root, "0")
     back = tables.read_gold(spark, root)
     assert back.count() == rows.count()
     assert back.where("zone = 'high-risk' AND fraud_score < 0.75 OR zone = 'standard' AND fraud_score >= 0.75").isEmpty()
@@ -324,7 +443,7 @@ def test_dashboard_filters_before_sorting_and_counts_all(spark, sf_dir, folder):
 
     root = folder("gold")
     gold = scoring.route(fixture(spark, sf_dir, "fx_gold"), "2026-01-01T00:00:00+00:00")
-    sinks.write_gold(gold, root, check=True)
+    sinks.write_gold(gold, root, "0", check=True)
     back = tables.read_gold(spark, root)
     items, stats = dashboard.overview(back, "now", wanted="FRAUDE")
     counts = stats.first()
@@ -346,5 +465,5 @@ def test_upload_reasons(spark):
 
 def test_checked_writes(spark, folder):
     root = folder("silver")
-    sinks.write_silver(silver_rows(spark, ("a.pdf", "x"), ("a.png", "y")), root, check=True)
+    sinks.write_silver(silver_rows(spark, ("a.pdf", "x"), ("a.png", "y")), root, "0", check=True)
     assert tables.read_silver(spark, root).count() == 1

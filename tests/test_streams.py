@@ -20,18 +20,18 @@ def drain(spark, root, silver, checkpoint, batch_size=5):
 
 
 def batches(path):
-    return sorted(name for name in os.listdir(path) if name.startswith("batch_id="))
+    return sorted((name for name in os.listdir(path) if name.startswith("batch_id=stream-")), key=lambda name: int(name.rsplit("-", 1)[1]))
 
 
 def test_bronze_stream_batches_and_restart(spark, folder):
     root, silver, checkpoint = folder("bronze"), folder("silver"), folder("checkpoint")
     land(spark, root, [f"d/{i}.pdf" for i in range(7)])
     drain(spark, root, silver, checkpoint)
-    assert batches(silver) == ["batch_id=0", "batch_id=1"]
+    assert [name[-2:] for name in batches(silver)] == ["-0", "-1"]
     sizes = [spark.read.parquet(f"{silver}/{name}").count() for name in batches(silver)]
     assert sizes == [5, 2]
     drain(spark, root, silver, checkpoint)
-    assert batches(silver) == ["batch_id=0", "batch_id=1"]
+    assert [name[-2:] for name in batches(silver)] == ["-0", "-1"]
 
     land(spark, root, ["d/new.png", "d/skip.docx"])
     drain(spark, root, silver, checkpoint)
@@ -59,7 +59,7 @@ def test_silver_stream_scores_and_routes(spark, folder):
         ("11111111111111_facture_1.pdf", "doctr", "invoice", "1", 10.0, True, "x"),
         ("11111111111111_rib_2.pdf", "doctr", "unknown", "1", None, False, "x"),
     ]
-    spark.createDataFrame(rows, schemas.SILVER).write.parquet(silver)
+    spark.createDataFrame(rows, schemas.SILVER).write.parquet(f"{silver}/batch_id=job-0")
     for _ in range(2):
         stream = pipelines.stream_silver_to_gold(
             spark, silver, gold, checkpoint, training.neutral(spark), "now", trigger=pipelines.DRAIN
@@ -75,16 +75,16 @@ def test_no_limit_unless_asked_for(spark, folder):
     root, silver = folder("bronze"), folder("silver")
     land(spark, root, [f"{i}.pdf" for i in range(12)])
     drain(spark, root, silver, folder("checkpoint"), batch_size=None)
-    assert batches(silver) == ["batch_id=0"] and tables.read_silver(spark, silver).count() == 12
+    assert len(batches(silver)) == 1 and tables.read_silver(spark, silver).count() == 12
 
 
-def test_a_claimed_silver_key_stays(spark, folder):
+def test_a_later_object_takes_the_silver_key(spark, folder):
     root, silver, checkpoint = folder("bronze"), folder("silver"), folder("checkpoint")
     land(spark, root, ["d/a.pdf", "d/b.pdf"])
     drain(spark, root, silver, checkpoint)
     land(spark, root, ["d/a.jpg", "d/c.pdf", "d/c.png"])
     drain(spark, root, silver, checkpoint)
-    assert sorted(r["source_file"] for r in tables.read_silver(spark, silver).collect()) == ["d/a.pdf", "d/b.pdf", "d/c.pdf"]
+    assert sorted(r["source_file"] for r in tables.read_silver(spark, silver).collect()) == ["d/a.jpg", "d/b.pdf", "d/c.pdf"]
 
 
 def test_whole_texts_are_kept(spark, folder):
