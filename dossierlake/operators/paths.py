@@ -7,19 +7,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dossierlake.functions import files
 from dossierlake.functions.text import strip
 
-def listing_by_document(listing: DataFrame) -> DataFrame:
-    """One row per (company, document stem) with the files found for it, as folder/file name.
 
-    ``listing`` carries ``path`` as folder/company/file name.
+def known_by_document(listing: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One row per (company, document stem): ``found``, the files as folder/file name, and ``read``, what their texts hold.
+
+    ``listing`` carries ``path`` as folder/company/file name; ``texts`` carries
+    company_siret, filename and a struct ``findings``. Both are folded in one
+    aggregate. Files and texts without a company or a name belong to nothing.
     """
     parts = F.split("path", "/")
     name = F.element_at(parts, -1)
-    files_found = listing.select(
+    known = listing.select(
         F.get(parts, F.lit(1)).alias("company_siret"),
         files.stem(name).alias("document"),
         F.concat_ws("/", F.get(parts, F.lit(0)), name).alias("file"),
     )
-    return files_found.groupBy("company_siret", "document").agg(F.collect_set("file").alias("found"))
+    if texts is not None:
+        read = F.struct(F.col("filename").alias("name"), "findings")
+        known = known.unionByName(texts.select("company_siret", files.stem(F.col("filename")).alias("document"), read.alias("text")), allowMissingColumns=True)
+    folded = [F.collect_set("file").alias("found")] + ([F.collect_set("text").alias("read")] if texts is not None else [])
+    return known.where(F.col("company_siret").isNotNull() & F.col("document").isNotNull()).groupBy("company_siret", "document").agg(*folded)
 
 
 def _choose(clean: str, fraud: str, name: Column, hint: Column, is_fraud: Column) -> Column:
@@ -39,13 +46,16 @@ def _choose(clean: str, fraud: str, name: Column, hint: Column, is_fraud: Column
     )
 
 
-def resolve_paths(manifest: DataFrame, listing: DataFrame, is_fraud: Column) -> DataFrame:
+def resolve_paths(manifest: DataFrame, listing: DataFrame, is_fraud: Column, texts: DataFrame | None = None) -> DataFrame:
     """Add ``document``, ``pdf_path`` and ``scan_path``; a path is null when no file exists.
 
-    Both come from one equi-join, because the listing is folded to one row per document first.
+    All come from one equi-join, because the listing is folded to one row per
+    document first, so a manifest row never becomes two. With ``texts`` the
+    column ``findings`` holds what the text of the very file ``filename`` says
+    (of several texts the one that sorts first), null without one.
     """
     keyed = manifest.withColumn("document", files.stem(F.col("filename")))
-    joined = keyed.join(listing_by_document(listing), ["company_siret", "document"], "left")
+    joined = keyed.join(known_by_document(listing, texts), ["company_siret", "document"], "left")
     hint = F.lower(strip(F.coalesce(F.col("folder"), F.lit(""))))
     scan = F.concat("document", F.lit(".png"))
 
@@ -57,6 +67,7 @@ def resolve_paths(manifest: DataFrame, listing: DataFrame, is_fraud: Column) ->
         "document",
         path(_choose("raw", "raw_fraud", F.col("filename"), hint, is_fraud), F.col("filename")).alias("pdf_path"),
         path(_choose("scans", "scans_fraud", scan, hint, is_fraud), scan).alias("scan_path"),
+        *([] if texts is None else [F.array_min(F.filter("read", lambda text: text["name"] == F.col("filename")))["findings"].alias("findings")]),
     )
 
 

@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Bits of an amount in cents that the bands of each step leave open. A step orders the bands of one band of the step
-# before: at most 2**15 of them, and for amounts up to 10**12 at most about 10**5 in the first.
-STEPS = (30, 15, 0)
+from dossierlake.session import scratch_path
 
+# Bits of an amount in cents that the bands of the first two steps leave open; the last step takes single amounts. A step
+# orders the bands of one band of the step before: at most 2**15 of them, and in the first some 10**5 for amounts up to 10**12.
+STEPS = (30, 15)
+# Amounts from here on are banded by their logarithm, so many bands to a doubling, beyond all bands of smaller ones.
+LARGE, DOUBLING, BEYOND = 9e13, (8, 23), (1 << 34, 1 << 49)
 
-def band_of(cents: Column, step: int) -> Column:
-    return F.shiftright(cents, STEPS[step])
+
+def exact_amount(value: Column) -> Column:
+    """Amounts in whole cents; large ones as they are, since their cents are no longer told apart."""
+    return F.when(F.abs(value) < LARGE, F.round(value * 100) / F.lit(100.0)).otherwise(value)
+
+
+def band_of(amount: Column, step: int) -> Column:
+    """Number of the band that holds an amount; it never falls where amounts rise."""
+    if step == len(STEPS):
+        return amount
+    small = F.shiftright(F.round(F.when(F.abs(amount) < LARGE, amount) * 100).cast("long"), STEPS[step])
+    doublings = F.floor(F.log2(F.abs(amount)) * (1 << DOUBLING[step])) + BEYOND[step]
+    return F.when(F.abs(amount) < LARGE, small).otherwise(F.signum(amount).cast("long") * doublings)
 
 
 def quantiles_from_counts(
@@ -19,7 +33,9 @@ def quantiles_from_counts(
     """Linear-interpolation quantiles per group of ``by``, for amounts of whole cents.
 
     ``counts`` carries the grouping columns, ``value`` and ``n``, one row per
-    distinct value of a group; values are rounded to cents. Counts per band tell
+    distinct value of a group; values are rounded to cents, but for very large
+    ones. Values are finite. The counts are written once to the scratch space,
+    so what they come from is read once. Counts per band tell
     which bands hold the wanted ranks, and only those are cut into finer bands,
     down to single cents, so what one task orders is bounded however many rows
     a group has. Grouping columns must not be null. Returns the grouping
@@ -37,26 +53,29 @@ def quantiles_from_counts(
         for rank in (F.floor(position(probability)), F.ceil(position(probability))):
             wanted = wanted | covers(F.col("start"), F.col("end"), rank)
 
-    rows = counts.withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    spark, path = counts.sparkSession, scratch_path(counts.sparkSession, "amount-counts")
+    exact = counts.select(*by, exact_amount(F.col("value")).alias("amount"), "n")
+    exact.write.parquet(path)
+    rows = spark.read.schema(exact.schema).parquet(path)
     group = Window.partitionBy(*by)
-    first = rows.groupBy(*by, band_of(F.col("cents"), 0).alias("band")).agg(F.sum("n").alias("n"))
+    first = rows.groupBy(*by, band_of(F.col("amount"), 0).alias("band")).agg(F.sum("n").alias("n"))
     ranked = (
         first.withColumn("total", F.sum("n").over(group))
         .where(F.col("total") >= min_rows)
         .withColumn("end", F.sum("n").over(group.orderBy("band")))
         .withColumn("start", F.col("end") - F.col("n"))
     )
-    for step in range(1, len(STEPS)):
+    for step in range(1, len(STEPS) + 1):
         parents = ranked.where(wanted).select(*by, F.col("band").alias("parent"), F.col("start").alias("base"), "total")
-        parent = band_of(F.col("cents"), step - 1).alias("parent")
-        finer = rows.groupBy(*by, parent, band_of(F.col("cents"), step).alias("band")).agg(F.sum("n").alias("n"))
+        parent = band_of(F.col("amount"), step - 1).alias("parent")
+        finer = rows.groupBy(*by, parent, band_of(F.col("amount"), step).alias("band")).agg(F.sum("n").alias("n"))
         within = Window.partitionBy(*by, "parent").orderBy("band")
         ranked = (
             finer.join(parents, [*by, "parent"])
             .withColumn("end", F.col("base") + F.sum("n").over(within))
             .withColumn("start", F.col("end") - F.col("n"))
         )
-    ranked = ranked.withColumn("value", F.col("band") / F.lit(100.0))
+    ranked = ranked.withColumnRenamed("band", "value")
 
     picks = [F.max("total").alias("n")]
     for name, probability in probabilities.items():

@@ -15,24 +15,22 @@ from dossierlake.operators.summaries import supported_documents
 def build_ground_truth(manifest: DataFrame, listing: DataFrame, texts: DataFrame, skip_missing: bool = False) -> DataFrame:
     """Eleven text columns, one row per PDF and one per scan.
 
-    ``texts`` carries filename, company_siret and text. Texts are reduced to
-    their findings before any join, so no document text is ever shuffled, and
-    all three tables meet on (company, document). A manifest row whose PDF is
-    missing stops the job, unless ``skip_missing`` says that such rows, which
-    :func:`missing_documents` lists, may be left out.
+    ``texts`` carries filename, company_siret and text; a row takes its fields
+    from the text of its PDF. Texts are reduced to their findings before any
+    join, so no document text is ever shuffled, and listing and findings are
+    folded together before they meet the manifest on (company, document). A
+    manifest row whose PDF is missing stops the job when it is met, unless
+    ``skip_missing`` says that such rows, which :func:`missing_documents`
+    lists, may be left out.
     """
-    if not skip_missing:
-        absent = missing_documents(manifest, listing).select("company_siret", "filename").limit(10).collect()
-        if absent:
-            raise FileNotFoundError("missing documents: " + ", ".join("/".join(row) for row in absent))
     fraud = evidence.parse_bool(F.col("is_fraud"))
-    documents = resolve_paths(supported_documents(manifest), listing, fraud).where(F.col("pdf_path").isNotNull())
-    read_texts = texts.select(
-        "company_siret",
-        files.stem(F.col("filename")).alias("document"),
-        F.struct(*[column.alias(name) for name, column in evidence.findings(F.col("text")).items()]).alias("found"),
-    )
-    read = documents.join(read_texts, ["company_siret", "document"], "left")
+    findings = texts.select("company_siret", "filename", F.struct(*[column.alias(name) for name, column in evidence.findings(F.col("text")).items()]).alias("findings"))
+    resolved = resolve_paths(supported_documents(manifest), listing, fraud, findings)
+    present = F.col("pdf_path").isNotNull()
+    if not skip_missing:
+        named = F.concat_ws("/", F.coalesce("company_siret", F.lit("?")), F.coalesce("filename", F.lit("?")))
+        present = F.when(present, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("missing documents: "), named)).cast("boolean"))
+    read = resolved.where(present).withColumnRenamed("findings", "found")
     blank = F.lit("")
     found = {
         "shown": F.coalesce("found.shown", F.array().cast("array<string>")),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossierlake import constants as C, schemas
 from dossierlake.functions import doctype, risk
-from dossierlake.functions.text import blank_to_null, parse_number
+from dossierlake.functions.text import blank_to_null, finite, parse_number
 from dossierlake.operators.quantiles import quantiles_from_counts
 
 LEVELS = ["all", "type", "company"]
@@ -43,13 +43,14 @@ def amount_counts(ground_truth: DataFrame, levels: list[str]) -> DataFrame:
     """Occurrences of each amount per level: over all rows, and over legitimate rows per type and per company.
 
     Counting combines map-side, so however many rows a type or a company has,
-    only its distinct amounts are shuffled.
+    only its distinct amounts are shuffled. Numbers too large for a double are
+    infinite and count as missing.
     """
     rows = ground_truth.select(
         blank_to_null(F.col("siret_doc")).alias("siret"),
         doctype.normalize(F.col("doc_type"), F.col("filename")).alias("doc_type"),
         label(ground_truth).alias("label"),
-        parse_number(F.col("montant_ttc")).alias("value"),
+        finite(parse_number(F.col("montant_ttc"))).alias("value"),
     ).where(F.col("value").isNotNull())
 
     def group(level: str, siret: Column, doc_type: Column) -> Column:

@@ -959,7 +959,9 @@ def job_ground_truth(spark, sf_dir):
     texts = fixture(spark, sf_dir, "fx_text").join(
         fixture(spark, sf_dir, "fx_manifest").select("doc_id", "filename"), "doc_id"
     )
-    return ground_truth.build_ground_truth(manifest, listing, texts)
+    # Scans have texts of their own, which are not the ones to read, and a text may be there twice.
+    scans = texts.withColumns({"filename": F.concat(files.stem(F.col("filename")), F.lit(".png")), "text": F.lit("Total TTC : 1,00 €")})
+    return ground_truth.build_ground_truth(manifest, listing, texts.unionByName(scans).unionByName(texts))
 
 
 @query

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from dossierlake import schemas
@@ -316,10 +317,13 @@ def test_ground_truth_rows(spark):
         [("raw_fraud/11111111111111/a.pdf",), ("scans_fraud/11111111111111/a.png",)], "path string"
     )
     texts = spark.createDataFrame(
-        [("11111111111111", "a.pdf", "SIRET : 22222222222222 Total HT 10,00 € Total TTC 12,00 €")],
+        [("11111111111111", "a.pdf", "SIRET : 22222222222222 Total HT 10,00 € Total TTC 12,00 €")] * 2
+        + [("11111111111111", "a.png", "Total HT 99,00 €"), (None, "a.pdf", "x"), ("11111111111111", None, "x")],
         "company_siret string, filename string, text string",
     )
-    rows = {r["filename"]: r for r in ground_truth.build_ground_truth(manifest, listing, texts, skip_missing=True).collect()}
+    found = ground_truth.build_ground_truth(manifest, listing, texts, skip_missing=True).collect()
+    assert len(found) == 2, "texts of scans and repeated texts make no rows"
+    rows = {r["filename"]: r for r in found}
     assert rows.keys() == {"a.pdf", "a.png"}
     for row in rows.values():
         assert (row["is_fraud"], row["fraud_type"], row["siret_doc"], row["montant_ht"], row["montant_ttc"]) == (
@@ -327,8 +331,10 @@ def test_ground_truth_rows(spark):
         )
     assert rows["a.png"]["source_dataset_path"] == "scans_fraud/11111111111111/a.png"
     assert [r["filename"] for r in ground_truth.missing_documents(manifest, listing).collect()] == ["c.pdf"]
-    with pytest.raises(FileNotFoundError, match="11111111111111/c.pdf"):
-        ground_truth.build_ground_truth(manifest, listing, texts)
+    strict = ground_truth.build_ground_truth(manifest, listing, texts)
+    for action in (strict.collect, strict.count):
+        with pytest.raises(PySparkException, match="missing documents: 11111111111111/c.pdf"):
+            action()
 
 
 def test_invoice_rounding(spark):

@@ -56,11 +56,11 @@ def test_scoring_shuffles_once_when_companies_are_many(spark, sf_dir, model, sma
 
 def test_ground_truth_shuffles_findings_not_texts(spark, sf_dir, small_broadcasts_off):
     manifest = fixture(spark, sf_dir, "fx_manifest").withColumn("fraud_type", F.lit(""))
-    texts = spark.createDataFrame([], "company_siret string, filename string, text string")
+    texts = fixture(spark, sf_dir, "fx_text").withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
     listing = fixture(spark, sf_dir, "fx_files")
     text = plan(ground_truth.build_ground_truth(manifest, listing, texts))
     shuffles = exchanges(text)
-    assert len(shuffles) == 3, "manifest, listing and findings"
+    assert len(shuffles) == 2, "the manifest, and files folded with findings"
     assert all("hashpartitioning(company_siret" in line and "document" in line for line in shuffles)
 
 
@@ -103,6 +103,11 @@ def test_hot_keys_are_combined_before_the_shuffle(spark, sf_dir):
     assert "partial_count" in counted
 
 
+def test_quantiles_read_their_input_once(spark, sf_dir):
+    text = plan(training.amount_bounds(fixture(spark, sf_dir, "fx_ground_truth")))
+    assert "amount-counts" in text and "lineitem" not in text and "orders.parquet" not in text
+
+
 def test_pending_is_an_anti_join_with_top_k(spark, sf_dir):
     text = plan(queries.REGISTRY["pending_bronze"](spark, sf_dir))
     assert "LeftAnti" in text and "Limit" not in text

@@ -140,3 +140,18 @@ def test_what_one_task_orders_is_bounded(spark):
     for step in range(1, len(STEPS)):
         most = bands.distinct().groupBy(f"s{step - 1}").agg(F.count_distinct(f"s{step}").alias("n")).agg(F.max("n")).first()[0]
         assert most <= 2 ** (STEPS[step - 1] - STEPS[step])
+
+
+def test_amounts_of_any_size(spark, folder):
+    """Very large amounts take their rank; what is too large for a number is missing."""
+    rng = random.Random(5)
+    amounts = [rng.choice([-1, 1]) * 10 ** rng.uniform(-2, 300) for _ in range(400)] + [1e300, -1e300, 9e13, 9e13 + 1, -9e13, 0.0, -0.01] * 3 + [round(rng.uniform(-50, 50), 2) for _ in range(100)]
+    wanted = {f"q{i}": i / 16 for i in range(17)}
+    frame = spark.createDataFrame([("g", a) for a in amounts], "grp string, value double").groupBy("grp", "value").agg(F.count(F.lit(1)).alias("n"))
+    row = quantiles_from_counts(frame, wanted, ["grp"]).collect()[0]
+    exact = [a if abs(a) >= 9e13 else round(a, 2) for a in amounts]
+    for name, probability in wanted.items():
+        assert row[name] == pytest.approx(np.quantile(exact, probability), rel=1e-9, abs=0.006)
+    rows = [(f"{i}_facture.pdf", "facture", "0", "1" * 14, "", text, "none") for i, text in enumerate(["1e300", "1e999", "-1e999", "-250.10", "100", "1e3"])]
+    model = training.train(spark.createDataFrame(rows, GT), AS_OF, folder("model"))
+    assert training.amount_quantiles(model.bounds).first()["n"] == 4
