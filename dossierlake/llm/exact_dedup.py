@@ -26,17 +26,23 @@ def recipes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shortest: int = MIN_CHUNK, longest: int = MAX_CHUNK,
     chunk_hash: Callable[[Column], Column] = F.xxhash64,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``text_sha256`` and ``recipe``, the ordered list of verified chunk identifiers.
+    """One row per row of ``docs``: id, ``text_sha256``, ``encoding`` and ``recipe``, the ordered list of verified chunk identifiers.
 
     An identifier is the chunk's 64-bit hash and a rank. Distinct chunks (told apart by SHA-256) that share a hash get
-    different ranks, so equal recipes mean equal texts. Ranks other than 0 are listed in ``ranks`` with their position.
-    Null texts are empty; an empty text has an empty recipe.
+    different ranks, so equal recipes of one ``encoding`` mean equal texts. Ranks other than 0 are listed in ``ranks`` with
+    their position. Null texts are empty; an empty text has an empty recipe. Texts that are not UTF-8 are cut as Latin-1, a
+    letter for each byte, and have another ``encoding``, so they are told apart by their bytes.
     """
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    cut = docs.select(docs[f"`{id_col}`"].alias("id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), _chunks(text, shortest, longest).alias("chunks"))
+    valid = F.is_valid_utf8(text)
+    letters = F.when(valid, text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
+    cut = docs.select(
+        docs[f"`{id_col}`"].alias("id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"),
+        F.when(valid, "UTF-8").otherwise("bytes").alias("encoding"), _chunks(letters, shortest, longest).alias("chunks"),
+    )
     base = stored(
         cut.select(
-            "id", "text_sha256",
+            "id", "text_sha256", "encoding",
             F.transform("chunks", lambda c: chunk_hash(c)).alias("recipe"),
             F.transform("chunks", lambda c: F.unhex(F.sha2(c.cast("binary"), 256))).alias("digests"),
         ),
@@ -49,7 +55,7 @@ def recipes(
         "shared-hashes",
     ).filter("rank > 0")
     if ranked.isEmpty():
-        return base.select("id", "text_sha256", "recipe", F.expr("cast(array() as array<struct<pos:int,rank:int>>)").alias("ranks"))
+        return base.select("id", "text_sha256", "encoding", "recipe", F.expr("cast(array() as array<struct<pos:int,rank:int>>)").alias("ranks"))
     # Rows with one id and one SHA-256 have one text, so this pair may name a row.
     found = (
         base.select("id", "text_sha256", F.posexplode(F.arrays_zip("recipe", "digests")).alias("pos", "c"))
@@ -59,7 +65,7 @@ def recipes(
         .agg(F.array_sort(F.collect_set(F.struct("pos", "rank"))).alias("found"))
     )
     return base.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("text_sha256") == F.col("found_sha")), "left").select(
-        "id", "text_sha256", "recipe", F.coalesce("found", F.expr("cast(array() as array<struct<pos:int,rank:int>>)")).alias("ranks")
+        "id", "text_sha256", "encoding", "recipe", F.coalesce("found", F.expr("cast(array() as array<struct<pos:int,rank:int>>)")).alias("ranks")
     )
 
 
@@ -72,10 +78,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     listed = recipes(docs, id_col, text_col, **options)
     groups = stored(
-        listed.groupBy("recipe", "ranks").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"),
+        listed.groupBy("encoding", "recipe", "ranks").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"),
         "equal-texts",
     )
-    joined = listed.join(groups, ["recipe", "ranks"], "left")
+    joined = listed.join(groups, ["encoding", "recipe", "ranks"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         "id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

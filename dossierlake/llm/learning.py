@@ -33,6 +33,14 @@ def sampled(labels: DataFrame, label: str, allowed: Column, rows_each: int = ROW
     return each[0].unionByName(each[1])
 
 
+def with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the text of their document: one row per id, however often ``docs`` repeats it; the text of smallest hash."""
+    found = docs.select("doc_id", "text").join(F.broadcast(rows.select("doc_id")), "doc_id")
+    # A null text is a text too: it stands in a struct, which min_by does not skip.
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return one.join(F.broadcast(rows), "doc_id").select("doc_id", "row.text", *[c for c in rows.columns if c != "doc_id"])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
     """Coefficients of a logistic regression, the constant last, by damped Newton steps."""
     full = np.column_stack([x, np.ones(len(x))])

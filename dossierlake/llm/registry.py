@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from dossierlake.llm import bpe, collocations, embedding_dedup, exact_dedup, line_dedup, mixing, packing, periodic_runs, quality, quotes, secret_scan, simhash, toxicity
+from dossierlake.llm import bpe, collocations, embedding_dedup, exact_dedup, line_dedup, mixing, packing, periodic_runs, pipeline, quality, quotes, secret_scan, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_codec": bpe.query,
@@ -19,7 +18,7 @@ LLM_QUERIES = {
     "op11_best_fit_packing": packing.query,
     "op12_phrase_collocations": collocations.query,
     "op13_periodic_runs": periodic_runs.query,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 LLM_ORACLE = {

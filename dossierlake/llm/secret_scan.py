@@ -64,11 +64,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, string) of the long unbroken strings that overlap no span; padding at their ends is left off."""
+    """(start, end, string) of the long unbroken strings that overlap no span; padding at their ends is left off.
+
+    Both come in order of their starts, so one walk over both tells: a string is free where no span that starts before its
+    end reaches beyond its start.
+    """
     out = []
+    at = reach = 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if not any(s < end and start < e for s, _, e in taken):
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach <= start:
             body = m[0].strip("=_-")
             if len(body) >= CANDIDATE_LEAST:
                 out.append((start, end, body))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossierlake.llm.common import pieces, stored, table, with_text
-from dossierlake.llm.learning import ROWS_EACH, logistic, remainder, sampled, sigmoid_of
+from dossierlake.llm.learning import ROWS_EACH, logistic, remainder, sampled, sigmoid_of, with_texts
 
 #: The base word lists.
 INSULTS = "idiot idiots moron morons stupid loser losers pathetic worthless scum trash clown disgusting imbecile filth vermin".split()
@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_each: int = ROWS_EACH) -> Mod
     Without rows of both classes the base list and fixed coefficients serve.
     """
     rows = sampled(labels, "toxic", remainder(F.col("doc_id"), PARTS) != HELD_OUT, rows_each)
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id"), "toxicity-sample")
+    sample = stored(with_texts(docs, rows), "toxicity-sample")
     lexicon = learned(sample)
     seen = measured(sample, lexicon, keep=["label", "weight"]).select("row.*", *FEATURES).toPandas()
     if seen["label"].nunique() < 2:

@@ -55,3 +55,12 @@ def test_no_python_and_text_is_not_shuffled(documents):
     assert "Python" not in plan and "Arrow" not in plan
     for line in plan.splitlines():
         assert "Exchange" not in line or "text#" not in line
+
+
+def test_bytes_that_are_not_utf8(spark):
+    """Texts are told apart by their bytes, also from the text that a bad byte is often shown as."""
+    rows = [(1, "616263FF"), (2, "616263FE"), (3, "616263FF"), (4, "616263EFBFBD"), (5, "616263C3BF"), (6, "616263FF2E0A" * 900), (7, "616263FF2E0A" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, h string").selectExpr("doc_id", "cast(unhex(h) AS string) AS text")
+    found = {r["id"]: (r["keep_id"], r["group_size"], r["text_sha256"]) for r in e.exact_duplicates(docs).collect()}
+    assert {i: f[:2] for i, f in found.items()} == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1), 5: (5, 1), 6: (7, 2), 7: (7, 2)}
+    assert len({f[2] for f in found.values()}) == 5

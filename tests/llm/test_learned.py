@@ -119,3 +119,13 @@ def test_pairwise_fit_ranks_and_cuts():
     score = 1 / (1 + np.exp(-(x @ beta[:-1] + beta[-1])))
     assert ((score >= 0.3) == (label == 1)).mean() > 0.95
     assert abs((score < 0.3).mean() - (label == 0).mean()) < 0.01
+
+
+def test_repeated_ids_give_one_labelled_text(spark):
+    """However often documents repeat an id, its label comes with one text; a null text is one too."""
+    from dossierlake.llm import learning
+
+    docs = spark.range(100_000).selectExpr("id % 2 AS doc_id", "concat('t', id % 7) AS text").unionByName(spark.sql("SELECT 5L AS doc_id, cast(NULL AS string) AS text"))
+    rows = spark.createDataFrame([(0, 1, 2.0), (1, 0, 1.0), (5, 0, 1.0), (9, 1, 1.0)], "doc_id long, label int, weight double")
+    found = {r["doc_id"]: r for r in learning.with_texts(docs, rows).collect()}
+    assert sorted(found) == [0, 1, 5] and found[5]["text"] is None and found[0]["text"].startswith("t") and found[0]["weight"] == 2.0

@@ -75,7 +75,20 @@ def test_odd_tables(spark, tables):
         assert len(docs.columns) == 8
     assert 6 not in kept[0] and kept[0] == kept[1]
     assert kept[2] == sorted([1, 4, 5, None], key=str)  # no words at all is one group
-    assert p.tokenise(spark, docs.drop("ids", "n_tokens"), path).count() == len(kept[3])
+    done = p.tokenise(spark, docs.withColumns({"IDS_sha256": F.lit(1), "decoded_sha256": F.lit(2)}), path)
+    assert done.count() == len(kept[3]) and done.columns.count("ids") == 1 and dict(done.dtypes)["ids"] == "binary" and dict(done.dtypes)["n_tokens"] == "bigint"
+    assert {"row", "doc_id", "ids_sha256", "decoded_sha256"} <= set(done.columns) and "IDS_sha256" not in done.columns
+
+
+def test_bytes_that_are_not_utf8(spark, folder):
+    """They count as U+FFFD in every stage; the table that goes from stage to stage keeps its rows."""
+    path = folder("bytes")
+    docs = spark.sql("SELECT id AS doc_id, cast(unhex(concat('616220', h)) AS string) AS text, 'en' AS lang, 's' AS source, 4L AS n_chars FROM VALUES (1L, 'FF'), (2L, 'FE62'), (3L, 'C3') AS t(id, h)")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    for r in p.run(spark, path).collect():
+        assert bpe.token_ids(r["ids"]) in [library.encode(t, add_special_tokens=False).ids for t in ("ab �", "ab �b")]
 
 
 def test_near_duplicates_go_by_row_not_by_id(spark, documents):

@@ -120,3 +120,18 @@ def test_discovery_limit():
 
 def test_empty(documents):
     assert s.secrets(documents([(1, "a")]).limit(0)).count() == 0
+
+
+def test_candidates_stay_clear_of_spans_in_one_walk():
+    """Against every span compared with every candidate, and in time for a text of megabytes."""
+    import time
+
+    draw = random.Random(8)
+    for _ in range(300):
+        text = " ".join(draw.choice(["token=", "x" * draw.randint(1, 30), "0" * draw.randint(10, 40), "AKIA" + "Q" * draw.randint(1, 20), "a1B2" * draw.randint(1, 9)]) for _ in range(20))
+        taken = s.base_spans(text)
+        free = [(m.start(), m.end()) for m in s.CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in taken)]
+        assert [(a, b) for a, b, _ in s.candidates(text, taken)] == [(a, b) for a, b in free if len(text[a:b].strip("=_-")) >= s.CANDIDATE_LEAST]
+    log = ("token=abcdefghijkl0123 " + "Zx9" * 10 + "\n") * 90_000
+    begun = time.perf_counter()
+    assert len(s.candidates(log, s.base_spans(log))) == 90_000 and time.perf_counter() - begun < 30

@@ -110,3 +110,10 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert found == {x: r for x, r in root.items() if x != r}
+
+
+def test_bytes_that_are_not_utf8(spark):
+    """A bad byte counts as U+FFFD."""
+    docs = spark.sql("SELECT id AS doc_id, cast(unhex(h) AS string) AS text FROM VALUES (1L, '61FF62'), (2L, '61EFBFBD62'), (3L, '6162') AS t(id, h)")
+    found = {r["id"]: r["component_id"] for r in s.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
