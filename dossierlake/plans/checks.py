@@ -13,9 +13,9 @@ AMOUNT_TOLERANCE = "0.01"
 
 
 def altered_amounts(declared: DataFrame, lines: DataFrame) -> DataFrame:
-    """Invoices whose declared total differs from the total of their lines."""
-    compared = declared.join(invoice_totals(lines).select("invoice_id", "total_ttc"), "invoice_id")
-    gap = (F.col("declared_ttc") - F.col("total_ttc")).cast("decimal(18,2)")
+    """Invoices whose declared total differs from the total of their lines; one without lines has a total of nothing (null)."""
+    compared = declared.join(invoice_totals(lines).select("invoice_id", "total_ttc"), "invoice_id", "left")
+    gap = (F.col("declared_ttc") - F.coalesce("total_ttc", F.lit(0))).cast("decimal(18,2)")
     return compared.withColumn("gap", gap).where(F.abs("gap") > F.lit(AMOUNT_TOLERANCE).cast("decimal(18,2)"))
 
 
@@ -49,24 +49,33 @@ def iban_in_text(text: Column) -> Column:
     """The bank account number printed after the word IBAN, null where none can be read.
 
     Recognised text has no line breaks, so a label such as BIC follows directly.
-    A number ends at its country's length; where that is not known, before the
+    A number has its country's length where a group of letters and digits ends
+    there. Otherwise, and where the length is not known, it ends before the
     first group without a digit.
     """
     printed = F.regexp_extract(text, r"IBAN\s*:?\s*([A-Z]{2}[0-9]{2}[0-9A-Z ]*)", 1)
-    lengths = F.create_map(*[F.lit(item) for pair in C.IBAN_LENGTHS.items() for item in pair])
-    length = F.try_element_at(lengths, F.substring(printed, 1, 2))
+    whole = F.lit("")
+    for length in sorted(set(C.IBAN_LENGTHS.values())):
+        fitting = F.regexp_extract(printed, rf"^((?:[0-9A-Z] *){{{length - 1}}}[0-9A-Z])(?: |$)", 1)
+        whole = F.when(iban_length(printed) == length, fitting).otherwise(whole)
     numbered = F.regexp_extract(printed, r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z]*[0-9][0-9A-Z]*)*", 0)
-    bounded = F.when(length.isNotNull(), F.substring(compact_iban(printed), F.lit(1), length)).otherwise(compact_iban(numbered))
-    return F.nullif(bounded, F.lit(""))
+    return F.nullif(compact_iban(F.when(whole != "", whole).otherwise(numbered)), F.lit(""))
+
+
+def iban_length(iban: Column) -> Column:
+    """How long numbers of the country are; null where that is not known."""
+    lengths = F.create_map(*[F.lit(item) for pair in C.IBAN_LENGTHS.items() for item in pair])
+    return F.try_element_at(lengths, F.substring(iban, 1, 2))
 
 
 def bank_details(documents: DataFrame) -> DataFrame:
-    """The account number of each bank detail: ``iban``, ``plausible`` (check digits) and ``remainder`` (1 is valid).
+    """The account number of each bank detail: ``iban``, ``plausible`` (check digits and length) and ``remainder`` (1 is valid).
 
     ``documents`` carries doc_type and text. Details whose number cannot be read are findings too: not plausible, no number.
     """
     found = documents.where(F.col("doc_type") == "rib").withColumn("iban", iban_in_text(F.col("text"))).drop("text")
-    return found.withColumns({"plausible": iban_check_digits_valid(F.col("iban")), "remainder": iban_remainder(F.col("iban"))})
+    fits = F.coalesce(F.length("iban") == iban_length(F.col("iban")), F.lit(True))
+    return found.withColumns({"plausible": iban_check_digits_valid(F.col("iban")) & fits, "remainder": iban_remainder(F.col("iban"))})
 
 
 def iban_check_digits_valid(iban: Column) -> Column:

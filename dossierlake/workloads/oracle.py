@@ -813,9 +813,11 @@ sql(
 sql(
     "check_amount",
     """SELECT invoice_id, cast(total_ttc + extra AS double) AS declared_ttc, cast(total_ttc AS double) AS total_ttc,
-  cast(extra AS double) AS gap FROM (
-  SELECT *, CASE WHEN invoice_id % 19 < 4 THEN 300 + invoice_id % 2701 ELSE 0 END AS extra FROM totals) t WHERE extra > 0.01""",
+  cast(extra AS double) AS gap FROM raised WHERE extra > 0.01 UNION ALL
+SELECT -invoice_id, cast(total_ttc + extra AS double), NULL, cast(total_ttc + extra AS double) FROM raised
+WHERE invoice_id % 50 = 7 AND total_ttc + extra > 0.01""",
     TOTALS,
+    ("raised", "SELECT *, CASE WHEN invoice_id % 19 < 4 THEN 300 + invoice_id % 2701 ELSE 0 END AS extra FROM totals"),
     use=("fx_invoice_lines",),
 )
 sql(

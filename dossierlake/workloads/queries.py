@@ -1043,12 +1043,13 @@ def stream_retry_idempotent(spark, sf_dir):
 
 @with_fixture("check_amount", "fx_invoice_lines")
 def check_amount(lines):
-    """Declared totals derived from the lines, some raised by a few hundred."""
+    """Declared totals derived from the lines, some raised by a few hundred, and some of invoices without lines."""
     raised = F.when(F.col("invoice_id") % 19 < 4, F.lit(300) + F.col("invoice_id") % 2701).otherwise(F.lit(0))
     declared = summaries.invoice_totals(lines).select(
         "invoice_id", (F.col("total_ttc") + raised).cast("decimal(18,2)").alias("declared_ttc")
     )
-    return numbers_as_double(checks.altered_amounts(declared, lines))
+    without_lines = declared.where(F.col("invoice_id") % 50 == 7).withColumn("invoice_id", -F.col("invoice_id"))
+    return numbers_as_double(checks.altered_amounts(declared.unionByName(without_lines), lines))
 
 
 @with_fixture("check_expired", "fx_ground_truth")

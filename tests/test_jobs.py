@@ -473,3 +473,21 @@ def test_checked_writes(spark, folder):
     root = folder("silver")
     sinks.write_silver(silver_rows(spark, ("a.pdf", "x"), ("a.png", "y")), root, "0", check=True)
     assert tables.read_silver(spark, root).count() == 1
+
+
+def test_short_account_numbers_do_not_swallow_labels(spark):
+    rows = [
+        ("IBAN FR76 3000 4000 BIC / SWIFT AGRIFRPP882", "FR7630004000", False),
+        ("IBAN FR76 3000 4000 BIC SWIFT AGRIFRPP882 TITULAIRE", "FR7630004000", False),
+        ("IBAN : FR76 3000 6000 0112 3456 7890 189 BIC X", "FR7630006000011234567890189", True),
+        ("IBAN GB29 NWBK 6016 1331 9268 19 BIC", "GB29NWBK60161331926819", True),
+        ("IBAN XX12 3456 BIC", "XX123456", True), ("IBAN inconnu", None, False),
+    ]
+    found = checks.bank_details(spark.createDataFrame([("rib", r[0]) for r in rows], "doc_type string, text string")).collect()
+    assert [(r["iban"], r["plausible"]) for r in found] == [r[1:] for r in rows]
+
+
+def test_declared_invoices_without_lines_are_found(spark):
+    declared = spark.createDataFrame([(1, 12), (2, 50), (3, 0)], "invoice_id int, t int").select("invoice_id", F.col("t").cast("decimal(18,2)").alias("declared_ttc"))
+    lines = spark.createDataFrame([(1, 1, 10)], "invoice_id int, quantite int, pu int").select("invoice_id", "quantite", F.col("pu").cast("decimal(18,2)").alias("prix_unitaire_ht"), F.lit("0.20").cast("decimal(4,2)").alias("taux_tva"))
+    assert [(r["invoice_id"], r["total_ttc"], float(r["gap"])) for r in checks.altered_amounts(declared, lines).collect()] == [(2, None, 50.0)]
