@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,12 +27,12 @@ class FraudModel:
 
     ``bounds``: level, siret, doc_type, n and the amount quantiles. Level
     ``all`` is one row, ``type`` at most six, ``company`` grows with the data.
-    ``vectors``: rows per distinct feature vector and label, at most 1,536.
+    ``counts``: rows per feature, value and label, a few dozen.
     ``outlook``: what the model says of each of the 768 possible vectors.
     """
 
     bounds: DataFrame
-    vectors: DataFrame
+    counts: DataFrame
     outlook: DataFrame
 
 
@@ -39,6 +40,23 @@ def label(ground_truth: DataFrame) -> Column:
     return ground_truth["is_fraud"].cast("int")
 
 
+def level_groups() -> dict[str, Column]:
+    """The group a row with ``siret``, ``doc_type`` and ``label`` belongs to at each level, or null."""
+
+    def group(level: str, siret: Column, doc_type: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), siret.alias("siret"), doc_type.alias("doc_type"))
+
+    legit = F.col("label") == 0
+    blank = F.lit("")
+    return {
+        "all": group("all", blank, blank),
+        "type": F.when(legit, group("type", blank, F.col("doc_type"))),
+        "company": F.when(
+            legit & F.col("siret").isNotNull(), group("company", F.col("siret"), F.col("doc_type"))
+        ),
+    }
+
+
 def amount_counts(ground_truth: DataFrame, levels: list[str]) -> DataFrame:
     """Occurrences of each amount per level: over all rows, and over legitimate rows per type and per company.
 
@@ -53,18 +71,7 @@ def amount_counts(ground_truth: DataFrame, levels: list[str]) -> DataFrame:
         finite(parse_number(F.col("montant_ttc"))).alias("value"),
     ).where(F.col("value").isNotNull())
 
-    def group(level: str, siret: Column, doc_type: Column) -> Column:
-        return F.struct(F.lit(level).alias("level"), siret.alias("siret"), doc_type.alias("doc_type"))
-
-    legit = F.col("label") == 0
-    blank = F.lit("")
-    groups = {
-        "all": group("all", blank, blank),
-        "type": F.when(legit, group("type", blank, F.col("doc_type"))),
-        "company": F.when(
-            legit & F.col("siret").isNotNull(), group("company", F.col("siret"), F.col("doc_type"))
-        ),
-    }
+    groups = level_groups()
     memberships = F.explode(F.array(*[groups[level] for level in levels]))
     return (
         rows.select(memberships.alias("group"), "value")
@@ -76,10 +83,13 @@ def amount_counts(ground_truth: DataFrame, levels: list[str]) -> DataFrame:
 
 def amount_bounds(ground_truth: DataFrame, levels: list[str] | None = None) -> DataFrame:
     """Amount quantiles of each level; a company needs two amounts or more."""
+    return bounds_from_counts(amount_counts(ground_truth, levels or LEVELS))
+
+
+def bounds_from_counts(counts: DataFrame) -> DataFrame:
+    """Amount quantiles from occurrences of amounts, in any number of parts."""
     needed = F.when(F.col("level") == "company", C.COMPANY_MIN_AMOUNTS).otherwise(1)
-    return quantiles_from_counts(
-        amount_counts(ground_truth, levels or LEVELS), QUANTILES, ["level", "siret", "doc_type"], needed
-    )
+    return quantiles_from_counts(counts, QUANTILES, ["level", "siret", "doc_type"], needed)
 
 
 def amount_quantiles(bounds: DataFrame) -> DataFrame:
@@ -138,23 +148,27 @@ def type_rates(vectors: DataFrame) -> DataFrame:
 
 def train(ground_truth: DataFrame, as_of: str, path: str) -> FraudModel:
     """Train and persist below ``path``; scoring reads the written tables, not the lineage that made them."""
-    spark = ground_truth.sparkSession
-    amount_bounds(ground_truth).write.mode("overwrite").partitionBy("level").parquet(f"{path}/bounds")
-    bounds = _read(spark, path, "bounds")
-    feature_vectors(ground_truth, bounds, as_of).write.mode("overwrite").parquet(f"{path}/vectors")
-    outlook(bounds, _read(spark, path, "vectors")).write.mode("overwrite").parquet(f"{path}/outlook")
+    return fit(ground_truth.sparkSession, path, amount_bounds(ground_truth), lambda bounds: feature_counts(feature_vectors(ground_truth, bounds, as_of)))
+
+
+def fit(spark: SparkSession, path: str, bounds: DataFrame, counts: Callable[[DataFrame], DataFrame]) -> FraudModel:
+    """Persist a model below ``path``: its bounds, what ``counts`` makes of the written bounds, and the outlook of both."""
+    bounds.write.mode("overwrite").partitionBy("level").parquet(f"{path}/bounds")
+    written = _read(spark, path, "bounds")
+    counts(written).write.mode("overwrite").parquet(f"{path}/counts")
+    outlook(written, _read(spark, path, "counts")).write.mode("overwrite").parquet(f"{path}/outlook")
     return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> FraudModel:
-    return FraudModel(*[_read(spark, path, name) for name in ("bounds", "vectors", "outlook")])
+    return FraudModel(*[_read(spark, path, name) for name in ("bounds", "counts", "outlook")])
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.MODEL[name]).parquet(f"{path}/{name}")
 
 
-def bundle(bounds: DataFrame, vectors: DataFrame) -> DataFrame:
+def bundle(bounds: DataFrame, counts: DataFrame) -> DataFrame:
     """The whole model but the company bounds, as one row of small maps.
 
     Type and band names are fixed, so the row holds a few dozen values at any
@@ -163,8 +177,7 @@ def bundle(bounds: DataFrame, vectors: DataFrame) -> DataFrame:
     training rows the row is neutral: ``available`` is false, the maps are empty.
     """
     counted = (
-        vectors.unpivot(["label", "n"], C.FEATURES, "key", "value")
-        .groupBy("key", "value")
+        counts.groupBy(F.col("feature").alias("key"), "value")
         .agg(F.expr("sum(if(label = 0, n, 0)) AS n_0"), F.expr("sum(if(label = 1, n, 0)) AS n_1"))
         .selectExpr("'feature' AS kind", "key", "value", "n_0", "n_1")
     )
@@ -210,7 +223,7 @@ def bundle(bounds: DataFrame, vectors: DataFrame) -> DataFrame:
     return row.selectExpr(*columns)
 
 
-def outlook(bounds: DataFrame, vectors: DataFrame) -> DataFrame:
+def outlook(bounds: DataFrame, counts: DataFrame) -> DataFrame:
     """Counts, posterior, amount limit and fraud rate for every possible feature vector.
 
     Documents differ only in six types, five flags and four bands, so the
@@ -233,7 +246,7 @@ def outlook(bounds: DataFrame, vectors: DataFrame) -> DataFrame:
         for wanted in C.LABELS
     ]
     return (
-        grid.withColumn("model", bundle(bounds, vectors).select(F.struct("*")).scalar())
+        grid.withColumn("model", bundle(bounds, counts).select(F.struct("*")).scalar())
         .selectExpr("*", *found)
         .selectExpr("*", *[f"{log} AS log_{wanted}" for wanted, log in zip(C.LABELS, logs)])
         .selectExpr("*", *[f"exp(log_{wanted} - greatest(log_0, log_1)) AS share_{wanted}" for wanted in C.LABELS])
@@ -257,5 +270,5 @@ def neutral(spark: SparkSession) -> FraudModel:
     """The model of an absent ground truth."""
     empty = spark.createDataFrame([], schemas.GROUND_TRUTH)
     bounds = amount_bounds(empty)
-    vectors = feature_vectors(empty, bounds, "1970-01-01")
-    return FraudModel(bounds, vectors, outlook(bounds, vectors))
+    counts = feature_counts(feature_vectors(empty, bounds, "1970-01-01"))
+    return FraudModel(bounds, counts, outlook(bounds, counts))

@@ -57,10 +57,14 @@ MODEL = {
     "bounds": (
         "siret string, doc_type string, n bigint, p05 double, p33 double, p66 double, p95 double, level string"
     ),
-    "vectors": ", ".join(f"{name} string" for name in FEATURES) + ", label int, n bigint",
+    "counts": "feature string, value string, label int, n bigint",
     "outlook": ", ".join(
         [f"f_{name} {kind}" for name, kind in _FLAGS.items()]
         + [f"{name}_{label} bigint" for name in FEATURES for label in LABELS]
         + ["ml double, type_limit double, type_rate double, model_version string"]
     ),
 }
+
+#: What training in batches keeps: occurrences of amounts per level, and of what the features are made of. ``kind`` names the
+#: level or the feature.
+TRAINING_COUNTS = "kind string, siret string, doc_type string, value string, day date, amount double, label int, n bigint"

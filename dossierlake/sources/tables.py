@@ -125,6 +125,17 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, schemas.GROUND_TRUTH, lambda: csv_reader(spark).schema(schemas.GROUND_TRUTH).csv(path))
 
 
+def read_training_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Counts of every batch learned so far, with its ``batch_id``."""
+    declared = schemas.TRAINING_COUNTS + ", batch_id string"
+    return _or_empty(spark, declared, lambda: spark.read.option("basePath", root).schema(declared).parquet(f"{root}/batch_id=*"))
+
+
+def read_folded_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the batches whose counts have been added up."""
+    return _or_empty(spark, "batch_id string", lambda: spark.read.schema("batch_id string").parquet(path))
+
+
 def read_foreign_silver(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Silver files of another writer, whose all-null columns carry no usable type.
 

@@ -524,6 +524,10 @@ sql(
     *COUNTED, TB, TR, DOMAIN, CLASSES, use=TRAIN,
 )
 
+# Training in batches gives what one training on all rows gives.
+for whole in ("model_bundle", "company_bounds"):
+    ORACLE[f"{whole}_batches"] = ORACLE[whole]
+
 # --- sort, limit, distinct ----------------------------------------------------------------
 
 MICROS = "coalesce(epoch_us(try_cast(gold_imported_at AS timestamptz)), 0)"

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from dossierlake import constants as C
 from dossierlake.operators.quantiles import quantiles_from_counts
-from dossierlake.plans import scoring, training
+from dossierlake.plans import incremental, scoring, training
+from dossierlake.sources import swap, tables
 
 AS_OF = "2026-01-01"
 GT = "filename string, doc_type string, is_fraud string, siret_doc string, date_expiration string, montant_ttc string, degradation string"
@@ -155,3 +156,71 @@ def test_amounts_of_any_size(spark, folder):
     rows = [(f"{i}_facture.pdf", "facture", "0", "1" * 14, "", text, "none") for i, text in enumerate(["1e300", "1e999", "-1e999", "-250.10", "100", "1e3"])]
     model = training.train(spark.createDataFrame(rows, GT), AS_OF, folder("model"))
     assert training.amount_quantiles(model.bounds).first()["n"] == 4
+
+
+def _same(left, right):
+    """Tables of two models, row by row; sums of logarithms may differ in their last digits."""
+    for name in ("bounds", "counts", "outlook"):
+        pair = [sorted((tuple(row.asDict().items()) for row in getattr(model, name).collect()), key=str) for model in (left, right)]
+        assert len(pair[0]) == len(pair[1]), name
+        for one, other in zip(*pair, strict=True):
+            for (column, a), (_, b) in zip(one, other, strict=True):
+                assert a == (pytest.approx(b, rel=1e-12) if isinstance(b, float) else b), (name, column)
+
+
+ODD = [
+    (None, None, "0", None, None, None, None), ("x.pdf", "facture", "0", "1" * 14, "2020-01-01", "1e999", "none"), ("x.pdf", "facture", "1", " ", "", "1e300", "NONE"),
+    ("x.pdf", "facture", "0", "1" * 14, "2020-01-01", "12,5", ""), ("x.pdf", "facture", "0", "1" * 14, "2020-01-01", "-3.005", "none"),
+]
+
+
+def test_batches_equal_one_training(spark, folder):
+    """Four batches, with a fold between, a retry of the last and an empty one; then another day."""
+    rows, root = _ground_truth(random.Random(9), 300) + ODD * 2, folder("training")
+    parts = [rows[:100], rows[100:101], [], rows[101:]]
+    for number, part in enumerate(parts):
+        incremental.learn(spark.createDataFrame(part, GT), root, str(number))
+        if number == 1:
+            assert incremental.fold(spark, root) == 2
+    incremental.learn(spark.createDataFrame(parts[3], GT), root, "3")
+    for day in (AS_OF, "2019-06-01", "2031-01-01"):
+        _same(incremental.train(spark, root, day, folder("model")), training.train(spark.createDataFrame(rows, GT), day, folder("model")))
+    assert incremental.fold(spark, root) == 2 and incremental.fold(spark, root) == 0
+    _same(incremental.train(spark, root, AS_OF, folder("model")), training.train(spark.createDataFrame(rows, GT), AS_OF, folder("model")))
+    assert swap.folders(spark, root) == ["batch_id=folded", "folded"]
+    with pytest.raises(ValueError, match="folded"):
+        incremental.learn(spark.createDataFrame(parts[0], GT), root, "0")
+
+
+def test_no_batches_give_the_neutral_model(spark, folder):
+    _same(incremental.train(spark, folder("training"), AS_OF, folder("model")), training.neutral(spark))
+
+
+@pytest.mark.parametrize("done", [0, 1, 2, 3])
+def test_a_fold_cut_short_is_finished(spark, folder, done, monkeypatch):
+    """Whatever step it stops at, the next job ends with every batch counted once."""
+    rows, root = _ground_truth(random.Random(2), 60), folder("training")
+    for number in range(2):
+        incremental.learn(spark.createDataFrame(rows[number::2], GT), root, str(number))
+    step, steps = swap.step, []
+
+    def stopping(*arguments):
+        if len(steps) == done:
+            raise OSError("stopped")
+        steps.append(arguments)
+        step(*arguments)
+
+    monkeypatch.setattr(swap, "step", stopping)
+    with pytest.raises(OSError):
+        incremental.fold(spark, root)
+    monkeypatch.undo()
+    assert swap.recover(spark, root) == (1, 0)
+    assert tables.read_training_counts(spark, root).where("kind = 'doc_type'").agg(F.sum("n")).first()[0] == 60
+    assert incremental.fold(spark, root) == 0
+
+
+def test_a_batch_is_counted_in_one_pass(spark, folder):
+    rows, path = spark.createDataFrame(_ground_truth(random.Random(2), 20), GT), folder("rows")
+    rows.write.parquet(path)
+    plan = incremental.batch_counts(spark.read.schema(GT).parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Python" not in plan
