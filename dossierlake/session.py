@@ -22,6 +22,8 @@ def local_session(cores: str = "8", app: str = "dossierlake") -> SparkSession:
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Call sites recorded for every Column make large expressions slow to build.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # State of streams stays on disk, whatever it grows to.
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", "16g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="dossierlake-"))
         .getOrCreate()

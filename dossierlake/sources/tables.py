@@ -136,6 +136,12 @@ def read_folded_batches(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, "batch_id string", lambda: spark.read.schema("batch_id string").parquet(path))
 
 
+def read_status_changes(spark: SparkSession, root: str) -> DataFrame:
+    """By how much each micro-batch changed the dashboard totals."""
+    declared = "valide bigint, fraude bigint"
+    return _or_empty(spark, declared, lambda: spark.read.option("recursiveFileLookup", "true").schema(declared).parquet(f"{root}/batch_id=*"))
+
+
 def read_foreign_silver(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Silver files of another writer, whose all-null columns carry no usable type.
 

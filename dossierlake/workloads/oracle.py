@@ -790,6 +790,7 @@ sql(
 
 # --- streams ------------------------------------------------------------------------------------------
 
+ORACLE["stream_dashboard_stats"] = ORACLE["dashboard_stats"]
 sql(
     "stream_bronze_silver",
     silver_rows("").replace("(ValueError)", "(ModuleNotFoundError)"),

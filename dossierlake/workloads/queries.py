@@ -12,7 +12,7 @@ from dossierlake.operators import dedup, paths, pending, setops, summaries
 from dossierlake.plans import bronze_silver, checks, dashboard, ground_truth, incremental, lookups, maintenance, scoring, training
 from dossierlake.session import scratch_path
 from dossierlake.sources import bronze, companies, sinks, tables
-from dossierlake.streaming import pipelines
+from dossierlake.streaming import pipelines, statistics
 from dossierlake.workloads.fixtures import AS_OF, fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1063,6 +1063,29 @@ def stream_retry_idempotent(spark, sf_dir):
     )
 
 
+@query
+def stream_dashboard_stats(spark, sf_dir):
+    """Totals of three gold batches, of which one is redone, then of all documents scored again with statuses changed, then of a late old batch."""
+    gold, stats, checkpoint = scratch_path(spark, "gold"), scratch_path(spark, "stats"), scratch_path(spark, "checkpoint")
+    rows = fixture(spark, sf_dir, "fx_gold").withColumn("zone", risk.zone(F.col("fraud_score")))
+    part = F.pmod(F.xxhash64("source_file"), F.lit(3))
+
+    def drain():
+        statistics.stream_dashboard_stats(spark, gold, stats, checkpoint, batch_size=4, trigger=pipelines.DRAIN).awaitTermination()
+
+    opposite = rows.withColumns({"statut_fraude": F.lit("FRAUDE"), "fraud_score": F.lit(0.9), "zone": F.lit(C.HIGH_RISK_ZONE)})
+    sinks.write_gold(opposite, gold, "first", version=2)
+    drain()
+    _forget_last_commit(spark, checkpoint)
+    drain()
+    for number in range(3):
+        sinks.write_gold(rows.where(part == number), gold, f"again-{number}", version=3)
+    drain()
+    sinks.write_gold(opposite.where(part == 1), gold, "late", version=1)
+    drain()
+    return statistics.read_stats(spark, stats)
+
+
 # --- checks --------------------------------------------------------------------------------
 
 

@@ -3,9 +3,13 @@
 import os
 
 from dossierlake import schemas
-from dossierlake.plans import training
-from dossierlake.sources import bronze, tables
-from dossierlake.streaming import pipelines
+from pyspark.sql import functions as F
+
+from dossierlake.functions import display
+from dossierlake.operators.summaries import dashboard_stats
+from dossierlake.plans import maintenance, training
+from dossierlake.sources import bronze, sinks, tables
+from dossierlake.streaming import pipelines, statistics
 
 
 def land(spark, root, names):
@@ -102,3 +106,38 @@ def test_an_empty_silver_file_does_not_stop_the_stream(spark, folder):
     checkpoint = folder("checkpoint")
     pipelines.stream_silver_to_gold(spark, silver, gold, checkpoint, training.neutral(spark), "now", trigger=pipelines.DRAIN).awaitTermination()
     assert tables.read_gold(spark, gold).count() == 0
+
+
+def gold_rows(spark, documents):
+    """Gold rows of (source file, status, zone)."""
+    rows = [(name, "e", "facture", "1", 1.0, False, "x", 0.1, 0.1, "v", "normal", status, "m", 0, None, zone) for name, status, zone in documents]
+    return spark.createDataFrame(rows, schemas.GOLD + ", zone string")
+
+
+def test_statistics_follow_gold(spark, folder):
+    """After each batch the totals equal a full recount: new and repeated documents, late batches, rows without a key, merges."""
+    gold, stats, checkpoint = folder("gold"), folder("stats"), folder("checkpoint")
+
+    def totals():
+        statistics.stream_dashboard_stats(spark, gold, stats, checkpoint, trigger=pipelines.DRAIN).awaitTermination()
+        return statistics.read_stats(spark, stats).first()
+
+    def recount():
+        status = display.api_status(F.col("statut_fraude"), F.col("fraud_score"))
+        return dashboard_stats(tables.read_gold(spark, gold).select(status.alias("status"))).first()
+
+    assert statistics.read_stats(spark, stats).first() == (0, 0, 0)
+    ok, bad = ("VALIDE", "standard"), ("FRAUDE", "high-risk")
+    steps = [
+        ("a", 5, [("a.pdf", *ok), ("b.pdf", *bad), (None, *ok), (None, *ok)], (4, 3, 1)),
+        ("b", 6, [("a.png", *bad), ("c.pdf", *ok), (None, *bad)], (6, 3, 3)),
+        ("late", 4, [("a.pdf", *ok), ("c.pdf", *bad), ("d.pdf", None, "standard")], (7, 4, 3)),
+        ("empty", 7, [], (7, 4, 3)),
+        ("c", 6, [("a.pdf", *ok), ("a.pdf", *bad), ("e.pdf", "VALIDE", "other")], (8, 5, 3)),
+    ]
+    for name, version, documents, expected in steps:
+        sinks.write_gold(gold_rows(spark, documents), gold, name, version=version)
+        assert totals() == expected == recount(), name
+    assert maintenance.merge_gold(spark, gold, 2) == 5
+    sinks.write_gold(gold_rows(spark, [("b.pdf", *ok)]), gold, "d", version=9)
+    assert totals() == (8, 6, 2) == recount()
