@@ -142,6 +142,12 @@ def read_status_changes(spark: SparkSession, root: str) -> DataFrame:
     return _or_empty(spark, declared, lambda: spark.read.option("recursiveFileLookup", "true").schema(declared).parquet(f"{root}/batch_id=*"))
 
 
+def read_page_index(spark: SparkSession, root: str) -> DataFrame:
+    """The files of a table written page by page: name, rows, and rows before them."""
+    declared = "file string, n bigint, before bigint"
+    return _or_empty(spark, declared, lambda: spark.read.schema(declared).parquet(f"{root}/index"))
+
+
 def read_foreign_silver(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Silver files of another writer, whose all-null columns carry no usable type.
 

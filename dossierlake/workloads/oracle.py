@@ -788,6 +788,9 @@ sql(
     ALERTED, use=GOLD,
 )
 
+# All pages together are the whole dashboard.
+ORACLE["dashboard_pages"] = ORACLE["job_dashboard"]
+
 # --- streams ------------------------------------------------------------------------------------------
 
 ORACLE["stream_dashboard_stats"] = ORACLE["dashboard_stats"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dossierlake import constants as C, schemas
 from dossierlake.functions import display, doctype, evidence, extract, files, risk, text
 from dossierlake.operators import dedup, paths, pending, setops, summaries
-from dossierlake.plans import bronze_silver, checks, dashboard, ground_truth, incremental, lookups, maintenance, scoring, training
+from dossierlake.plans import bronze_silver, checks, dashboard, ground_truth, incremental, lookups, maintenance, paging, scoring, training
 from dossierlake.session import scratch_path
 from dossierlake.sources import bronze, companies, sinks, tables
 from dossierlake.streaming import pipelines, statistics
@@ -998,6 +998,17 @@ def job_dashboard(spark, sf_dir):
     return items
 
 
+@query
+def dashboard_pages(spark, sf_dir):
+    """The dashboard of a written gold table, read in eight pages."""
+    gold, root, pages = scratch_path(spark, "gold"), scratch_path(spark, "pages"), 8
+    rows = fixture(spark, sf_dir, "fx_gold").withColumn("zone", risk.zone(F.col("fraud_score")))
+    sinks.write_gold(rows, gold, "0")
+    paging.write_pages(tables.read_gold(spark, gold), root, STAMP)
+    size = max(1, paging.count_pages(spark, root, pages))
+    return setops.union_by_name(*[paging.page(spark, root, number, size, STAMP) for number in range(pages)])
+
+
 # --- streams -----------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dossierlake import schemas
 from dossierlake.operators import dedup, paths, pending, summaries
-from dossierlake.plans import checks, ground_truth, maintenance, scoring
+from dossierlake.plans import checks, dashboard, ground_truth, maintenance, paging, scoring
 from dossierlake.sources import bronze, companies, sinks, swap, tables
 
 
@@ -491,3 +491,40 @@ def test_declared_invoices_without_lines_are_found(spark):
     declared = spark.createDataFrame([(1, 12), (2, 50), (3, 0)], "invoice_id int, t int").select("invoice_id", F.col("t").cast("decimal(18,2)").alias("declared_ttc"))
     lines = spark.createDataFrame([(1, 1, 10)], "invoice_id int, quantite int, pu int").select("invoice_id", "quantite", F.col("pu").cast("decimal(18,2)").alias("prix_unitaire_ht"), F.lit("0.20").cast("decimal(4,2)").alias("taux_tva"))
     assert [(r["invoice_id"], r["total_ttc"], float(r["gap"])) for r in checks.altered_amounts(declared, lines).collect()] == [(2, None, 50.0)]
+
+
+def test_pages_joined_are_the_whole_order(spark, folder):
+    """Many rows of one time, of one name and without any; pages read their own files only."""
+    times = ["2026-01-02T00:00:00+00:00", "2026-01-02T01:00:00+01:00", "2026-03-01", None, "", "no time"]
+    rows = [
+        (None if i % 3 == 0 else f"d/{i % 40:02d}.pdf", "e", "facture", "1", float(i), False, "x", 0.1, 0.1, "v", "normal", "VALIDE", "m", 0, times[i % 6 if i % 2 else 0], "standard")
+        for i in range(1000)
+    ]
+    gold, root, now = spark.createDataFrame(rows, schemas.GOLD + ", zone string"), folder("pages"), "2026-02-01T00:00:00+00:00"
+    assert paging.page(spark, root, 0, 10, now).count() == 0
+    paging.write_pages(gold.limit(5), root, now)
+    paging.write_pages(gold.withColumn("extra", F.lit(1)).repartition(7), root, now, per_file=70)
+    files = [name for name in os.listdir(f"{root}/rows") if name.endswith(".parquet")]
+    assert len(files) == 15 and paging.count_pages(spark, root, 30) == 34
+
+    pages = [paging.page_rows(spark, root, number, 30) for number in range(35)]
+    read = [page.collect() for page in pages]
+    assert [len(page) for page in read] == [30] * 33 + [10, 0]
+    assert max(len(page.inputFiles()) for page in pages) < len(files)
+    joined = [row for page in read for row in page]
+    created = F.coalesce(F.nullif("gold_imported_at", F.lit("")), F.lit(now))
+    key = F.struct(F.coalesce(-F.unix_micros(F.try_to_timestamp(created)), F.lit(0)).alias("t"), F.coalesce("source_file", F.lit("")).alias("f"))
+    order = [tuple(row["key"]) for row in spark.createDataFrame(joined, schemas.GOLD).select("amount_total", key.alias("key")).collect()]
+    assert order == sorted(order)
+    assert sorted(row["amount_total"] for row in joined) == [float(i) for i in range(1000)]
+    whole = dashboard.dashboard(gold, now).select("id", "createdAt").collect()
+    items = [row for number in range(34) for row in paging.page(spark, root, number, 30, now).select("id", "createdAt").collect()]
+    assert sorted(map(str, whole)) == sorted(map(str, items))
+
+
+def test_empty_pages(spark, folder):
+    root = folder("pages")
+    paging.write_pages(spark.createDataFrame([], schemas.GOLD), root, "2026-01-01")
+    assert paging.count_pages(spark, root, 10) == 0 and paging.page(spark, root, 0, 10, "2026-01-01").count() == 0
+    with pytest.raises(ValueError):
+        paging.page_rows(spark, root, -1, 10)
