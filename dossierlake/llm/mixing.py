@@ -19,6 +19,8 @@ WEIGHTS, SHARE, REPEAT = (3, 1, 2), 1.5, 2
 SEED = "mix"
 #: Above every size band.
 TOP_BAND = 4097
+#: MD5 of an empty text, which stands for a row without an id.
+NO_ID = "d41d8cd98f00b204e9800998ecf8427e"
 
 
 def _key(source: Column) -> Column:
@@ -44,49 +46,68 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levels.select("key", "source_size", F.least("cap", F.col("weight") * F.max("level").over(everything)).alias("target"))
 
 
-def sample(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None,
-    seed: str = SEED, **shares,
-) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (the columns ``keep``, or all), ``size``, ``source_size``, ``target`` and ``copies``.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
+    """Rows with their size and where they belong in the order of their source: band, slice and cell, then size, hash and id.
 
-    The order within a source is: size band, slice of the id's hash, size, hash. Every other band comes in ascending order,
-    then the ones between in descending order: what the offset gains on the way up it loses on the way down, so small
-    sources come near their target too. Bands are a sixteenth of an octave wide, and there are 256 slices to a band, so no window holds more than a 256th of a source's documents of one size; the
-    counts of slices and of bands are summed in windows of at most 256 rows and of a few hundred rows. A first pass reads
-    the texts for these counts, a second for the draw, so only the columns kept are shuffled. Null texts and texts without
-    words have size 0; documents of a source without words get no copy. A null source is a source of its own and comes
-    last. Rows equal in id and size are interchangeable. Repeated runs give the same result.
+    Only the slice that rows without an id fall into has several cells: for each size the rows before them, these rows by
+    the hash of their texts, and the rows after them. The order stays what it is without cells, but for rows without an
+    id of one size, which are interchangeable.
     """
     column = lambda name: docs[f"`{name}`"]
-    sized = docs.select(
-        F.struct(*[column(name) for name in (docs.columns if keep is None else keep)]).alias("row"), column(id_col).alias("id"),
+    text_hash = F.substring(F.md5(F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary")), 1, 3)
+    return docs.select(
+        F.struct(*[column(name) for name in keep]).alias("row"), column(id_col).alias("id"),
         _key(column(source_col)).alias("key"), column(source_col).cast("string").alias("source"), word_count(column(text_col)).alias("size"),
         F.md5(F.coalesce(column(id_col).cast("string"), F.lit("")).cast("binary")).alias("hash"),
+        F.when(column(id_col).isNull(), text_hash).alias("text_hash"),
     ).withColumns(
         {
             "band": F.expr("length(bin(size)) * 32 + shiftright(size, greatest(length(bin(size)) - 5, 0))"),
+            "slice": F.substring("hash", 1, 2),
         }
     ).withColumns(
         {
             "band": F.when(F.col("band") % 2 == 0, F.col("band")).otherwise(F.lit(TOP_BAND) - F.col("band")),
-            "slice": F.substring("hash", 1, 2),
+            "cell": F.when(F.col("slice") != NO_ID[:2], "").otherwise(
+                F.concat(
+                    F.lpad(F.col("size").cast("string"), 19, "0"),
+                    F.when(F.col("id").isNull(), F.concat(F.lit("1"), "text_hash")).when(F.col("hash") < NO_ID, "0").otherwise("2"),
+                )
+            ),
         }
-    )
-    counts = stored(sized.groupBy("key", "source", "band", "slice").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "slices")
+    ).drop("text_hash")
+
+
+def sample(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None,
+    seed: str = SEED, **shares,
+) -> DataFrame:
+    """One row per row of ``docs``: ``row`` (the columns ``keep``, or all), ``size``, ``source_size``, ``target`` and ``copies``.
+
+    The order within a source is: size band, slice of the id's hash, size, hash. Every other band comes in ascending order,
+    then the ones between in descending order: what the offset gains on the way up it loses on the way down, so small
+    sources come near their target too. Bands are a sixteenth of an octave wide, and there are 256 slices to a band, so no window holds more than a 256th of a source's documents of one size. Rows
+    without an id share a slice, which is cut further by size and by 4,096 hashes of texts; only rows that share both id and
+    text are never parted. The counts of cells of a band are summed in a window, those of bands in one of a few hundred rows. A first pass reads
+    the texts for these counts, a second for the draw, so only the columns kept are shuffled. Null texts and texts without
+    words have size 0; documents of a source without words get no copy. A null source is a source of its own and comes
+    last. Rows equal in id and size are interchangeable. Repeated runs give the same result.
+    """
+    sized = _sized(docs, id_col, text_col, source_col, docs.columns if keep is None else keep)
+    counts = stored(sized.groupBy("key", "source", "band", "slice", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "slices")
     wanted = targets(counts, **shares)
     bands = counts.groupBy("key", "band").agg(F.sum("n").alias("n"))
     before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     band_start = bands.select("key", "band", F.coalesce(F.sum("n").over(before("key").orderBy("band")), F.lit(0)).alias("band_start"))
-    slice_start = counts.select("key", "band", "slice", F.coalesce(F.sum("n").over(before("key", "band").orderBy("slice")), F.lit(0)).alias("slice_start"))
+    slice_start = counts.select("key", "band", "slice", "cell", F.coalesce(F.sum("n").over(before("key", "band").orderBy("slice", "cell")), F.lit(0)).alias("slice_start"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rates = wanted.select(
         "key", "source_size", "target", offset.alias("offset"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
     starts = stored(slice_start.join(band_start.join(rates, "key"), ["key", "band"]).withColumn("start", F.col("band_start") + F.col("slice_start")).drop("band_start", "slice_start"), "starts")
-    within = Window.partitionBy("key", "band", "slice").orderBy("size", "hash", "id")
-    placed = sized.drop("source").withColumn("nth", F.row_number().over(within) - 1).join(starts, ["key", "band", "slice"]).withColumn("place", (F.col("start") + F.col("nth")).cast("double"))
+    within = Window.partitionBy("key", "band", "slice", "cell").orderBy("size", "hash", "id")
+    placed = sized.drop("source").withColumn("nth", F.row_number().over(within) - 1).join(starts, ["key", "band", "slice", "cell"]).withColumn("place", (F.col("start") + F.col("nth")).cast("double"))
     crossed = F.floor((F.col("place") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("place") * F.col("rate") + F.col("offset"))
     return placed.select("row", "size", "source_size", "target", F.least(crossed, F.ceil("rate")).cast("long").alias("copies"))
 

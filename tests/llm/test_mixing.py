@@ -68,3 +68,28 @@ def test_empty_and_wordless(documents):
 def test_no_python(documents):
     plan = mixing.sample(documents(ROWS[:50]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_rows_without_an_id_are_spread(documents):
+    """A third of all rows has no id: no window holds many of them, and each row is drawn as if one list held the source."""
+    from hashlib import md5
+
+    rows = [(i if i % 3 else None, f"u{i} " + "w " * (i % 5 * 40), "s0") for i in range(6000)] + [(i, f"{i} w", "s1") for i in range(6000, 6400)]
+    cells = mixing._sized(documents(rows), "doc_id", "text", "source", ["doc_id"]).groupBy("key", "band", "slice", "cell").count()
+    assert cells.agg(F.max("count")).first()[0] <= 16
+
+    ordered = {}
+    for doc_id, text, source in rows:
+        size = len(text.split())
+        digits = md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest()
+        level = size.bit_length() * 32 + (size >> max(size.bit_length() - 5, 0))
+        ordered.setdefault(source, []).append((level if level % 2 == 0 else 4097 - level, digits[:2], size, digits, -1 if doc_id is None else doc_id))
+    sizes = {source: sum(item[2] for item in items) for source, items in ordered.items()}
+    want, expected = reshared(sizes), []
+    for source, items in ordered.items():
+        rate, offset = want[source] / sizes[source], int(md5(f"mix:s{source}".encode()).hexdigest()[:8], 16) / 2**32
+        for place, (*_, size, _, doc_id) in enumerate(sorted(items)):
+            copies = min(math.floor((place + 1) * rate + offset) - math.floor(place * rate + offset), math.ceil(rate))
+            expected.append((source, doc_id, size, copies))
+    found = [(r["row"]["source"], -1 if r["row"]["doc_id"] is None else r["row"]["doc_id"], r["size"], r["copies"]) for r in mixing.sample(documents(rows)).collect()]
+    assert sorted(found) == sorted(expected)
