@@ -42,23 +42,12 @@ def pivots() -> list[int]:
     return [xxhash.xxh64_intdigest(f"pivot {i}".encode(), SEED) for i in range(PIVOTS)]
 
 
-def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
-    """SimHash of each text: a bit is 1 if set in over half the hashes of its shingles, repeats included."""
-    out = np.zeros(len(texts), np.uint64)
+def shingled(texts: list[str], shingle: int = SHINGLE) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Positions of texts that have words, where each one's shingles begin, and their hashes: about GROUP shingles at a time."""
     hashes: list[np.ndarray] = []
     owners: list[int] = []
     waiting = 0
     digest = xxhash.xxh64_intdigest
-
-    def settle() -> None:
-        starts = np.cumsum([0] + [len(h) for h in hashes])
-        bits = np.unpackbits(np.concatenate(hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, starts[:-1], axis=0, dtype=np.int64)
-        ones = counts * 2 > np.diff(starts)[:, None]
-        out[owners] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
-        hashes.clear()
-        owners.clear()
-
     for i, text in enumerate(texts):
         words = text.encode("utf-8", "surrogatepass").lower().split()
         if not words:
@@ -72,10 +61,25 @@ def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
         owners.append(i)
         waiting += len(hashes[-1])
         if waiting > GROUP:
-            settle()
-            waiting = 0
+            yield owners, np.cumsum([0] + [len(h) for h in hashes]), np.concatenate(hashes)
+            hashes, owners, waiting = [], [], 0
     if hashes:
-        settle()
+        yield owners, np.cumsum([0] + [len(h) for h in hashes]), np.concatenate(hashes)
+
+
+def majority(starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The fingerprints of texts whose shingles begin at ``starts`` (and end at the last of them)."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = np.add.reduceat(bits, starts[:-1], axis=0, dtype=np.int64)
+    ones = counts * 2 > np.diff(starts)[:, None]
+    return np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
+    """SimHash of each text: a bit is 1 if set in over half the hashes of its shingles, repeats included."""
+    out = np.zeros(len(texts), np.uint64)
+    for owners, starts, hashes in shingled(texts, shingle):
+        out[owners] = majority(starts, hashes)
     return out
 
 
@@ -189,21 +193,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp", "left").select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Of each group of near duplicates one row of ``docs``; rows that are near nothing else all stay.
-
-    Groups are of rows, whatever their ids: rows without an id, or that share one, fall only if their texts are near another's.
-    The row with the smallest id stays, one without an id only where no other has one, then the smallest hash of the text.
-    """
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    # Numbers of rows hold only for what is written.
-    rows = stored(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
-    place = F.struct(F.col(f"row.`{id_col}`").isNull().alias("nameless"), F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(f"row.`{text_col}`").alias("hash"), "number")
-    prints = stored(fingerprinted(rows.select(place.alias("place"), F.col(f"row.`{text_col}`").alias("text")), "place", "text"), "fingerprints")
-    chosen = _rooted(prints, **options).groupBy("root").agg(F.min("first").alias("first")).select("first.number")
-    return rows.join(chosen, "number", "left_semi").select("row.*")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

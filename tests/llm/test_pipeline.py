@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
-from dossierlake.llm import bpe, line_dedup, simhash, toxicity
+from dossierlake.llm import bpe, line_dedup, toxicity
 from dossierlake.llm.common import stored
 
 
@@ -36,10 +36,10 @@ def test_stages_over_documents(spark, sf_dir):
     assert {i: r["text"] for i, r in rows[2].items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in rows[2].values())
     # Near duplicates: one of each group.
-    from tests.llm.test_simhash import fingerprint, groups
+    from tests.llm.test_near_copies import groups
 
     ids = sorted(rows[2])
-    roots = groups([fingerprint(rows[2][i]["text"]) for i in ids])
+    roots = groups([rows[2][i]["text"] for i in ids])
     assert set(rows[3]) == {ids[r] for r in roots}
     # Mix: rows as they were, at most twice.
     counts = {r["doc_id"]: r["count"] for r in steps[4].groupBy("doc_id").count().collect()}
@@ -109,4 +109,4 @@ def test_empty_tables(spark, tables):
 
 def test_stages_call_their_operators():
     assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "simhash_dedup", "source_mix", "bpe"]
-    assert line_dedup and simhash and p.ORACLE_SQL is None
+    assert line_dedup and p.ORACLE_SQL is None
