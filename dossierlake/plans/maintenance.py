@@ -108,15 +108,23 @@ def merge_batches(spark: SparkSession, root: str, layers: Callable[[], tuple[Dat
     return len(batches)
 
 
-def sync_dataset(manifest: DataFrame, companies: DataFrame, documents: DataFrame, gold_root: str, bronze_root: str) -> DataFrame:
+def sync_dataset(
+    manifest: DataFrame,
+    companies: DataFrame,
+    documents: DataFrame,
+    gold_root: str,
+    bronze_root: str,
+    land: Callable[[DataFrame, str], DataFrame] = bronze.land_objects,
+) -> DataFrame:
     """Publish manifest and companies, push the legitimate PDFs that exist and count what was written.
 
-    ``documents`` carries path and content. Only the ``raw`` folder is looked up, so fraud PDFs are never pushed.
+    ``documents`` carries path and content. Only the ``raw`` folder is looked up, so fraud PDFs are never pushed. ``land``
+    stores one object per document, or, as ``packs.land_packed``, many in a container.
     """
     sinks.write_manifest(manifest, evidence.parse_bool(F.col("is_fraud")), gold_root)
     sinks.write_companies(companies, gold_root)
     expected = manifest.select(F.concat_ws("/", F.lit("raw"), "company_siret", "filename").alias("path"))
-    pushed = bronze.land_objects(documents.join(expected, "path", "left_semi").select(F.col("path").alias("key"), "content"), bronze_root)
+    pushed = land(documents.join(expected, "path", "left_semi").select(F.col("path").alias("key"), "content"), bronze_root)
     return pushed.agg(
         F.count(F.lit(1)).alias("pdfs_bronze"),
         F.lit(True).alias("manifest_gold"),

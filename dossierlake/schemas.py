@@ -4,6 +4,9 @@ from dossierlake.constants import FEATURES, LABELS
 
 BRONZE = "path string, modificationTime timestamp, length bigint, content binary"
 
+#: Objects read from containers.
+PACKED = "key string, modificationTime timestamp, length bigint, content binary"
+
 OCR_EXPORT = (
     "struct<pages: array<struct<blocks: array<struct<lines: array<struct<"
     "words: array<struct<value: string>>>>>>>>>"

@@ -94,6 +94,8 @@ WHERE regexp_matches(lower(key), '{SUFFIX}')""",
     use=("fx_corpus",),
 )
 
+ORACLE["scan_packed"] = ORACLE["scan_bronze"]
+
 SILVER = "source_file, ocr_engine, document_type, siret, amount_total, mentions_expired, ocr_text"
 sql("scan_silver", f"SELECT {SILVER} FROM fx_silver", use=("fx_silver",))
 
@@ -805,11 +807,18 @@ sql(
     ),
     use=("fx_corpus",),
 )
+sql(
+    "job_pending_silver",
+    silver_rows("").replace("(ValueError)", "(ModuleNotFoundError)"),
+    ("pages", f"SELECT text, key AS source_file, false AS is_text, true AS failed FROM fx_corpus WHERE regexp_matches(lower(key), '{SUFFIX}')"),
+    use=("fx_corpus",),
+)
 sql(
     "stream_silver_gold",
     f"SELECT source_file, fraud_score, {STATUT} AS statut_fraude, {ZONE} AS zone FROM validated",
     *SCORE, VALIDATED, use=BOTH,
 )
+ORACLE["job_pending_gold"] = ORACLE["stream_silver_gold"]
 sql(
     "stream_retry_idempotent",
     f"SELECT {ZONE} AS zone, count(*) AS n_rows, count(DISTINCT source_file) AS n_files FROM scored GROUP BY 1",

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dossierlake import constants as C, schemas
 from dossierlake.functions import display, doctype, evidence, extract, files, risk, text
 from dossierlake.operators import dedup, paths, pending, setops, summaries
-from dossierlake.plans import bronze_silver, checks, dashboard, ground_truth, incremental, lookups, maintenance, paging, scoring, training
+from dossierlake.plans import bronze_silver, checks, dashboard, ground_truth, incremental, lookups, maintenance, paging, pending_work, scoring, training
 from dossierlake.session import scratch_path
-from dossierlake.sources import bronze, companies, sinks, tables
+from dossierlake.sources import bronze, companies, packs, sinks, tables
 from dossierlake.streaming import pipelines, statistics
 from dossierlake.workloads.fixtures import AS_OF, fixture
 
@@ -100,6 +100,16 @@ def scan_bronze(spark, sf_dir):
     return found.select("key", "length", text.lossy_utf8(F.col("content")).alias("text"))
 
 
+@query
+def scan_packed(spark, sf_dir):
+    """Objects in containers: a draft of every third one first, then all of them by a later job."""
+    root, objects = scratch_path(spark, "packs"), _objects(spark, sf_dir)
+    drafts = objects.where(F.pmod(F.xxhash64("key"), F.lit(3)) == 0).withColumn("content", F.encode(F.lit("draft"), "UTF-8"))
+    for rows in (drafts, objects):
+        packs.land_packed(rows, root)
+    return packs.scan_packed(spark, root).select("key", "length", text.lossy_utf8(F.col("content")).alias("text"))
+
+
 @query
 def scan_silver(spark, sf_dir):
     root = scratch_path(spark, "silver")
@@ -116,7 +126,7 @@ def _reference_tables(spark, sf_dir, root):
         "forme_juridique", F.col("prenom").alias("dirigeant"), F.lit("").alias("tva_intra"), "company_no",
     )
     documents = fixture(spark, sf_dir, "fx_files").select("path", F.encode("path", "UTF-8").alias("content"))
-    return maintenance.sync_dataset(manifest, company_rows, documents, root, scratch_path(spark, "bronze"))
+    return maintenance.sync_dataset(manifest, company_rows, documents, root, scratch_path(spark, "bronze"), packs.land_packed)
 
 
 @query
@@ -975,6 +985,29 @@ def job_silver_gold(spark, sf_dir):
     )
 
 
+@query
+def job_pending_silver(spark, sf_dir):
+    """Objects in containers land in two parts; each time what is pending is extracted, and then nothing is."""
+    root, silver, objects = scratch_path(spark, "packs"), scratch_path(spark, "silver"), _objects(spark, sf_dir)
+    half = F.pmod(F.xxhash64("key"), F.lit(2))
+    for part in range(2):
+        packs.land_packed(objects.where(half == part), root)
+        for attempt in "ab":
+            pending_work.extract_pending(spark, root, silver, f"{part}{attempt}", packed=True)
+    return tables.read_silver(spark, silver)
+
+
+@query
+def job_pending_gold(spark, sf_dir):
+    """Silver arrives in two batches; each time what is pending is scored, and then nothing is."""
+    silver, gold, rows = scratch_path(spark, "silver"), scratch_path(spark, "gold"), fixture(spark, sf_dir, "fx_silver")
+    for part in range(2):
+        sinks.write_silver(silver_columns(rows.where(F.col("doc_id") % 2 == part)), silver, str(part))
+        for attempt in "ab":
+            pending_work.score_pending(spark, silver, gold, trained(spark, sf_dir), f"{part}{attempt}", STAMP)
+    return tables.read_gold(spark, gold).select("source_file", "fraud_score", "statut_fraude", "zone")
+
+
 @query
 def job_ground_truth(spark, sf_dir):
     manifest = fixture(spark, sf_dir, "fx_manifest").withColumn(

@@ -13,7 +13,7 @@ from dossierlake.workloads import queries
 from dossierlake.workloads.fixtures import fixture
 
 # These store objects in Arrow batches while they are planned or run.
-LANDING = {"scan_bronze", "stream_bronze_silver", "sync_summary"}
+LANDING = {"scan_bronze", "scan_packed", "stream_bronze_silver", "sync_summary", "job_pending_silver"}
 
 
 def plan(df):
