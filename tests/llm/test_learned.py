@@ -129,3 +129,35 @@ def test_repeated_ids_give_one_labelled_text(spark):
     rows = spark.createDataFrame([(0, 1, 2.0), (1, 0, 1.0), (5, 0, 1.0), (9, 1, 1.0)], "doc_id long, label int, weight double")
     found = {r["doc_id"]: r for r in learning.with_texts(docs, rows).collect()}
     assert sorted(found) == [0, 1, 5] and found[5]["text"] is None and found[0]["text"].startswith("t") and found[0]["weight"] == 2.0
+
+
+def test_pairwise_fit_is_of_all_pairs():
+    """The strengths minimise the loss over every pair of a good and a bad row, not over drawn ones."""
+    draw = np.random.default_rng(4)
+    label = (draw.random(400) < 0.7).astype(int)
+    x = draw.standard_normal((400, 3)) * [1.0, 5.0, 0.1] + np.outer(label, [1.0, 0.0, -0.1])
+    scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+    beta = quality.strengths(lambda b: quality.binned(scaled, label, np.ones(400), b), 3, pairs=10_000)
+    gaps = (scaled[label == 1][:, None] - scaled[label == 0][None]).reshape(-1, 3)
+    gradient = -(gaps / (1 + np.exp(gaps @ beta))[:, None]).mean(axis=0) + quality.RIDGE / 10_000 * beta
+    assert np.abs(gradient).max() < 3e-4 < np.abs(beta).max()
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows than any bound on a class: the table gives the model that all rows give in memory; rows that repeat an id count once."""
+    words = "CASE WHEN id % 3 = 0 THEN 'FREE || CLICK ## now now now' ELSE concat('the plain text ', id % 11, '.') END"
+    docs = spark.range(36_000).selectExpr("id AS doc_id", f"repeat(concat({words}, ' '), cast(1 + id % 5 AS int)) AS text")
+    labels = docs.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 OR doc_id % 50 = 1 THEN 0 ELSE 1 END AS quality")
+    used = docs.join(labels, "doc_id").filter(remainder(F.col("doc_id"), quality.PARTS) != quality.HELD_OUT).toPandas()
+    x = np.array([quality.features(text) for text in used["text"]])
+    assert (used["quality"] == 0).sum() > 8000
+    expected = quality.fitted(x, used["quality"].to_numpy(), np.ones(len(x))).beta
+    got = quality.train(docs.unionByName(docs.limit(500)), labels).beta
+    assert np.allclose(got, expected, rtol=1e-4, atol=1e-4)
+
+
+def test_value_of_a_rank_is_exact(spark):
+    values = [0.1 + k * 1e-17 for k in range(50)] + [5.0] * 30 + list(np.random.default_rng(1).standard_cauchy(500)) + [float(np.nextafter(5, 6))] * 3
+    rows = spark.createDataFrame([(float(v),) for v in values], "raw double")
+    for rank in (0, 1, 250, 300, 350, len(values) - 2, len(values) - 1):
+        assert quality._at_rank(rows, min(values), max(values), rank) == sorted(values)[rank]
