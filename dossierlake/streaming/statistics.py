@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,25 +18,42 @@ from dossierlake.streaming.pipelines import EVERY_MINUTE, Trigger, bounded
 
 CHANGES = "valide bigint, fraude bigint"
 #: What is remembered of a document: who wrote its newest rows, and how many of them have each status.
-KNOWN = "version bigint, batch_id string, valide bigint, fraude bigint"
-#: Groups that rows without a key are spread over.
-SPREAD = 256
+KNOWN = pa.schema([("key", pa.string()), ("version", pa.int64()), ("batch_id", pa.string()), ("valide", pa.int64()), ("fraude", pa.int64())])
+#: Groups that documents are dealt to by key, each with one state; fixed for the life of a checkpoint. Rows without a key are spread over as many.
+BUCKETS = 1024
 
 
-def change(key: tuple[str | None, int], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """By how much the rows of one document change the totals; rows without a key only add."""
-    keyed = isinstance(key[0], str)
-    before = after = state.get if state.exists else (-1, "", 0, 0)
+def _packed(known: dict[str, tuple[int, str, int, int]]) -> bytes:
+    columns = [list(known), *(zip(*known.values(), strict=True))]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, KNOWN) as writer:
+        writer.write_table(pa.table([pa.array(column, kind) for column, kind in zip(columns, KNOWN.types, strict=True)], KNOWN))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> dict[str, tuple[int, str, int, int]]:
+    keys, *values = (column.to_pylist() for column in pa.ipc.open_stream(raw).read_all().columns)
+    return dict(zip(keys, zip(*values, strict=True), strict=True))
+
+
+def change(key: tuple[int], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """By how much the rows of one bucket of documents change the totals; rows without a key only add."""
+    known = _unpacked(bytes(state.get[0])) if state.exists else {}
+    changed, more_valide, more_fraude = False, 0, 0
     for part in parts:
-        for version, batch_id, valide, fraude in part[["version", "batch_id", "valide", "fraude"]].itertuples(index=False):
-            if not keyed or (version, batch_id) == after[:2]:
-                after = (*after[:2], after[2] + int(valide), after[3] + int(fraude))
-            elif (version, batch_id) > after[:2]:
-                after = (int(version), batch_id, int(valide), int(fraude))
-    if keyed and after != before:
-        state.update(after)
-    if after[2:] != before[2:]:
-        yield pd.DataFrame({"valide": [after[2] - before[2]], "fraude": [after[3] - before[3]]})
+        for name, version, batch_id, valide, fraude in zip(*(part[column].tolist() for column in KNOWN.names), strict=True):
+            before = known.get(name, (-1, "", 0, 0)) if isinstance(name, str) else (version, batch_id, 0, 0)
+            if (version, batch_id) < before[:2]:
+                continue
+            kept = before[2:] if (version, batch_id) == before[:2] else (0, 0)
+            after = (int(version), batch_id, kept[0] + int(valide), kept[1] + int(fraude))
+            more_valide, more_fraude = more_valide + after[2] - before[2], more_fraude + after[3] - before[3]
+            if isinstance(name, str):
+                known[name], changed = after, True
+    if changed:
+        state.update((_packed(known),))
+    if more_valide or more_fraude:
+        yield pd.DataFrame({"valide": [more_valide], "fraude": [more_fraude]})
 
 
 def stream_dashboard_stats(
@@ -44,13 +62,16 @@ def stream_dashboard_stats(
     """Keep the totals of ``dashboard_stats`` up to date with the batches of a gold table.
 
     Each new file is read once, and of its columns only key, score and status.
-    State per document remembers the status its newest batch gave it, so a
+    State remembers the status that a document's newest batch gave it, so a
     document that is scored again moves from one total to the other, and an
     older batch that arrives late changes nothing. What is written per batch is
     one row of differences, in a folder a redone batch replaces.
 
-    State holds one small row per document: keep it in RocksDB, as
-    ``session.local_session`` does. A backfill or a repeated batch that writes
+    State holds one small row per document, in one value for each of BUCKETS
+    buckets of keys, as a call of Python for each document costs far more than
+    the document: a batch reads and writes the buckets of its documents. Keep
+    it in RocksDB, as ``session.local_session`` does. Checkpoints from before
+    there were buckets hold other state: start over from an empty one. A backfill or a repeated batch that writes
     known rows anew counts those again that have no key, so start over
     from an empty checkpoint and folder after one.
     """
@@ -63,14 +84,16 @@ def stream_dashboard_stats(
         .where(F.regexp_extract(path, r"/zone=([^/]*)/", 1).isin(C.STANDARD_ZONE, C.HIGH_RISK_ZONE))
         .select(
             key.alias("key"),
-            F.when(key.isNull(), F.pmod(F.xxhash64(path, F.col("_metadata.file_block_start"), "fraud_score", "siret", "amount_total"), F.lit(SPREAD))).otherwise(F.lit(0)).alias("spread"),
+            F.pmod(
+                F.when(key.isNull(), F.xxhash64(path, F.col("_metadata.file_block_start"), "fraud_score", "siret", "amount_total")).otherwise(F.xxhash64(key)), F.lit(BUCKETS)
+            ).alias("bucket"),
             F.coalesce("version", F.lit(0)).cast("long").alias("version"),
             F.regexp_extract(path, r"/batch_id=([^/]*)/", 1).alias("batch_id"),
             (status == "VALIDE").cast("long").alias("valide"),
             (status == "FRAUDE").cast("long").alias("fraude"),
         )
     )
-    changes = rows.groupBy("key", "spread").applyInPandasWithState(change, CHANGES, KNOWN, "update", GroupStateTimeout.NoTimeout)
+    changes = rows.groupBy("bucket").applyInPandasWithState(change, CHANGES, "known binary", "update", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         sums = batch.agg(*[F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(name) for name in ("valide", "fraude")])

@@ -2,6 +2,8 @@
 
 import os
 
+import pandas as pd
+
 from dossierlake import schemas
 from pyspark.sql import functions as F
 
@@ -141,3 +143,26 @@ def test_statistics_follow_gold(spark, folder):
     assert maintenance.merge_gold(spark, gold, 2) == 5
     sinks.write_gold(gold_rows(spark, [("b.pdf", *ok)]), gold, "d", version=9)
     assert totals() == (8, 6, 2) == recount()
+
+
+class Kept:
+    """The state of one group, as ``change`` sees it."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_a_call_takes_a_bucket_of_documents():
+    """A call of Python serves many documents, and each keeps its own newest batch."""
+    state = Kept()
+
+    def added(*rows):
+        done = list(statistics.change((7,), iter([pd.DataFrame(rows, columns=["key", "version", "batch_id", "valide", "fraude"])]), state))
+        return tuple(done[0].iloc[0]) if done else None
+
+    assert added(("a", 5, "x", 1, 0), ("b", 5, "x", 0, 1), (None, 5, "x", 1, 0)) == (2, 1)
+    assert added(("a", 4, "late", 0, 1), ("c", 4, "late", 1, 0)) == (1, 0)
+    assert added(("b", 6, "y", 1, 0), ("c", 4, "late", 0, 1), (None, 4, "late", 0, 1)) == (1, 1)
+    assert added(("a", 5, "w", 0, 1)) is None
