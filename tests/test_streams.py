@@ -166,3 +166,17 @@ def test_a_call_takes_a_bucket_of_documents():
     assert added(("a", 4, "late", 0, 1), ("c", 4, "late", 1, 0)) == (1, 0)
     assert added(("b", 6, "y", 1, 0), ("c", 4, "late", 0, 1), (None, 4, "late", 0, 1)) == (1, 1)
     assert added(("a", 5, "w", 0, 1)) is None
+
+
+def test_a_batch_is_looked_up_in_few_tasks(spark, folder):
+    """Not in one task for each of its files; what a session chose itself stays."""
+    before = spark.conf.get(pipelines.LISTING_TASKS)
+    try:
+        for chosen, expected in ((pipelines.ONE_EACH, str(4 * spark.sparkContext.defaultParallelism)), ("3", "3")):
+            spark.conf.set(pipelines.LISTING_TASKS, chosen)
+            root, silver = folder("bronze"), folder("silver")
+            land(spark, root, [f"{i}.pdf" for i in range(40)])
+            drain(spark, root, silver, folder("checkpoint"), batch_size=40)
+            assert spark.conf.get(pipelines.LISTING_TASKS) == expected and tables.read_silver(spark, silver).count() == 40
+    finally:
+        spark.conf.set(pipelines.LISTING_TASKS, before)
