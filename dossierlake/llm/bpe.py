@@ -38,9 +38,17 @@ MOST = 1 << 40
 #: Fixed value: the words of the usual vocabulary file, and the same for lower-case ASCII, where the faster module will do.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
+#: Fixed value: the characters beyond the first 65,536, which sets of the faster module are slow with.
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _NEVER = np.int64(MOST)
 
 
+def _set(class_: str) -> str:
+    """The characters of a class up to U+FFFF, as the inside of a set of the faster module."""
+    plane = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000))))
+    return "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(f"{class_}+", plane))
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 letters for themselves, the rest from U+0100 upwards."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -63,6 +71,9 @@ class Codec:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.ascii_words = re.compile(ASCII_WORDS) if pattern == WORDS and self.plain else None
+        if self.ascii_words:
+            letters, numbers, white = map(_set, (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+            self.plane_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = dict(enumerate(_byte_letters()))
@@ -283,7 +294,9 @@ class Codec:
     def cut(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
         normal = self.normal(text)
-        words = self.ascii_words if self.ascii_words and normal.isascii() else self.words
+        if not self.ascii_words:
+            return self.words.findall(normal)
+        words = self.ascii_words if normal.isascii() else self.words if ASTRAL.search(normal) else self.plane_words
         return words.findall(normal)
 
     def split(self, text: str) -> list[str | int]:
@@ -312,7 +325,7 @@ class Codec:
                 # The words in hand are mostly the frequent ones; the others are learned again when they come back.
                 self.cache = {word: self.cache[word] for words in split for word in words if word in self.cache}
             cache = self.cache
-            new = {word for words in split for word in words if word not in cache}
+            new = set().union(*split).difference(cache)
             for i in [x for x in new if isinstance(x, int)]:
                 new.discard(i)
                 cache[i] = i.to_bytes(4, "little")

@@ -1,6 +1,7 @@
 """Encoding and decoding against the tokenizers library."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -86,3 +87,12 @@ def test_query(spark, sf_dir, library):
         real = library.encode(docs[r["doc_id"]], add_special_tokens=False).ids
         assert r["n_tokens"] == len(real) and r["ids_sha256"] == hashlib.sha256(np.array(real, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(real, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_fast_words_are_the_words_of_the_vocabulary():
+    """Every character of the first plane, between others and at both ends, is cut as the vocabulary's own pattern cuts it."""
+    codec = bpe.Codec(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    plane = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x10000)]]
+    text = "".join(c + x for c, x in zip(plane, itertools.cycle(["", "a", " ", "7", "'s", "é", "-", "\u0301"])))
+    assert codec.plane_words.findall(text) == codec.words.findall(text)
+    assert codec.cut("x\U0001d7d8\U00020000é y") == codec.words.findall(codec.normal("x\U0001d7d8\U00020000é y"))
