@@ -382,15 +382,18 @@ def encode(docs: DataFrame, vocabulary, text_col: str = "text", keep: list[str]
     Whole texts are encoded, and special tokens in them are recognised, as the tokenizers library does.
     """
     rows, text = with_text(docs, text_col, keep)
-    schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return rows.mapInArrow(lambda batches: _encoded(batches, vocabulary, text), _coded_schema(rows))
+
+
+def _coded_schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _held(Codec, vocabulary)
-        for piece, texts in pieces(batches, text):
-            ids = list(codec.encode(texts))
-            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, schema)
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary, text: str) -> Iterator[pa.RecordBatch]:
+    codec = _held(Codec, vocabulary)
+    for piece, texts in pieces(batches, text):
+        ids = list(codec.encode(texts))
+        yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "n_tokens", "ids"])
 
 
 def token_ids(packed: bytes | None) -> list[int]:
@@ -401,16 +404,28 @@ def token_ids(packed: bytes | None) -> list[int]:
 def decode(coded: DataFrame, vocabulary) -> DataFrame:
     """``coded`` with a column ``decoded``: the text of its column ``ids`` (null: empty)."""
     schema = T.StructType([*coded.schema, T.StructField("decoded", T.StringType())])
+    return coded.mapInArrow(lambda batches: _decoded(batches, vocabulary), schema)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
+    decoder = _held(Decoder, vocabulary)
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 256):
+            piece = batch.slice(begin, 256)
+            texts = [decoder.decode(np.frombuffer(x or b"", "<u4")) for x in piece.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*piece.schema.names, "decoded"])
+
+
+def encode_and_decode(docs: DataFrame, vocabulary, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """What ``decode`` makes of what ``encode`` makes, in one Python worker a task, where the two after each other take two."""
+    rows, text = with_text(docs, text_col, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _held(Decoder, vocabulary)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                piece = batch.slice(begin, 256)
-                texts = [decoder.decode(np.frombuffer(x or b"", "<u4")) for x in piece.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], [*piece.schema.names, "decoded"])
-
-    return coded.mapInArrow(run, schema)
+        yield from _decoded(_encoded(batches, vocabulary, text), vocabulary)
+        # The worker serves other stages next.
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, T.StructType([*_coded_schema(rows), T.StructField("decoded", T.StringType())]))
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -49,7 +49,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of ``docs`` that have one of these names, in whatever case, give way to the new ones.
     """
     vocabulary = bpe.share_vocabulary(spark, bpe.vocabulary_path())
-    coded = bpe.decode(bpe.encode(docs, vocabulary, keep=[c for c in docs.columns if c.lower() not in {"text", *TOKEN_COLUMNS}]), vocabulary)
+    coded = bpe.encode_and_decode(docs, vocabulary, keep=[c for c in docs.columns if c.lower() not in {"text", *TOKEN_COLUMNS}])
     new = [F.col("n_tokens"), F.col("ids"), F.sha2("ids", 256), F.sha2(F.col("decoded").cast("binary"), 256)]
     return coded.select("row.*", *[column.alias(name) for name, column in zip(TOKEN_COLUMNS, new, strict=True)])
 

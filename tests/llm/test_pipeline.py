@@ -80,6 +80,18 @@ def test_odd_tables(spark, tables):
     assert {"row", "doc_id", "ids_sha256", "decoded_sha256"} <= set(done.columns) and "IDS_sha256" not in done.columns
 
 
+def test_tokens_take_one_python_worker_a_task(spark, documents):
+    """Encoding and decoding after each other would hold two workers for each task at once."""
+    done = p.tokenise(spark, documents([(1, "some text"), (2, None)]), "")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    vocabulary = bpe.share_vocabulary(spark, bpe.vocabulary_path())
+    apart = bpe.decode(bpe.encode(documents([(1, "some text"), (2, None)]), vocabulary), vocabulary)
+    assert {(r["row"]["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in apart.collect()} == {
+        (r["row"]["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in bpe.encode_and_decode(documents([(1, "some text"), (2, None)]), vocabulary).collect()
+    }
+
+
 def test_bytes_that_are_not_utf8(spark, folder):
     """They count as U+FFFD in every stage; the table that goes from stage to stage keeps its rows."""
     path = folder("bytes")
