@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,30 @@ def test_recall_at_the_similarity(documents):
     assert sum(i % 2 for i in found) <= 0.05 * 600
 
 
+def test_every_pair_of_a_small_table(documents):
+    """Up to BUCKET texts are one bucket, so fingerprints and pivots see every pair."""
+    draw, rows = random.Random(7), []
+    for i in range(250):
+        words = [f"w{draw.randint(0, 20_000)}" for _ in range(draw.randint(40, 300))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near(draw, words, 0.8)))]
+    assert kept(documents, rows) == sorted(range(0, 500, 2), key=str)
+
+
+@pytest.mark.parametrize("rows", [2_000, 231_000, 14_000_000])
+def test_tables_find_fingerprints_at_the_similarity(rows):
+    """Pairs of texts at 0.8 meet in a table of fingerprint bits; tables have more bits the more rows there are."""
+    draw, masks = random.Random(rows), n.tables(rows)
+    assert set(np.bitwise_count(masks).sum(axis=1).tolist()) == {int(np.ceil(np.log2(rows / n.BUCKET)))}
+    texts = []
+    for _ in range(300):
+        words = [f"w{draw.randint(0, 20_000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(near(draw, words, 0.8))]
+    fp, _ = n.sketches(texts)
+    differ = fp[::2] ^ fp[1::2]
+    assert (np.bitwise_count(differ).sum(axis=1) <= n.RADIUS).all()
+    assert ((differ[:, None, :] & masks[None]) == 0).all(axis=2).any(axis=1).mean() >= 0.95
+
+
 @pytest.mark.parametrize("slot", [8, 1024])
 def test_dense_group_and_strangers(documents, slot):
     """Many near copies of one text, in slots that cut their buckets, others below the similarity, and unlike ones."""
