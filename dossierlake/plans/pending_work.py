@@ -41,7 +41,7 @@ def extract_pending(
     repeated after a failure finds the same work, or what is left of it.
     """
     listed = packs.listing(spark, bronze_root) if packed else bronze.list_keys(spark, bronze_root)
-    work = _noted(pending.pending_bronze(listed, pending.silver_listing(tables.read_silver(spark, silver_root)), limit))
+    work = _noted(pending.pending_bronze(listed, tables.silver_keys(spark, silver_root), limit))
     count = work.count()
     if not count:
         return 0
@@ -50,7 +50,7 @@ def extract_pending(
     silver = bronze_to_silver(recognise(found.select(F.col("key").alias("source_file"), "content")))
     sinks.write_silver(silver, silver_root, batch_id, check=True)
     expected = work.select(F.col("silver_key").alias("key")).distinct()
-    pending.require_outputs(expected, pending.silver_listing(tables.read_silver(spark, silver_root)))
+    pending.require_outputs(expected, tables.silver_keys(spark, silver_root))
     return count
 
 
@@ -68,15 +68,14 @@ def score_pending(
     Rows without a source file have no key and are never pending. The job fails where a key it set out to route is missing at
     the end.
     """
-    silver = tables.read_silver(spark, silver_root)
-    work = _noted(pending.pending_silver(pending.silver_listing(silver), pending.gold_listing(tables.read_gold(spark, gold_root)), limit))
+    work = _noted(pending.pending_silver(tables.silver_keys(spark, silver_root), tables.routed_keys(spark, gold_root), limit))
     count = work.count()
     if not count:
         return 0
-    keyed = silver.withColumn("_silver_key", files.silver_key(F.col("source_file")))
+    keyed = tables.read_silver(spark, silver_root).withColumn("_silver_key", files.silver_key(F.col("source_file")))
     rows = keyed.join(work.select(F.col("key").alias("_silver_key")), "_silver_key", "left_semi").drop("_silver_key")
     stamp = imported_at or datetime.now(timezone.utc).isoformat()
     sinks.write_gold(silver_to_gold(rows, model, stamp), gold_root, batch_id, check=True)
-    routed = pending.gold_listing(tables.read_gold(spark, gold_root)).select(files.gold_to_silver_key(F.col("key")).alias("key"))
+    routed = tables.routed_keys(spark, gold_root).select(files.gold_to_silver_key(F.col("key")).alias("key"))
     pending.require_outputs(work, routed)
     return count

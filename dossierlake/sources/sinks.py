@@ -6,6 +6,7 @@ import hashlib
 import time
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from dossierlake import constants as C, schemas
 from dossierlake.functions import display
@@ -14,7 +15,7 @@ from dossierlake.operators.dedup import one_per_silver_key
 
 
 def _declared(df: DataFrame, schema: str) -> DataFrame:
-    fields = df.sparkSession.createDataFrame([], schema).schema
+    fields = StructType.fromDDL(schema)
     return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in fields])
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from dossierlake import constants as C, schemas
 from dossierlake.functions import files
@@ -24,7 +25,7 @@ def _or_empty(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) -
 
 def read_silver(spark: SparkSession, root: str) -> DataFrame:
     """The newest row of each silver key, over all batches."""
-    return newest(silver_layers(spark, root)).select(*_names(spark, schemas.SILVER))
+    return newest(silver_layers(spark, root)).select(*_names(schemas.SILVER))
 
 
 def read_gold(spark: SparkSession, root: str, include_reference: bool = False) -> DataFrame:
@@ -36,14 +37,14 @@ def read_gold(spark: SparkSession, root: str, include_reference: bool = False) -
     one-level wildcard over the zone folders would return them.
     """
     known = F.col("zone").isin(C.STANDARD_ZONE, C.HIGH_RISK_ZONE)
-    gold = newest(gold_layers(spark, root)).where(known).select(*_names(spark, schemas.GOLD), "batch_id", "zone")
+    gold = newest(gold_layers(spark, root)).where(known).select(*_names(schemas.GOLD), "batch_id", "zone")
     if not include_reference:
         return gold
     return union_by_name(gold, read_reference_documents(spark, root), read_reference_companies(spark, root))
 
 
-def _names(spark: SparkSession, schema: str) -> list[str]:
-    return spark.createDataFrame([], schema).columns
+def _names(schema: str) -> list[str]:
+    return StructType.fromDDL(schema).names
 
 
 def silver_layers(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -99,6 +100,26 @@ def newest(layers: tuple[DataFrame, DataFrame]) -> DataFrame:
     return fresh.unionByName(merged.join(taken, "_key", "left_anti"), allowMissingColumns=True)
 
 
+def silver_keys(spark: SparkSession, root: str) -> DataFrame:
+    """``key`` of every silver row, each once: a newer row replaces one of its own key, so none is compared for it."""
+    merged, batches = silver_layers(spark, root)
+    return merged.select("_key").unionByName(batches.select("_key")).select(F.col("_key").alias("key")).distinct()
+
+
+def routed_keys(spark: SparkSession, root: str) -> DataFrame:
+    """``key`` (zone and silver key) of each document that :func:`read_gold` returns; of several zones in one batch any.
+
+    The newest batch of a key is found in the aggregate that makes keys distinct, and merged rows count where there is none.
+    """
+    merged, batches = gold_layers(spark, root)
+    known = F.when(F.col("zone").isin(C.STANDARD_ZONE, C.HIGH_RISK_ZONE), F.col("zone"))
+    order = F.struct(F.lit(1).alias("layer"), "version", F.col("batch_id").alias("batch"), known.alias("known"))
+    merged_order = F.struct(F.lit(0).alias("layer"), F.lit(0).cast("long").alias("version"), F.lit("").alias("batch"), known.alias("known"))
+    rows = merged.select("_key", merged_order.alias("order")).unionByName(batches.select("_key", order.alias("order")))
+    newest_zone = rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.max("order").alias("last"))
+    return newest_zone.where(F.col("last.known").isNotNull()).select(F.concat_ws("/", "last.known", "_key").alias("key"))
+
+
 def read_reference_documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schemas.MANIFEST).parquet(f"{root}/{C.REFERENCE_ZONE}/documents_manifest.parquet")
 

@@ -244,6 +244,28 @@ def test_pending_work_comes_from_the_tables(spark, folder):
     assert [r["key"] for r in pending.pending_silver(listed, pending.gold_listing(tables.read_gold(spark, gold_root))).collect()] == ["d/b.parquet"]
 
 
+def test_keys_of_the_tables_are_those_of_their_newest_rows(spark, folder):
+    """Over merged rows, several batches, equal versions, an unknown zone and rows without a key."""
+    silver, gold = folder("silver"), folder("gold")
+    same = lambda: (
+        sorted(str(r["key"]) for r in tables.silver_keys(spark, silver).collect()) == sorted(str(r["key"]) for r in pending.silver_listing(tables.read_silver(spark, silver)).collect())
+        and sorted(r["key"] for r in tables.routed_keys(spark, gold).collect()) == sorted(r["key"] for r in pending.gold_listing(tables.read_gold(spark, gold)).collect())
+    )
+    assert same()
+    sinks.write_silver(silver_rows(spark, ("d/a.pdf", "x"), ("d/b.png", "x"), (None, "x")), silver, "0")
+    sinks.write_gold(gold_rows(spark, ("a.pdf", 0.9), ("b.pdf", 0.1), ("c.pdf", 0.1), (None, 0.9)), gold, "0", version=3)
+    assert same()
+    maintenance.merge_silver(spark, silver, buckets=2)
+    maintenance.merge_gold(spark, gold, buckets=2)
+    assert same()
+    sinks.write_silver(silver_rows(spark, ("d/b.pdf", "y"), ("d/c.pdf", "y")), silver, "1")
+    sinks.write_gold(gold_rows(spark, ("a.pdf", 0.1), ("d.pdf", 0.9), ("e.pdf", 0.9)), gold, "1", version=2)
+    sinks.write_gold(gold_rows(spark, ("d.pdf", 0.1)), gold, "2", version=2)
+    sinks.write_gold(gold_rows(spark, ("b.pdf", 0.1), ("e.pdf", 0.1)).withColumn("zone", F.lit("elsewhere")), gold, "3", version=4)
+    assert same()
+    assert sorted(r["key"] for r in tables.routed_keys(spark, gold).collect()) == ["standard/a.parquet", "standard/c.parquet", "standard/d.parquet"]
+
+
 def test_gold_without_one_zone_and_without_any(spark, folder):
     root = folder("gold")
     assert tables.read_gold(spark, root).count() == 0

@@ -92,3 +92,18 @@ def test_pending_rows_are_scored_once(spark, folder):
     sinks.write_silver(rows.where("source_file = '1.pdf'").withColumn("source_file", F.lit("5.pdf")), silver, "1")
     assert pending_work.score_pending(spark, silver, gold, model, "2", "now") == 1
     assert sorted(r["source_file"] for r in tables.read_gold(spark, gold).collect()) == ["1.pdf", "2.pdf", "3.pdf", "5.pdf"]
+
+
+def test_pending_rows_are_listed_by_one_join(spark, folder, monkeypatch):
+    """Which of a key's rows is the newest matters to nobody who lists keys, so versions are not joined for it."""
+    silver, gold, plans = folder("silver"), folder("gold"), []
+    rows = spark.createDataFrame([(f"{i}.pdf", "e", "facture", None, None, False, "t") for i in range(4)], "source_file string, ocr_engine string, document_type string, siret string, amount_total double, mentions_expired boolean, ocr_text string")
+    noted = pending_work._noted
+    monkeypatch.setattr(pending_work, "_noted", lambda keys: plans.append(keys._jdf.queryExecution().optimizedPlan().toString()) or noted(keys))
+    for batch in "01":
+        sinks.write_silver(rows, silver, batch)
+        pending_work.score_pending(spark, silver, gold, training.neutral(spark), batch, "now")
+        sinks.write_silver(rows.withColumn("source_file", F.concat(F.lit("new"), "source_file")), silver, f"{batch}b")
+    assert plans[1].count("Join") == 1
+    assert pending_work.score_pending(spark, silver, gold, training.neutral(spark), "2", "now") == 0
+    assert tables.read_gold(spark, gold).count() == 8
