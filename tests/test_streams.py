@@ -180,3 +180,24 @@ def test_a_batch_is_looked_up_in_few_tasks(spark, folder):
             assert spark.conf.get(pipelines.LISTING_TASKS) == expected and tables.read_silver(spark, silver).count() == 40
     finally:
         spark.conf.set(pipelines.LISTING_TASKS, before)
+
+
+def test_a_batch_of_small_files_is_dealt_to_few_tasks(spark, folder):
+    """Not to one for every few files, each with a file of silver; what a session chose itself stays."""
+    names = (pipelines.OPEN_COST, pipelines.REWRITTEN_AFTER, "spark.sql.files.maxPartitionBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+        for cost, interval, expected in ((pipelines.BY_DEFAULT, pipelines.TEN, (pipelines.SMALL, pipelines.HUNDRED)), ("5000000", "7", ("5000000", "7"))):
+            spark.conf.set(pipelines.OPEN_COST, cost)
+            spark.conf.set(pipelines.REWRITTEN_AFTER, interval)
+            root, silver = folder("bronze"), folder("silver")
+            land(spark, root, [f"{i}.pdf" for i in range(60)])
+            drain(spark, root, silver, folder("checkpoint"), batch_size=60)
+            written = [name for name in os.listdir(f"{silver}/{batches(silver)[0]}") if name.endswith(".parquet")]
+            assert (spark.conf.get(pipelines.OPEN_COST), spark.conf.get(pipelines.REWRITTEN_AFTER)) == expected
+            assert tables.read_silver(spark, silver).count() == 60
+            assert (len(written) <= spark.sparkContext.defaultParallelism) == (expected[0] == pipelines.SMALL)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
